@@ -6,7 +6,6 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import language_id, sentencepiece_codec
 from .common import table
@@ -16,6 +15,7 @@ from .line_dedup import OP1_SQL, line_dedup
 from .mixing import mix
 from .sharding import balanced_shards
 from .simhash import simhash_dedup
+from .suffix_dedup import suffix_dedup
 from .url_filters import reputation_sql, url_filter
 
 #: The SentencePiece model; another path can be given by the environment.
@@ -47,6 +47,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_language_id, op4_mixing, op5_exact_dedup, op7_sharding, op8_simhash_dedup, op9_embedding_dedup, op10_url_filters)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_sentencepiece, op3_language_id, op4_mixing, op5_exact_dedup, op6_suffix_dedup, op7_sharding, op8_simhash_dedup, op9_embedding_dedup, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
