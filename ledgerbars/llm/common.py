@@ -34,11 +34,12 @@ def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
 
 
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column | None, out: str, buckets: int = 1024) -> DataFrame:
-    """Add ``out``: the sum of ``weight`` (1 if None) over the rows before this one within ``keys``.
+    """Add ``out``: the sum of ``weight`` (1 if None) over the rows before this one within ``keys``, which are not null.
 
     The order is by a hash bucket of ``order``, then by ``order`` itself. No task sees more than one
     bucket of one key, so a key that holds a third of all rows is spread over ``buckets`` sorts; the
-    offsets come from a table of at most ``buckets`` rows a key.
+    offsets come from a table of at most ``buckets`` rows a key. The join keeps the windows' partitioning; it
+    is a merge join by hint, as the planner can't know how many rows an unfolded frame has.
     """
     weight = F.lit(1).cast("long") if weight is None else weight.cast("long")
     d = df.withColumns({"_pb": F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"), "_pw": weight})
@@ -46,8 +47,8 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight:
     offsets = d.groupBy(*keys, "_pb").agg(F.sum("_pw").alias("_pt"))
     offsets = offsets.withColumn("_po", F.coalesce(F.sum("_pt").over(before(*keys).orderBy("_pb")), F.lit(0))).drop("_pt")
     local = d.withColumn("_pl", F.coalesce(F.sum("_pw").over(before(*keys, "_pb").orderBy(*order)), F.lit(0)))
-    joined = local.join(offsets, same(local, offsets, [*keys, "_pb"]))
-    return joined.select(*(local[c] for c in df.columns), (F.col("_pl") + F.col("_po")).alias(out))
+    joined = local.join(offsets.hint("merge"), [*keys, "_pb"])
+    return joined.select(*df.columns, (F.col("_pl") + F.col("_po")).alias(out))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

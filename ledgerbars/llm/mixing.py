@@ -66,7 +66,7 @@ class Mix:
         # shard's counts by source are multinomial given the totals: drawn without putting back.
         slots = prefix_sum(slots.withColumn("h", F.xxhash64(F.lit(seed + 1), "sid", "slot")).withColumn("one", F.lit(0)), ["one"], ["h", "sid", "slot"], None, "place")
         slots = slots.select("sid", "pass", "index", F.floor(F.col("place") / shard_blocks).cast("long").alias("shard"), (F.col("place") % shard_blocks).alias("at"))
-        self.slots = slots.join(blocks.select("sid", "pass", "index", "block"), ["sid", "pass", "index"]).select("sid", "pass", "block", "shard", "at")
+        self.slots = slots.join(blocks.select("sid", "pass", "index", "block").hint("merge"), ["sid", "pass", "index"]).select("sid", "pass", "block", "shard", "at")
 
     def counts(self) -> DataFrame:
         """(shard, sid, blocks): the drawn source counts of each output shard."""
@@ -74,12 +74,12 @@ class Mix:
 
     def pieces(self) -> DataFrame:
         """(shard, at, pass, sid, block, start, from, to): the spans of words, within the document that starts there, of each output block."""
-        return self.slots.join(self.segments, ["sid", "block"])
+        return self.slots.join(self.segments.hint("merge"), ["sid", "block"])
 
     def taken(self) -> DataFrame:
         """(doc_id, source, size, source_size, target, taken): one row a document row."""
         times = self.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-        words = self.segments.join(times, ["sid", "block"]).groupBy("sid", "start").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("words"))
+        words = self.segments.join(times.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("words"))
         full = self.docs.filter("size > 0").join(words, ["sid", "start"], "left")
         cols = ["doc_id", "source", "size", "source_size", "target"]
         return full.select(*cols, F.coalesce("words", F.lit(0).cast("long")).alias("taken")).union(self.docs.filter("size = 0").select(*cols, F.lit(0).cast("long")))
