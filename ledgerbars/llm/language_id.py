@@ -7,6 +7,7 @@ times the logarithm of its sample's length, wins. Texts are parsed whole.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -58,6 +59,19 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
     return table
 
 
+#: Of a Python worker: the model it built last.
+BUILT: dict[str, "Model"] = {}
+
+
+def built(samples: dict[str, str]) -> "Model":
+    """The model of these samples. Tasks carry the samples, which are small; each worker builds the automata once."""
+    name = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
+    if name not in BUILT:
+        BUILT.clear()
+        BUILT[name] = Model(samples)
+    return BUILT[name]
+
+
 class Model:
     """The automata in one table of steps: twice the next state, plus one where a phrase ends."""
 
@@ -144,11 +158,11 @@ def plain(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
 
 
-def train(labelled: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS) -> Model:
-    """Fit on rows (doc_id, text, lang). At most ``docs_each`` documents, chosen by a hash of their id, and
+def train(labelled: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Sample rows (doc_id, text, lang). At most ``docs_each`` documents, chosen by a hash of their id, and
     ``chars_each`` characters of each language reach the driver; of each document an equal share at most.
-    Rows without a language, without text or without a letter teach nothing. No rows: a model that
-    answers ``und``.
+    Rows without a language, without text or without a letter teach nothing. Without any, all texts
+    are ``und``.
     """
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     keys = labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("r", rank).filter(F.col("r") <= docs_each).drop("r")
@@ -160,11 +174,12 @@ def train(labelled: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = S
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(plain(r["text"]))
-    return Model({lang: "\n".join(texts)[:chars_each] for lang, texts in samples.items()})
+    return {lang: "\n".join(texts)[:chars_each] for lang, texts in samples.items()}
 
 
-def predictor(model: Model, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def predictor(samples: dict[str, str], text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = built(samples)
         for b in batches:
             langs, scores = model.predict(b.column(text_at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
@@ -172,7 +187,7 @@ def predictor(model: Model, text_at: int) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, str], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept: a struct of the columns ``keep``, lang_pred, score) for each row, from the whole text alone.
 
     ``und`` with score 0 for a null text and one without letters. Rows may repeat; ids may be null; an
