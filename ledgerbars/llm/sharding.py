@@ -61,15 +61,17 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         docs[id_col].cast("long").alias("doc_id"), (F.coalesce(F.octet_length(t), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.unhex(F.sha2(F.coalesce(F.concat(F.lit("t"), t), F.lit("")), 256)).alias("group"),
     )
+    rows = cut(rows)  # the texts are read once
     rows = prefix_sum(rows.withColumn("_all", F.lit(0)), ["_all"], ["doc_id", "group"], None, "rank")
     many = rows.groupBy("group").agg((F.count("*") > 1).alias("linked")).filter("linked")
     state = rows.join(many, "group", "left").select("doc_id", "size", "text_crc32", F.when(F.col("linked"), F.col("group")).alias("group"), "rank", (F.col("rank") % shards).cast("int").alias("shard"))
     state = cut(state)
     for _ in range(rounds):
-        votes = state.filter("group is not null").groupBy("group", "shard").agg(F.count("*").alias("n"))
+        linked = state.filter("group is not null")
+        votes = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
         best = votes.groupBy("group").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("best"))
-        wish = state.join(best, "group", "left").select(*state.columns, F.coalesce("best", F.lit(-1)).alias("best"))
-        wish = cut(wish)
+        # Unlinked documents have no group and stay out of the join, where they would be one hot key.
+        wish = cut(linked.join(best, "group").select(*state.columns, "best").union(state.filter("group is null").select(*state.columns, F.lit(-1))))
         want, free = [[0] * shards for _ in range(shards)], [0] * shards
         for r in wish.groupBy("shard", "best").count().collect():  # shards * (shards + 1) rows at most
             if r["best"] < 0:
