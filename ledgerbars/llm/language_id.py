@@ -73,7 +73,7 @@ def built(samples: dict[str, str]) -> "Model":
 
 
 class Model:
-    """The automata in one table of steps: twice the next state, plus one where a phrase ends."""
+    """The automata in one table of steps: twice the next state, plus one where a phrase begins."""
 
     def __init__(self, samples: dict[str, str]):
         counts: dict[str, int] = {}
@@ -87,9 +87,9 @@ class Model:
         for lang in self.languages:
             codes = [self.codes[c] for c in samples[lang] if c in self.codes]
             t = suffix_automaton(codes, ALPHABET)
-            again = np.where(t[0] >= 0, t[0], 0)  # after a phrase's end the next one begins with this character
+            again = np.where(t[0] >= 0, t[0], 0)  # where a phrase can't go on, the next one begins with this character
             step = np.where(t >= 0, 2 * (t + base), 2 * (again + base) + 1)
-            step[0] = np.where(t[0] >= 0, 2 * (t[0] + base), 2 * base + 1)
+            step[0] = 2 * (again + base) + 1  # at the root a phrase begins; one of an unseen character ends at once
             tables.append(step.astype(np.int32))
             self.roots.append(base)
             self.logs.append(float(np.log2(max(2, len(codes)))))
@@ -116,7 +116,7 @@ class Model:
             return out
         alive = np.searchsorted(-width, -np.arange(width[0]), side="left")  # lanes longer than k
         states = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
-        counts = np.ones((len(self.languages), len(owner)), np.int64)
+        counts = np.zeros((len(self.languages), len(owner)), np.int64)
         for k in range(int(width[0])):
             n = int(alive[k])
             went = self.step[states[:, :n] * ALPHABET + codes[start[:n] + k]]
