@@ -67,7 +67,7 @@ class Graph:
     def _back(self, k: int, ids: np.ndarray, link: np.ndarray, sims: np.ndarray) -> None:
         """Links back from the neighbours; a full node keeps half its places for old links."""
         src, dst, s = np.repeat(ids, link.shape[1]), link.ravel(), sims.ravel()
-        ok = dst >= 0
+        ok = (dst >= 0) & ~(self.near[k][dst] == src[:, None]).any(1)  # no link twice: a beam would meet its end twice
         src, dst, s = src[ok], dst[ok], s[ok]
         order = np.lexsort((-s, dst))
         src, dst, s = src[order], dst[order], s[order]
@@ -151,7 +151,7 @@ class Graph:
                     seen[near] = True
                     front = near[self.x[near] @ part[i] >= least - slack]
                     all_.append(front)
-                hit = np.concatenate(all_)
+                hit = np.unique(np.concatenate(all_))
                 out.append(self.order[hit[self.x[hit] @ part[i] >= least]])
         return out
 
