@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
@@ -28,6 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop the shuffle files and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     """Null-safe equality of the named columns of two frames; still an equi-join for the planner."""
     return reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))

@@ -9,6 +9,7 @@ no loss, and repeated strings are brought together by content:
    are wholly repeated. Counting combines before it shuffles, so large groups of copies cost a row a task.
 3. For the windows left, the smallest hash of the short strings in each window is its anchor; equal windows have equal
    anchors. Units send what anchors they hold (sorted, four bytes each); those in two places come back.
+   The same again with what stands left and right of those anchors: half of a window's other bytes are on one side.
 4. Runs of windows with such an anchor are sent to the anchor's shard, equal runs combined. Each shard
    sorts its suffixes by induction, takes the common prefixes, and finds for every repeated window the
    smallest document. An anchor with very many different runs is resolved window by window in a join.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .suffix_array import common_prefixes, suffix_array
 
 #: Bytes of the strings whose hashes are anchors, bytes of text a unit aims at, and mean bytes of a chunk.
@@ -154,35 +155,80 @@ def open_windows(t: Texts, known: pa.Table, length: int) -> np.ndarray:
     return left
 
 
-def anchored_runs(t: Texts, left: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(starts, ends, anchors) of the runs of open windows that have one anchor, piece by piece."""
+def anchored_runs(t: Texts, left: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first byte, starts, ends, least hashes, hashes) of each piece: the runs of open windows that have one anchor,
+    counted from the piece's first byte."""
     for lo, hi in t.pieces():
         ok = left[lo:hi]
         if not ok.any():
             continue
-        m = window_min(grams(t.bytes[lo:hi]), length - GRAM + 1)
+        h = grams(t.bytes[lo:hi])
+        m = window_min(h, length - GRAM + 1)
         new = ok.copy()
         new[1:] &= (m[1:] != m[:-1]) | ~ok[:-1]
         s = np.flatnonzero(new)
         over = np.flatnonzero(ok & ~np.concatenate([ok[1:], [False]])) + 1  # ends of stretches of open windows
         e = np.minimum(np.concatenate([s[1:], [len(ok)]]), over[np.searchsorted(over, s, side="right")])
-        yield s + lo, e + lo, mixed(m[s], MIX2)
+        yield lo, s, e, m[s], h
+
+
+def sides(t: Texts, lo: int, s: np.ndarray, e: np.ndarray, least: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each run: where its anchor stands, hashes of the anchor with half of a window's other bytes before it and
+    after it (bytes beyond the document only make a hash that no window needs), and whether the anchor stands once."""
+    half = (length - GRAM) // 2
+    width = length - GRAM + 1
+    at = np.minimum(s[:, None] + np.arange(width)[None, :], len(h) - 1)
+    p = s + (h[at] == least[:, None]).argmax(1)
+    # Once: no second place in the bytes that the run's windows cover. Runs longer than two windows' width are periodic.
+    span = np.minimum(s[:, None] + np.arange(2 * width)[None, :], len(h) - 1)
+    inside = np.arange(2 * width)[None, :] < (e - s + width - 1)[:, None]
+    once = (((h[span] == least[:, None]) & inside).sum(1) == 1) & (e - s <= width)
+    raw = t.bytes[lo:]
+
+    def side(first: np.ndarray) -> np.ndarray:
+        x = least.copy()
+        for k in range(half):
+            x = (x ^ raw[np.clip(first + k, 0, len(raw) - 1)].astype(np.uint64)) * MIX1
+            x ^= x >> np.uint64(31)
+        return mixed(x, MIX2)
+
+    return p, side(p - half), side(p + GRAM), once
 
 
 def bucketed(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((anchor >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24), (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def send_anchors(length: int, buckets: int):
-    """Cogroup of a unit's texts and settled chunks: its anchors by bucket; ``twice``: those it holds in several places."""
+def wanted(known: pa.Table, kind: int) -> np.ndarray:
+    """The sorted tags of a kind that came back: bucket above, four bytes below."""
+    k = known.filter(pa.compute.equal(known.column("kind"), kind))
+    tags = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(k.column("start").to_pylist(), k.column("blob").to_pylist(), strict=True)]
+    return np.sort(np.concatenate(tags)) if tags else np.zeros(0, np.uint64)
+
+
+def among(want: np.ndarray, x: np.ndarray, buckets: int) -> np.ndarray:
+    b, r = bucketed(x, buckets)
+    tag = (b << np.uint64(32)) | r.astype(np.uint64)
+    return want[np.minimum(np.searchsorted(want, tag), len(want) - 1)] == tag if len(want) else np.zeros(len(x), bool)
+
+
+def send_anchors(length: int, buckets: int, round_: int):
+    """Cogroup of a unit's texts and what is known: its anchors by bucket (round 1), or what stands left and right of
+    the anchors that came back (round 2); ``twice``: those it holds in several places."""
 
     def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
         names, kinds = ["unit", "bucket", "once", "twice"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names)
         t = texts_of(docs)
-        found = [a for _, _, a in anchored_runs(t, open_windows(t, known, length), length)]
-        all_, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        found, want = [np.zeros(0, np.uint64)], wanted(known, 1)
+        for lo, s, e, least, h in anchored_runs(t, open_windows(t, known, length), length):
+            anchor = mixed(least, MIX2)
+            if round_ == 1:
+                found.append(anchor)
+            elif (hit := among(want, anchor, buckets)).any():
+                found += sides(t, lo, s[hit], e[hit], least[hit], h, length)[1:3]
+        all_, counts = np.unique(np.concatenate(found), return_counts=True)
         b, r = bucketed(all_, buckets)
         cuts = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
         rows = [(i, r[x:y], counts[x:y]) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
@@ -204,23 +250,27 @@ def match_anchors(key: tuple, rows: pa.Table) -> pa.Table:
 
 
 def send_contexts(length: int, buckets: int):
-    """Cogroup of a unit's texts with its settled chunks (kind 0) and shared anchors (kind 1): the runs to compare."""
+    """Cogroup of a unit's texts with its settled chunks (kind 0), shared anchors (1) and shared sides (2): the runs to compare."""
 
     def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
         names, kinds = ["unit", "anchor", "doc", "start", "end", "context"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        shared = known.filter(pa.compute.equal(known.column("kind"), 1))
-        if not docs.num_rows or not shared.num_rows:
+        anchors = wanted(known, 1) if docs.num_rows else ()
+        if not len(anchors):
             return pa.table([pa.array([], k) for k in kinds], names)
-        t = texts_of(docs)
-        want = np.sort(np.concatenate([np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(shared.column("start").to_pylist(), shared.column("blob").to_pylist(), strict=True)]))
-        out = []
-        for s, e, anchor in anchored_runs(t, open_windows(t, known, length), length):
-            b, r = bucketed(anchor, buckets)
-            tag = (b << np.uint64(32)) | r.astype(np.uint64)
-            hit = want[np.minimum(np.searchsorted(want, tag), len(want) - 1)] == tag
-            s, e, anchor = s[hit], e[hit], anchor[hit]
-            d = np.searchsorted(t.at, s, side="right") - 1
-            raw = t.bytes
+        t, both, half, out = texts_of(docs), wanted(known, 2), (length - GRAM) // 2, []
+        for lo, s, e, least, h in anchored_runs(t, open_windows(t, known, length), length):
+            anchor = mixed(least, MIX2)
+            hit = among(anchors, anchor, buckets)
+            s, e, anchor, least = s[hit], e[hit], anchor[hit], least[hit]
+            if not len(s):
+                continue
+            p, before, after, once = sides(t, lo, s, e, least, h, length)
+            # A window with half of its other bytes before the anchor needs that side shared; likewise after it.
+            s = np.where(once & ~among(both, before, buckets), np.maximum(s, p - half + 1), s)
+            e = np.where(once & ~among(both, after, buckets), np.minimum(e, p + GRAM + half - length), e)
+            keep = e > s
+            s, e, anchor = s[keep] + lo, e[keep] + lo, anchor[keep]
+            d, raw = np.searchsorted(t.at, s, side="right") - 1, t.bytes
             out.append((anchor.view(np.int64), t.keys[d], (s - t.at[d]).astype(np.int32), (e - t.at[d]).astype(np.int32), [raw[x : y + length - 1].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True)]))
         if not out:
             return pa.table([pa.array([], k) for k in kinds], names)
@@ -257,43 +307,37 @@ def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
 
 
 def shard_arrays(length: int):
-    """mapInArrow over (anchor, low, context) sorted by anchor: (anchor, context, spans) where windows repeat;
+    """mapInArrow over (anchor, low, context, digest) sorted by anchor: (anchor, digest, spans) where windows repeat;
     spans: packed pairs of window offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(anchors: list[int], lows: list[int], contexts: list[bytes]) -> pa.RecordBatch:
-            hits = repeated(contexts, np.array(lows), length)
+        def solve(rows: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
+            hits = repeated([r[2] for r in rows], np.array([r[1] for r in rows]), length)
+            anchors, digests = [r[0] for r in rows], [r[3] for r in rows]
             rows = []
-            for a, c, h in zip(anchors, contexts, hits, strict=True):
+            for a, c, h in zip(anchors, digests, hits, strict=True):
                 if len(h):
                     flags = np.zeros(int(h[-1]) + 1, bool)
                     flags[h] = True
                     rows.append((a, c, np.stack(runs(flags), axis=1).astype(np.int32).ravel().tolist()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["anchor", "context", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["anchor", "digest", "spans"])
 
-        anchors, lows, contexts, held = [], [], [], 0
-        group: tuple[list, list] = ([], [])
-        now = None
+        todo, group, held = [], [], 0  # an anchor with one context has nothing to compare
         for b in batches:
-            for a, low, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if a != now:
-                    if len(group[0]) > 1:
-                        anchors += [now] * len(group[0])
-                        lows += group[0]
-                        contexts += group[1]
-                        held += sum(map(len, group[1]))
+            for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if group and row[0] != group[0][0]:
+                    if len(group) > 1:
+                        todo += group
+                        held += sum(len(r[2]) for r in group)
                         if held >= SHARD_BYTES:
-                            yield solve(anchors, lows, contexts)
-                            anchors, lows, contexts, held = [], [], [], 0
-                    now, group = a, ([], [])
-                group[0].append(low)
-                group[1].append(c)
-        if len(group[0]) > 1:
-            anchors += [now] * len(group[0])
-            lows += group[0]
-            contexts += group[1]
-        if anchors:
-            yield solve(anchors, lows, contexts)
+                            yield solve(todo)
+                            todo, held = [], 0
+                    group = []
+                group.append(row)
+        if len(group) > 1:
+            todo += group
+        if todo:
+            yield solve(todo)
 
     return run
 
@@ -347,36 +391,41 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # One shuffle of the texts; the table is read in place by every pass.
     dealt = rows.withColumn("unit", unit).repartition(int(units), "unit").groupBy("unit", "key").agg(F.max("text").alias("text"), F.bool_or("none").alias("none"))
     dealt.write.option("compression", "zstd").bucketBy(int(units), "unit").sortBy("unit").saveAsTable(name)
+    del dealt
+    release(spark)
     try:
         texts = spark.table(name).select("unit", "key", "text")
         chunks = texts.groupBy("unit").applyInArrow(by_unit(length), "unit int, doc long, start int, end int, hi long, lo long")
         chunks = cut(chunks)
         lows = chunks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
         again = cut(chunks.join(lows, ["hi", "lo"]).filter("doc > low").select("unit", "doc", "start", "end"))
-        settled = again.select("unit", F.lit(0).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"))
-        sent = texts.groupBy("unit").cogroup(settled.groupBy("unit")).applyInArrow(send_anchors(length, buckets), "unit int, bucket int, once binary, twice binary")
-        shared = sent.groupBy("bucket").applyInArrow(match_anchors, "unit int, bucket int, blob binary")
-        known = settled.union(shared.select("unit", F.lit(1), F.lit(0).cast("long"), "bucket", "bucket", "blob"))
+        del chunks, lows
+        release(spark)
+        known = again.select("unit", F.lit(0).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"))
+        for round_ in (1, 2):
+            sent = texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_anchors(length, buckets, round_), "unit int, bucket int, once binary, twice binary")
+            shared = cut(sent.groupBy("bucket").applyInArrow(match_anchors, "unit int, bucket int, blob binary"))
+            known = known.union(shared.select("unit", F.lit(round_), F.lit(0).cast("long"), "bucket", "bucket", "blob"))
         found = texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_contexts(length, buckets), "unit int, anchor long, doc long, start int, end int, context binary")
-        found = cut(found)
-        distinct = found.groupBy("anchor", "context").agg(F.min("doc").alias("low"))
-        sizes = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("size")).filter("n > 1")
-        distinct = cut(distinct.join(sizes.select("anchor", (F.col("size") > ANCHOR_BYTES).alias("big")), "anchor"))
-        small = distinct.filter("not big").select("anchor", "low", "context").repartition("anchor").sortWithinPartitions("anchor", "low")
-        spans = small.mapInArrow(shard_arrays(length), "anchor long, context binary, spans array<int>")
+        found = cut(found.withColumn("digest", F.xxhash64("context")))
+        release(spark)
+        # Equal runs of an anchor are one, however many documents hold it.
+        distinct = cut(found.groupBy("anchor", "digest").agg(F.min("doc").alias("low"), F.any_value("context").alias("context")))
+        large = distinct.groupBy("anchor").agg(F.sum(F.length("context")).alias("size")).filter(F.col("size") > ANCHOR_BYTES).select("anchor")
+        small = distinct.join(large, "anchor", "left_anti").select("anchor", "low", "context", "digest").repartition("anchor").sortWithinPartitions("anchor", "low")
+        spans = small.mapInArrow(shard_arrays(length), "anchor long, digest long, spans array<int>")
         # Anchors too large for one shard: each window by its content, combined before the shuffle.
         offsets = F.sequence(F.lit(0), F.length("context") - length)
-        wide = distinct.filter("big").select("anchor", "context", "low", F.explode(offsets).alias("at")).withColumn("window", F.substring("context", F.col("at") + 1, F.lit(length)))
+        wide = distinct.join(large, "anchor", "left_semi").select("anchor", "digest", "low", F.explode(offsets).alias("at"), "context").select("anchor", "digest", "low", "at", F.substring("context", F.col("at") + 1, F.lit(length)).alias("window"))
         firsts = wide.groupBy("window").agg(F.min("low").alias("first"))
-        hits = wide.join(firsts, "window").filter("first < low").groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans"))
-        marks = distinct.join(spans.union(hits), ["anchor", "context"], "left").select("anchor", "context", "low", "spans")
-        lone = found.join(distinct.select("anchor").distinct(), "anchor", "left_anti")
-        alone = lone.groupBy("anchor", "context").agg(F.min("doc").alias("low")).withColumn("spans", F.lit(None).cast("array<int>"))
-        j = found.join(marks.union(alone), ["anchor", "context"])
-        whole = j.filter("doc > low").select("unit", "doc", "start", "end")
+        hits = wide.join(firsts, "window").filter("first < low").groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans"))
+        spans = cut(spans.union(hits))
+        marks = distinct.select("anchor", "digest", "low").join(spans, ["anchor", "digest"], "left")
+        j = found.select("unit", "anchor", "digest", "doc", "start", "end").join(marks, ["anchor", "digest"]).filter("doc > low or spans is not null")
         pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(F.get("spans", (2 * i).cast("int")).alias("a"), F.get("spans", (2 * i + 1).cast("int")).alias("b")))
-        part = j.filter("doc = low and size(spans) > 0").select("unit", "doc", "start", F.explode(pairs).alias("p")).select("unit", "doc", (F.col("start") + F.col("p.a")).alias("start"), (F.col("start") + F.col("p.b")).alias("end"))
-        gone = again.union(whole).union(part)
+        pairs = F.when(F.col("doc") > F.col("low"), F.array(F.struct(F.lit(0).alias("a"), (F.col("end") - F.col("start")).alias("b")))).otherwise(pairs)
+        part = j.select("unit", "doc", "start", F.explode(pairs).alias("p")).select("unit", "doc", (F.col("start") + F.col("p.a")).alias("start"), (F.col("start") + F.col("p.b")).alias("end"))
+        gone = again.union(part)
         out = texts.groupBy("unit").cogroup(gone.groupBy("unit")).applyInArrow(cut_bytes(length), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         none = spark.table(name).filter("none").select("key", "none")
         out = cut(out.join(F.broadcast(none.limit(1)), "key", "left").select(F.when(F.col("none"), None).otherwise(F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"))
