@@ -20,9 +20,9 @@ def reputation_sql(pages: str, url: str = "url", rules: Sequence[tuple[str, str,
     said = " ".join(f"{f} THEN {quote(v)}" for f, (v, _, _) in zip(fits, order, strict=True))
     case = lambda c: f"CASE {c} END" if c else "CAST(NULL AS VARCHAR(9))"
     level = lambda name, key, child, up, mean: f"""
-{name}_at AS (SELECT c.{key}, c.n, c.k, {mean} AS mu FROM {child} c {up}),
+{name}_at AS (SELECT c.{key}, c.n, c.k, {mean} AS mu FROM {child} c{up}),
 {name}_s AS (SELECT least(0.5, greatest(0.001, coalesce(sum((k - n * mu) * (k - n * mu) - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0), 0.5))) AS rho FROM {name}_at WHERE n > 0),
-{name} AS (SELECT {key}, mu * (1 / rho - 1) + k AS a, (1 - mu) * (1 / rho - 1) + n - k AS b FROM {name}_at, {name}_s)"""
+{name} AS (SELECT {key}, mu * (1 / (SELECT rho FROM {name}_s) - 1) + k AS a, (1 - mu) * (1 / (SELECT rho FROM {name}_s) - 1) + n - k AS b FROM {name}_at)"""
     return f"""
 WITH parts AS (
   SELECT page_id, translate(regexp_extract({url}, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract({url}, '://[^/?#]*([^?#]*)', 1) AS path FROM {pages}),
@@ -33,9 +33,9 @@ hosts AS (SELECT host, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain, r
 domains AS (SELECT domain, min(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY domain),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY suffix),
 world AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mu FROM suffixes),
-{level("s", "suffix", "suffixes", ", world w", "w.mu")},
-{level("d", "domain", "domains", "JOIN s u ON c.suffix = u.suffix", "u.a / (u.a + u.b)")},
-{level("h", "host", "hosts", "JOIN d u ON c.domain = u.domain", "u.a / (u.a + u.b)")},
+{level("s", "suffix", "suffixes", "", "(SELECT mu FROM world)")},
+{level("d", "domain", "domains", " JOIN s u ON c.suffix = u.suffix", "u.a / (u.a + u.b)")},
+{level("h", "host", "hosts", " JOIN d u ON c.domain = u.domain", "u.a / (u.a + u.b)")},
 j AS (SELECT host, CASE WHEN a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {bound} THEN 'block' ELSE 'allow' END AS verdict FROM h)
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.said, j.verdict) AS verdict FROM r JOIN j ON r.host = j.host
 """
