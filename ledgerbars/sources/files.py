@@ -32,9 +32,11 @@ def append_json(df: DataFrame, path: str, day: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantine): a line that does not fit the schema keeps its text and goes to the second."""
+    """(rows, quarantine): a line that does not fit the schema keeps its text and goes to the second.
+
+    All columns are parsed, whatever the query uses: a pruned column would hide its bad values."""
     whole = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    df = spark.read.schema(whole).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    df = spark.read.schema(whole).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).csv(path)
     return df.filter("_corrupt_record is null").drop("_corrupt_record"), df.filter("_corrupt_record is not null")
 
 
