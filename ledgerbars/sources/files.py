@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,14 @@ def append_json(df: DataFrame, path: str, day: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantine): a line that does not fit the schema keeps its text and goes to the second.
-
-    All columns are parsed, whatever the query uses: a pruned column would hide its bad values."""
-    whole = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
-    df = spark.read.schema(whole).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False).csv(path)
-    return df.filter("_corrupt_record is null").drop("_corrupt_record"), df.filter("_corrupt_record is not null")
+    """(rows, quarantine): a line with a value that does not fit its type keeps its strings and goes to the second.
+
+    Values are read as strings and cast here: a reader's own check would not see the columns that a
+    query does not use.
+    """
+    raw = spark.read.schema(StructType([StructField(f.name, StringType()) for f in schema.fields])).option("header", True).csv(path)
+    unfit = reduce(lambda x, y: x | y, (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull() for f in schema.fields))
+    return raw.filter(~unfit).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields)), raw.filter(unfit)
 
 
 def append_audit(df: DataFrame, path: str) -> None:
