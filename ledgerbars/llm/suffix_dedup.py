@@ -10,8 +10,9 @@ no loss, and repeated strings are brought together by content:
 3. For the windows left, the smallest hash of the short strings in each window is its anchor; equal windows have equal
    anchors. Units send what anchors they hold (sorted, four bytes each); those in two places come back.
    The same again with what stands left and right of those anchors: half of a window's other bytes are on one side.
-4. Runs of windows with such an anchor are sent to the anchor's shard, equal runs combined. Each shard
-   sorts its suffixes by induction, takes the common prefixes, and finds for every repeated window the
+4. Runs of windows with such an anchor are compared by digest first: of equal runs only the smallest document's goes on.
+   Of those, only windows whose hash is in two places go on, with their bytes, to the anchor's shard. Each shard sorts its
+   suffixes by induction, takes the common prefixes, and finds for every repeated window the
    smallest document. An anchor with very many different runs is resolved window by window in a join.
 5. Units gather the repeated windows of their documents and cut the bytes.
 """
@@ -99,8 +100,8 @@ class Texts:
         some = self.sizes >= length
         return spread(self.at[:-1][some], self.at[1:][some] - length + 1, len(self.bytes))
 
-    def pieces(self, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-        """Ranges of whole documents of about ``most`` bytes, so that work arrays stay small."""
+    def pieces(self, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+        """Ranges of whole documents of about ``most`` bytes, so that work arrays stay in a core's cache."""
         lo = 0
         for end in self.at[1:].tolist():
             if end - lo >= most:
@@ -114,31 +115,31 @@ class Texts:
         return self.at[order[np.searchsorted(self.keys[order], keys)]] + offsets
 
 
-def chunk_rows(unit: int, t: Texts, length: int) -> pa.RecordBatch:
+def chunk_rows(unit: int, t: Texts, length: int) -> pa.Table:
     """(unit, doc, start, end, hi, lo): the chunks as ranges of window starts, with a digest of all their bytes."""
-    docs, starts, ends, digests = [], [], [], []
+    left = t.windows(length)
+    starts, ends, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     limit = np.uint64(2**64 // CHUNK_BYTES - 1)
     for lo, hi in t.pieces():
-        h = mixed(grams(t.bytes[lo:hi]), MIX2)
-        marks = np.flatnonzero(h < limit) + lo
-        first, last = np.searchsorted(t.at, lo), np.searchsorted(t.at, hi)
-        for d in range(first, last):
-            a, b = int(t.at[d]), int(t.at[d + 1]) - length + 1  # window starts of the document
-            if b > a:
-                inner = marks[np.searchsorted(marks, a + 1) : np.searchsorted(marks, b)]
-                s = np.concatenate([[a], inner])
-                e = np.concatenate([inner, [b]])
-                raw = t.bytes[a : int(t.at[d + 1])].tobytes()
-                for x, y in zip((s - a).tolist(), (e - a).tolist(), strict=True):
-                    digests.append(hashlib.blake2b(raw[x : y + length - 1], digest_size=16).digest())
-                docs.append(np.full(len(s), t.keys[d]))
-                starts.append(s - a)
-                ends.append(e - a)
-    if not docs:
-        return pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())], ["unit", "doc", "start", "end", "hi", "lo"])
+        ok = left[lo:hi]
+        new = ok & (mixed(grams(t.bytes[lo:hi]), MIX2) < limit)
+        new[1:] |= ok[1:] & ~ok[:-1]
+        new[0] = ok[0]
+        at = np.searchsorted(t.at, [lo, hi])
+        first = t.at[at[0] : at[1]] - lo  # documents begin chunks
+        new[first[(first < len(ok))]] |= ok[first[(first < len(ok))]]
+        s = np.flatnonzero(new)
+        over = np.flatnonzero(ok & ~np.concatenate([ok[1:], [False]])) + 1
+        e = np.minimum(np.concatenate([s[1:], [len(ok)]]), over[np.searchsorted(over, s, side="right")]) if len(s) else s
+        raw = t.bytes[lo:hi].tobytes()
+        digests += [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(s.tolist(), (e + length - 1).tolist(), strict=True)]
+        starts.append(s + lo)
+        ends.append(e + lo)
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    doc = np.searchsorted(t.at, start, side="right") - 1
     d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    doc, start, end = np.concatenate(docs), np.concatenate(starts).astype(np.int32), np.concatenate(ends).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), unit, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (doc, start, end, d[:, 0], d[:, 1]))], ["unit", "doc", "start", "end", "hi", "lo"])
+    cols = [np.full(len(start), unit, np.int32), t.keys[doc], (start - t.at[doc]).astype(np.int32), (end - t.at[doc]).astype(np.int32), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1])]
+    return pa.table([pa.array(c) for c in cols], ["unit", "doc", "start", "end", "hi", "lo"])
 
 
 def texts_of(table: pa.Table) -> Texts:
@@ -228,12 +229,7 @@ def send_anchors(length: int, buckets: int, round_: int):
                 found.append(anchor)
             elif (hit := among(want, anchor, buckets)).any():
                 found += sides(t, lo, s[hit], e[hit], least[hit], h, length)[1:3]
-        all_, counts = np.unique(np.concatenate(found), return_counts=True)
-        b, r = bucketed(all_, buckets)
-        cuts = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
-        rows = [(i, r[x:y], counts[x:y]) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-        data = [[key[0].as_py()] * len(rows), [i for i, _, _ in rows], [np.sort(x[c == 1]).tobytes() for _, x, c in rows], [np.sort(x[c > 1]).tobytes() for _, x, c in rows]]
-        return pa.table([pa.array(x, k) for x, k in zip(data, kinds, strict=True)], names)
+        return pack(key[0].as_py(), np.concatenate(found), buckets)
 
     return run
 
@@ -249,15 +245,26 @@ def match_anchors(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([units[i] for i in keep], pa.int32()), pa.array([key[0].as_py()] * len(keep), pa.int32()), pa.array([np.sort(mine[i]).tobytes() for i in keep], pa.binary())], ["unit", "bucket", "blob"])
 
 
-def send_contexts(length: int, buckets: int):
-    """Cogroup of a unit's texts with its settled chunks (kind 0), shared anchors (1) and shared sides (2): the runs to compare."""
+def pack(unit: int, found: np.ndarray, buckets: int) -> pa.Table:
+    """Tags by bucket, four bytes each: those that are there once, and those that are there more often."""
+    all_, counts = np.unique(found, return_counts=True)
+    b, r = bucketed(all_, buckets)
+    cuts = np.searchsorted(b, np.arange(buckets + 1, dtype=np.uint64))
+    rows = [(i, r[x:y], counts[x:y]) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+    data = [[unit] * len(rows), [i for i, _, _ in rows], [np.sort(x[c == 1]).tobytes() for _, x, c in rows], [np.sort(x[c > 1]).tobytes() for _, x, c in rows]]
+    return pa.table([pa.array(x, k) for x, k in zip(data, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "bucket", "once", "twice"])
+
+
+def send_runs(length: int, buckets: int):
+    """Cogroup of a unit's texts with its settled chunks (kind 0), shared anchors (1) and shared sides (2): the runs
+    to compare, with a digest of their bytes."""
 
     def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        names, kinds = ["unit", "anchor", "doc", "start", "end", "context"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names, kinds = ["unit", "anchor", "digest", "doc", "start", "end"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         anchors = wanted(known, 1) if docs.num_rows else ()
         if not len(anchors):
             return pa.table([pa.array([], k) for k in kinds], names)
-        t, both, half, out = texts_of(docs), wanted(known, 2), (length - GRAM) // 2, []
+        t, both, half, out, digests = texts_of(docs), wanted(known, 2), (length - GRAM) // 2, [], []
         for lo, s, e, least, h in anchored_runs(t, open_windows(t, known, length), length):
             anchor = mixed(least, MIX2)
             hit = among(anchors, anchor, buckets)
@@ -270,13 +277,65 @@ def send_contexts(length: int, buckets: int):
             e = np.where(once & ~among(both, after, buckets), np.minimum(e, p + GRAM + half - length), e)
             keep = e > s
             s, e, anchor = s[keep] + lo, e[keep] + lo, anchor[keep]
-            d, raw = np.searchsorted(t.at, s, side="right") - 1, t.bytes
-            out.append((anchor.view(np.int64), t.keys[d], (s - t.at[d]).astype(np.int32), (e - t.at[d]).astype(np.int32), [raw[x : y + length - 1].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True)]))
-        if not out:
+            raw, base = t.bytes[lo : int(e.max(initial=0)) + length].tobytes(), lo
+            digests += [hashlib.blake2b(raw[x - base : y - base], digest_size=8).digest() for x, y in zip(s.tolist(), (e + length - 1).tolist(), strict=True)]
+            d = np.searchsorted(t.at, s, side="right") - 1
+            out.append((anchor.view(np.int64), t.keys[d], (s - t.at[d]).astype(np.int32), (e - t.at[d]).astype(np.int32)))
+        if not digests:
             return pa.table([pa.array([], k) for k in kinds], names)
-        cols = [np.concatenate([o[i] for o in out]) for i in range(4)]
-        texts = [x for o in out for x in o[4]]
-        return pa.table([pa.array([key[0].as_py()] * len(texts), pa.int32()), *map(pa.array, cols), pa.array(texts, pa.binary())], names)
+        anchor, doc, start, end = (np.concatenate([o[i] for o in out]) for i in range(4))
+        cols = [np.full(len(doc), key[0].as_py(), np.int32), anchor, np.frombuffer(b"".join(digests), np.int64), doc, start, end]
+        return pa.table([pa.array(c) for c in cols], names)
+
+    return run
+
+
+def window_tags(t: Texts, asked: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the asked runs: each window's place, its hash, and the run it is of."""
+    at = t.place(asked.column("doc").to_numpy(), asked.column("start").to_numpy())
+    n = asked.column("end").to_numpy() - asked.column("start").to_numpy()
+    run_ = np.repeat(np.arange(len(n)), n)
+    place = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    tag = np.empty(len(place), np.uint64)
+    for i in range(0, len(place), 1 << 16):
+        p, x = place[i : i + (1 << 16)], np.zeros(min(1 << 16, len(place) - i), np.uint64)
+        for k in range(length):
+            x = (x + t.bytes[p + k]) * MIX1
+            x ^= x >> np.uint64(29)
+        tag[i : i + (1 << 16)] = mixed(x, MIX2)
+    return place, tag, run_
+
+
+def send_windows(length: int, buckets: int):
+    """Cogroup of a unit's texts with the runs asked for (kind 3): the hashes of their windows by bucket."""
+
+    def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
+        tags = window_tags(texts_of(docs), known, length)[1] if docs.num_rows and known.num_rows else np.zeros(0, np.uint64)
+        return pack(key[0].as_py(), tags, buckets)
+
+    return run
+
+
+def send_contexts(length: int, buckets: int):
+    """Cogroup of a unit's texts with the runs asked for (kind 3) and the windows that are in several places (4):
+    the bytes of what is left of each run, with its offset in it."""
+
+    def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
+        names, kinds = ["anchor", "digest", "low", "offset", "context"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        want = wanted(known, 4) if docs.num_rows else ()
+        if not len(want):
+            return pa.table([pa.array([], k) for k in kinds], names)
+        asked = known.filter(pa.compute.equal(known.column("kind"), 3))
+        t = texts_of(docs)
+        place, tag, run_ = window_tags(t, asked, length)
+        ok = among(want, tag, buckets)
+        place, run_ = place[ok], run_[ok]
+        new = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (np.diff(run_) != 0)]) if len(place) else np.zeros(0, int)
+        last = np.r_[new[1:], len(place)] - 1 if len(place) else new
+        s, e, r = place[new], place[last] + length, run_[new]
+        first = t.place(asked.column("doc").to_numpy(), asked.column("start").to_numpy())[r]
+        cols = [asked.column(c).to_numpy()[r] for c in ("anchor", "digest", "doc")]
+        return pa.table([*map(pa.array, cols), pa.array((s - first).astype(np.int32)), pa.array([t.bytes[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())], names)
 
     return run
 
@@ -307,20 +366,18 @@ def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
 
 
 def shard_arrays(length: int):
-    """mapInArrow over (anchor, low, context, digest) sorted by anchor: (anchor, digest, spans) where windows repeat;
-    spans: packed pairs of window offsets."""
+    """mapInArrow over (anchor, digest, low, offset, context) sorted by anchor: (anchor, digest, a, b): the ranges of
+    windows of a run that a smaller document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
-            hits = repeated([r[2] for r in rows], np.array([r[1] for r in rows]), length)
-            anchors, digests = [r[0] for r in rows], [r[3] for r in rows]
-            rows = []
-            for a, c, h in zip(anchors, digests, hits, strict=True):
+        def solve(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+            out = []
+            for (anchor, digest, _, offset, _), h in zip(rows, repeated([r[4] for r in rows], np.array([r[2] for r in rows]), length), strict=True):
                 if len(h):
                     flags = np.zeros(int(h[-1]) + 1, bool)
                     flags[h] = True
-                    rows.append((a, c, np.stack(runs(flags), axis=1).astype(np.int32).ravel().tolist()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["anchor", "digest", "spans"])
+                    out += [(anchor, digest, offset + a, offset + b) for a, b in zip(*(x.tolist() for x in runs(flags)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["anchor", "digest", "a", "b"])
 
         todo, group, held = [], [], 0  # an anchor with one context has nothing to compare
         for b in batches:
@@ -328,7 +385,7 @@ def shard_arrays(length: int):
                 if group and row[0] != group[0][0]:
                     if len(group) > 1:
                         todo += group
-                        held += sum(len(r[2]) for r in group)
+                        held += sum(len(r[4]) for r in group)
                         if held >= SHARD_BYTES:
                             yield solve(todo)
                             todo, held = [], 0
@@ -366,7 +423,7 @@ def cut_bytes(length: int):
 
 def by_unit(length: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([chunk_rows(key[0].as_py(), texts_of(docs), length)])
+        return chunk_rows(key[0].as_py(), texts_of(docs), length)
 
     return run
 
@@ -402,30 +459,37 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         del chunks, lows
         release(spark)
         known = again.select("unit", F.lit(0).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"))
+        matched = lambda sent: cut(sent.groupBy("bucket").applyInArrow(match_anchors, "unit int, bucket int, blob binary"))
+        sent_schema = "unit int, bucket int, once binary, twice binary"
         for round_ in (1, 2):
-            sent = texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_anchors(length, buckets, round_), "unit int, bucket int, once binary, twice binary")
-            shared = cut(sent.groupBy("bucket").applyInArrow(match_anchors, "unit int, bucket int, blob binary"))
+            shared = matched(texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_anchors(length, buckets, round_), sent_schema))
             known = known.union(shared.select("unit", F.lit(round_), F.lit(0).cast("long"), "bucket", "bucket", "blob"))
-        found = texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_contexts(length, buckets), "unit int, anchor long, doc long, start int, end int, context binary")
-        found = cut(found.withColumn("digest", F.xxhash64("context")))
+            release(spark)
+        found = cut(texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_runs(length, buckets), "unit int, anchor long, digest long, doc long, start int, end int"))
+        # Equal runs of an anchor are one, however many documents hold it; combined before the shuffle.
+        distinct = cut(found.groupBy("anchor", "digest").agg(F.min_by(F.struct("unit", "doc", "start", "end"), F.struct("doc", "start")).alias("r")).select("anchor", "digest", "r.*"))
+        several = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start") + length).alias("size")).filter("n > 1")
+        asked = distinct.join(several.select("anchor"), "anchor", "left_semi").select("unit", F.lit(3).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"), "anchor", "digest")
+        asked = cut(asked)
         release(spark)
-        # Equal runs of an anchor are one, however many documents hold it.
-        distinct = cut(found.groupBy("anchor", "digest").agg(F.min("doc").alias("low"), F.any_value("context").alias("context")))
-        large = distinct.groupBy("anchor").agg(F.sum(F.length("context")).alias("size")).filter(F.col("size") > ANCHOR_BYTES).select("anchor")
-        small = distinct.join(large, "anchor", "left_anti").select("anchor", "low", "context", "digest").repartition("anchor").sortWithinPartitions("anchor", "low")
-        spans = small.mapInArrow(shard_arrays(length), "anchor long, digest long, spans array<int>")
+        shared = matched(texts.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(send_windows(length, buckets), sent_schema))
+        known = asked.union(shared.select("unit", F.lit(4), F.lit(0).cast("long"), "bucket", "bucket", "blob", F.lit(0).cast("long"), F.lit(0).cast("long")))
+        contexts = texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_contexts(length, buckets), "anchor long, digest long, low long, offset int, context binary")
+        large = several.filter(F.col("size") > ANCHOR_BYTES).select("anchor")
+        contexts = cut(contexts.join(large.withColumn("large", F.lit(True)), "anchor", "left"))
+        shards = contexts.filter("large is null").select("anchor", "digest", "low", "offset", "context").repartition("anchor").sortWithinPartitions("anchor", "low", "digest", "offset")
+        spans = shards.mapInArrow(shard_arrays(length), "anchor long, digest long, a int, b int")
         # Anchors too large for one shard: each window by its content, combined before the shuffle.
         offsets = F.sequence(F.lit(0), F.length("context") - length)
-        wide = distinct.join(large, "anchor", "left_semi").select("anchor", "digest", "low", F.explode(offsets).alias("at"), "context").select("anchor", "digest", "low", "at", F.substring("context", F.col("at") + 1, F.lit(length)).alias("window"))
+        wide = contexts.filter("large").select("anchor", "digest", "low", "offset", "context", F.explode(offsets).alias("at")).select("anchor", "digest", "low", (F.col("offset") + F.col("at")).alias("a"), F.substring("context", F.col("at") + 1, F.lit(length)).alias("window"))
         firsts = wide.groupBy("window").agg(F.min("low").alias("first"))
-        hits = wide.join(firsts, "window").filter("first < low").groupBy("anchor", "digest").agg(F.flatten(F.collect_list(F.array("at", F.col("at") + 1))).alias("spans"))
-        spans = cut(spans.union(hits))
-        marks = distinct.select("anchor", "digest", "low").join(spans, ["anchor", "digest"], "left")
-        j = found.select("unit", "anchor", "digest", "doc", "start", "end").join(marks, ["anchor", "digest"]).filter("doc > low or spans is not null")
-        pairs = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(F.get("spans", (2 * i).cast("int")).alias("a"), F.get("spans", (2 * i + 1).cast("int")).alias("b")))
-        pairs = F.when(F.col("doc") > F.col("low"), F.array(F.struct(F.lit(0).alias("a"), (F.col("end") - F.col("start")).alias("b")))).otherwise(pairs)
-        part = j.select("unit", "doc", "start", F.explode(pairs).alias("p")).select("unit", "doc", (F.col("start") + F.col("p.a")).alias("start"), (F.col("start") + F.col("p.b")).alias("end"))
-        gone = again.union(part)
+        hits = wide.join(firsts, "window").filter("first < low").select("anchor", "digest", "a", (F.col("a") + 1).alias("b"))
+        # The smallest document of a run loses those ranges; every other document with that run loses all of it.
+        part = distinct.join(spans.union(hits), ["anchor", "digest"])
+        mine = found.join(part.select("anchor", "digest", F.col("doc").alias("low"), "a", "b"), ["anchor", "digest"]).filter("doc = low").select("unit", "doc", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))
+        lows = distinct.select("anchor", "digest", F.col("doc").alias("low"))
+        whole = found.join(lows, ["anchor", "digest"]).filter("doc > low").select("unit", "doc", "start", "end")
+        gone = again.union(mine).union(whole)
         out = texts.groupBy("unit").cogroup(gone.groupBy("unit")).applyInArrow(cut_bytes(length), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         none = spark.table(name).filter("none").select("key", "none")
         out = cut(out.join(F.broadcast(none.limit(1)), "key", "left").select(F.when(F.col("none"), None).otherwise(F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"))
