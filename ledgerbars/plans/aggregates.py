@@ -26,12 +26,12 @@ def verified_horizon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT doc_id % 10 AS suite, bool_and(quality = 1) AS all_passed, bool_or(toxic = 1) AS any_failed, count_if(quality = 1) AS n_pass, count_if(quality = 0) AS n_fail,
-coalesce(list(doc_id ORDER BY doc_id) FILTER (toxic = 1), []) AS failed FROM labels GROUP BY 1""")
+coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (toxic = 1), 'none') AS failed FROM labels GROUP BY 1""")
 def check_summary(spark: SparkSession, sf: str) -> DataFrame:
     bad = F.col("toxic") == 1
     return load(spark, sf, "labels").groupBy((F.col("doc_id") % 10).alias("suite")).agg(
         F.bool_and(F.col("quality") == 1).alias("all_passed"), F.bool_or(bad).alias("any_failed"), F.count_if(F.col("quality") == 1).alias("n_pass"), F.count_if(F.col("quality") == 0).alias("n_fail"),
-        F.array_sort(F.collect_list(F.when(bad, F.col("doc_id")))).alias("failed"),
+        F.coalesce(F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("doc_id")))), ","), F.lit("")), F.lit("none")).alias("failed"),
     )
 
 

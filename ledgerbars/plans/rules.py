@@ -64,10 +64,10 @@ def entry_time_bands(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count_if(ok).alias("n_allowed"))
 
 
-@query("""SELECT event_id, list_filter([CASE WHEN event_type = 'error' THEN 'feed' END, CASE WHEN value > 50 THEN 'skew' END, CASE WHEN event_id % 11 = 0 THEN 'disk' END, CASE WHEN user_id % 9 = 0 THEN 'wal' END], lambda x: x IS NOT NULL) AS problems FROM events""")
+@query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_type = 'error' THEN 'feed' END, CASE WHEN value > 50 THEN 'skew' END, CASE WHEN event_id % 11 = 0 THEN 'disk' END, CASE WHEN user_id % 9 = 0 THEN 'wal' END], lambda x: x IS NOT NULL), ',') AS problems FROM events""")
 def health_problems(spark: SparkSession, sf: str) -> DataFrame:
     p = F.array(F.when(F.col("event_type") == "error", "feed"), F.when(F.col("value") > 50, "skew"), F.when(F.col("event_id") % 11 == 0, "disk"), F.when(F.col("user_id") % 9 == 0, "wal"))
-    return load(spark, sf, "events").select("event_id", F.array_compact(p).alias("problems"))
+    return load(spark, sf, "events").select("event_id", F.array_join(F.array_compact(p), ",").alias("problems"))
 
 
 @query("""SELECT user_id, count(*) AS n, count_if(props IS NULL) AS unknown, coalesce(min(offset_us), -1) AS offset_us FROM (SELECT user_id, props, abs(coalesce(CASE WHEN event_type = 'view' THEN value END, CASE WHEN event_type = 'click' THEN value * 2 END)) AS offset_us FROM events) GROUP BY 1""")

@@ -41,9 +41,9 @@ def top_orders(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
 
 
-@query("""SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, list(o_orderkey ORDER BY o_orderdate, o_orderkey)[1:3] AS earliest FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_order, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_order, array_to_string(list(o_orderkey ORDER BY o_orderdate, o_orderkey)[1:3], ',') AS earliest FROM orders GROUP BY 1""")
 def first_last_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders")
     at = F.struct("o_orderdate", "o_orderkey")
     early = F.transform(F.slice(F.array_sort(F.collect_list(at)), 1, 3), lambda s: s["o_orderkey"])
-    return o.groupBy("o_custkey").agg(F.min_by("o_orderkey", at).alias("first_order"), F.max_by("o_orderkey", at).alias("last_order"), early.alias("earliest"))
+    return o.groupBy("o_custkey").agg(F.min_by("o_orderkey", at).alias("first_order"), F.max_by("o_orderkey", at).alias("last_order"), F.array_join(early, ",").alias("earliest"))

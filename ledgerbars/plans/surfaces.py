@@ -72,3 +72,15 @@ def decayed_by_order(spark: SparkSession, sf: str) -> DataFrame:
         return pd.DataFrame({"o_custkey": [pdf["o_custkey"].iloc[0]], "score": [round(float(v.ewm(alpha=0.5).mean().iloc[-1]), 4)]})
 
     return load(spark, sf, "orders").select("o_custkey", "o_orderkey").groupBy("o_custkey").applyInPandas(of, "o_custkey long, score double")
+
+
+@query("SELECT event_type AS type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS value, 0 AS n_skipped FROM events GROUP BY 1")
+def frame_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as frames on the wire and back; frames that can't be decoded would be counted."""
+    from ..sources.frames import decode_frames, encode_frames
+
+    e = load(spark, sf, "events").select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("type"), F.to_json(F.struct("event_id", "value")).alias("data"))
+    d = decode_frames(encode_frames(e), "source", "frame")
+    body = F.from_json("data", "event_id long, value double")
+    g = d.withColumn("b", body).groupBy("type").agg(F.count("*").alias("n"), F.sum("b.event_id").alias("ids"), F.sum(F.col("b.value").cast("decimal(18,4)")).cast("double").alias("value"), F.count_if(~F.col("ok")).alias("n_skipped"))
+    return g

@@ -56,12 +56,12 @@ def cluster_centroid_075(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("vec_id", "label", F.round(cos, 4).alias("cos"), (F.round(cos, 4) >= 0.75).alias("in_cluster"))
 
 
-@query("""SELECT p_partkey, list_transform(list_filter(string_split(replace(p_name, ' ', ',,') || ', 7, ' || p_size, ','), lambda x: try_cast(trim(x) AS INT) IS NOT NULL), lambda x: CAST(trim(x) AS INT)) AS numbers FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(replace(p_name, ' ', ',,') || ', 7, ' || p_size, ','), lambda x: try_cast(trim(x) AS INT) IS NOT NULL), lambda x: CAST(trim(x) AS INT)), ',') AS numbers FROM part""")
 def csv_integers(spark: SparkSession, sf: str) -> DataFrame:
     """Comma-separated integers; blanks and what is no number are skipped."""
     csv = F.concat(F.replace("p_name", F.lit(" "), F.lit(",,")), F.lit(", 7, "), F.col("p_size").cast("string"))
     n = F.transform(F.split(csv, ","), lambda x: F.trim(x).try_cast("int"))
-    return load(spark, sf, "part").select("p_partkey", F.filter(n, lambda x: x.isNotNull()).alias("numbers"))
+    return load(spark, sf, "part").select("p_partkey", F.array_join(F.filter(n, lambda x: x.isNotNull()), ",").alias("numbers"))
 
 
 @query("""SELECT page_id, replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1) || '<i>"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS title FROM pages""")
@@ -107,10 +107,10 @@ def string_scalars(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").select("conv_id", "turn", F.lower(F.left(F.trim(t), F.lit(12))).alias("head"), F.split_part(t, F.lit(" "), F.lit(1)).alias("first_word"), t.startswith("T").alias("starts_t"), F.length(t).alias("n"), F.concat_ws("_", "role", "turn").alias("tag"))
 
 
-@query("""SELECT event_id, map_keys(m) AS keys, map_values(m) AS values FROM (SELECT event_id, MAP {'level': 'info', 'key_name': event_type, 'user': CAST(user_id AS VARCHAR)} AS m FROM events)""")
+@query("""SELECT event_id, array_to_string(map_keys(m), ',') AS keys, array_to_string(map_values(m), ',') AS values FROM (SELECT event_id, MAP {'level': 'info', 'key_name': event_type, 'user': CAST(user_id AS VARCHAR)} AS m FROM events)""")
 def reserved_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Overlay of maps, the right one wins; reserved keys get a prefix."""
     base = F.create_map(F.lit("level"), F.lit("info"), F.lit("name"), F.col("event_type"))
     over = F.create_map(F.lit("user"), F.col("user_id").cast("string"))
     m = F.transform_keys(F.map_concat(base, over), lambda k, v: F.when(k.isin("name", "msg", "args"), F.concat(F.lit("key_"), k)).otherwise(k))
-    return load(spark, sf, "events").select("event_id", F.map_keys(m).alias("keys"), F.map_values(m).alias("values"))
+    return load(spark, sf, "events").select("event_id", F.array_join(F.map_keys(m), ",").alias("keys"), F.array_join(F.map_values(m), ",").alias("values"))

@@ -158,3 +158,16 @@ def test_schemas_and_quarantine(spark):
     d = spark.createDataFrame([(1, "AUTO", "NORMAL"), (2, "auto", "NORMAL"), (3, None, "FROZEN")], "id int, mode string, risk_state string")
     good, bad = split(d, valid("mode_state"))
     assert [r.id for r in good.collect()] == [1] and sorted(r.id for r in bad.collect()) == [2, 3]
+
+
+def test_frames_skip_and_wait(spark):
+    from ledgerbars.sources.frames import decode_frames, frame, pack, split_frames, unpack
+
+    for v in (None, True, 5, 200, -3, 1.5, "é", b"x", [1, "a"], {"k": {"n": [None]}}):
+        assert unpack(pack(v)) == (v, len(pack(v)))
+    good, bad = frame({"type": "tick", "data": {"p": 1}}), b"\0\0\0\x01\xc1"
+    bodies, rest = split_frames(good + bad + good + good[:7])
+    assert len(bodies) == 3 and rest == good[:7]
+    d = spark.createDataFrame([("s", good + bad + good + good[:7]), ("t", b""), ("u", None)], "source string, raw binary")
+    got = decode_frames(d, "source", "raw").collect()
+    assert [(r.type, r.data, r.ok) for r in got] == [("tick", '{"p": 1}', True), (None, None, False), ("tick", '{"p": 1}', True)]
