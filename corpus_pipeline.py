@@ -20,6 +20,8 @@ from ledgerbars.llm.queries import MODEL
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.filter(~language_id.held_out(docs)))
+    if not model:  # nothing is labelled: only texts without a letter can be rejected
+        return docs.filter(docs["text"].rlike(r"\p{L}"))
     out = language_id.identify(docs, model, keep=tuple(docs.columns))
     return out.filter("lang_pred <> 'und'").select("kept.*")
 
