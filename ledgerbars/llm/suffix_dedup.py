@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -371,9 +372,18 @@ def shard_arrays(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+            # Equal contexts of an anchor are sorted once, for their smallest document; the others lose all of it.
+            low: dict[tuple[int, bytes], int] = {}
+            for anchor, _, doc, _, context in rows:
+                low[anchor, context] = min(doc, low.get((anchor, context), doc))
+            many = Counter(anchor for anchor, _ in low)
+            keys = [k for k in low if many[k[0]] > 1]
+            hits = dict(zip(keys, repeated([c for _, c in keys], np.array([low[k] for k in keys]), length), strict=True)) if keys else {}
             out = []
-            for (anchor, digest, _, offset, _), h in zip(rows, repeated([r[4] for r in rows], np.array([r[2] for r in rows]), length), strict=True):
-                if len(h):
+            for anchor, digest, doc, offset, context in rows:
+                if doc > low[anchor, context]:
+                    out.append((anchor, digest, offset, offset + len(context) - length + 1))
+                elif len(h := hits.get((anchor, context), ())):
                     flags = np.zeros(int(h[-1]) + 1, bool)
                     flags[h] = True
                     out += [(anchor, digest, offset + a, offset + b) for a, b in zip(*(x.tolist() for x in runs(flags)), strict=True)]
