@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Of a Python worker: the tables that one operator keeps there between tasks.
+HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this Python worker for its next tasks; only the last name's is kept, so
+    that the tables of operators that run one after the other do not add up."""
+    if name not in HELD:
+        HELD.clear()
+        gc.collect()
+        HELD[name] = make()
+    return HELD[name]
+
+
 def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     """Null-safe equality of the named columns of two frames; still an equi-join for the planner."""
     return reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .common import held
+
 #: Bounds of the training sample: documents and characters for each language, and languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 200, 40_000, 256
 #: Characters that the automata tell apart; the others count as unseen.
@@ -59,17 +61,10 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
     return table
 
 
-#: Of a Python worker: the model it built last.
-BUILT: dict[str, "Model"] = {}
-
-
 def built(samples: dict[str, str]) -> "Model":
     """The model of these samples. Tasks carry the samples, which are small; each worker builds the automata once."""
     name = hashlib.sha256(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
-    if name not in BUILT:
-        BUILT.clear()
-        BUILT[name] = Model(samples)
-    return BUILT[name]
+    return held(f"language id {name}", lambda: Model(samples))
 
 
 class Model:

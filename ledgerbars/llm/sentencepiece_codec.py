@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 MARK = "▁"
 #: Words whose ids a task keeps between batches.
 CACHE_WORDS = 800_000
@@ -184,13 +186,9 @@ class Codec:
         return raw[1:].decode("utf-8", "replace") if self.prefix and raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-#: Of a Python worker: the words and the pairs met so far by each model, for its next tasks.
-KEPT: dict[str, tuple[dict[str, bytes], dict[int, bool]]] = {}
-
-
 def coder(codec: Codec, text_at: int, batch_chars: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, codec.apart = KEPT.setdefault(codec.name, ({}, codec.apart))
+        cache, codec.apart = held(f"sentencepiece {codec.name}", lambda: ({}, codec.apart))  # words and pairs met so far
         for whole in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(whole.column(text_at)), 0).to_numpy(zero_copy_only=False)
             group = np.cumsum(sizes) // batch_chars
