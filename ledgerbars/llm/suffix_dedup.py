@@ -116,8 +116,8 @@ class Texts:
         return self.at[order[np.searchsorted(self.keys[order], keys)]] + offsets
 
 
-def chunk_rows(unit: int, t: Texts, length: int) -> pa.Table:
-    """(unit, doc, start, end, hi, lo): the chunks as ranges of window starts, with a digest of all their bytes."""
+def chunk_rows(t: Texts, length: int) -> pa.Table:
+    """(doc, start, end, hi, lo): the chunks as ranges of window starts, with a digest of all their bytes."""
     left = t.windows(length)
     starts, ends, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     limit = np.uint64(2**64 // CHUNK_BYTES - 1)
@@ -139,8 +139,8 @@ def chunk_rows(unit: int, t: Texts, length: int) -> pa.Table:
     start, end = np.concatenate(starts), np.concatenate(ends)
     doc = np.searchsorted(t.at, start, side="right") - 1
     d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    cols = [np.full(len(start), unit, np.int32), t.keys[doc], (start - t.at[doc]).astype(np.int32), (end - t.at[doc]).astype(np.int32), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1])]
-    return pa.table([pa.array(c) for c in cols], ["unit", "doc", "start", "end", "hi", "lo"])
+    cols = [t.keys[doc], (start - t.at[doc]).astype(np.int32), (end - t.at[doc]).astype(np.int32), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1])]
+    return pa.table([pa.array(c) for c in cols], ["doc", "start", "end", "hi", "lo"])
 
 
 def texts_of(table: pa.Table) -> Texts:
@@ -261,7 +261,7 @@ def send_runs(length: int, buckets: int):
     to compare, with a digest of their bytes."""
 
     def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        names, kinds = ["unit", "anchor", "digest", "doc", "start", "end"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names, kinds = ["anchor", "digest", "doc", "start", "end"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         anchors = wanted(known, 1) if docs.num_rows else ()
         if not len(anchors):
             return pa.table([pa.array([], k) for k in kinds], names)
@@ -285,7 +285,7 @@ def send_runs(length: int, buckets: int):
         if not digests:
             return pa.table([pa.array([], k) for k in kinds], names)
         anchor, doc, start, end = (np.concatenate([o[i] for o in out]) for i in range(4))
-        cols = [np.full(len(doc), key[0].as_py(), np.int32), anchor, np.frombuffer(b"".join(digests), np.int64), doc, start, end]
+        cols = [anchor, np.frombuffer(b"".join(digests), np.int64), doc, start, end]
         return pa.table([pa.array(c) for c in cols], names)
 
     return run
@@ -433,7 +433,7 @@ def cut_bytes(length: int):
 
 def by_unit(length: int):
     def run(key: tuple, docs: pa.Table) -> pa.Table:
-        return chunk_rows(key[0].as_py(), texts_of(docs), length)
+        return chunk_rows(texts_of(docs), length)
 
     return run
 
@@ -454,18 +454,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     units = max(1, -(-total // unit_bytes))
     buckets = max(4, int(units))
     name = f"suffix_dedup_{uuid.uuid4().hex}"
-    unit = F.pmod(F.xxhash64("key"), F.lit(units)).cast("int")
+    of = lambda c: F.pmod(F.xxhash64(c), F.lit(units)).cast("int").alias("unit")
     # One shuffle of the texts; the table is read in place by every pass.
-    dealt = rows.withColumn("unit", unit).repartition(int(units), "unit").groupBy("unit", "key").agg(F.max("text").alias("text"), F.bool_or("none").alias("none"))
+    dealt = rows.withColumn("unit", of("key")).repartition(int(units), "unit").groupBy("unit", "key").agg(F.max("text").alias("text"), F.bool_or("none").alias("none"))
     dealt.write.option("compression", "zstd").bucketBy(int(units), "unit").sortBy("unit").saveAsTable(name)
     del dealt
     release(spark)
     try:
         texts = spark.table(name).select("unit", "key", "text")
-        chunks = texts.groupBy("unit").applyInArrow(by_unit(length), "unit int, doc long, start int, end int, hi long, lo long")
+        chunks = texts.groupBy("unit").applyInArrow(by_unit(length), "doc long, start int, end int, hi long, lo long")
         chunks = cut(chunks)
         lows = chunks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        again = cut(chunks.join(lows, ["hi", "lo"]).filter("doc > low").select("unit", "doc", "start", "end"))
+        again = cut(chunks.join(lows, ["hi", "lo"]).filter("doc > low").select(of("doc"), "doc", "start", "end"))
         del chunks, lows
         release(spark)
         known = again.select("unit", F.lit(0).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"))
@@ -475,11 +475,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             shared = matched(texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_anchors(length, buckets, round_), sent_schema))
             known = known.union(shared.select("unit", F.lit(round_), F.lit(0).cast("long"), "bucket", "bucket", "blob"))
             release(spark)
-        found = cut(texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_runs(length, buckets), "unit int, anchor long, digest long, doc long, start int, end int"))
+        found = cut(texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_runs(length, buckets), "anchor long, digest long, doc long, start int, end int"))
         # Equal runs of an anchor are one, however many documents hold it; combined before the shuffle.
-        distinct = cut(found.groupBy("anchor", "digest").agg(F.min_by(F.struct("unit", "doc", "start", "end"), F.struct("doc", "start")).alias("r")).select("anchor", "digest", "r.*"))
+        distinct = cut(found.groupBy("anchor", "digest").agg(F.min_by(F.struct("doc", "start", "end"), F.struct("doc", "start")).alias("r")).select("anchor", "digest", "r.*"))
         several = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start") + length).alias("size")).filter("n > 1")
-        asked = distinct.join(several.select("anchor"), "anchor", "left_semi").select("unit", F.lit(3).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"), "anchor", "digest")
+        asked = distinct.join(several.select("anchor"), "anchor", "left_semi").select(of("doc"), F.lit(3).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"), "anchor", "digest")
         asked = cut(asked)
         release(spark)
         shared = matched(texts.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(send_windows(length, buckets), sent_schema))
@@ -487,6 +487,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         contexts = texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_contexts(length, buckets), "anchor long, digest long, low long, offset int, context binary")
         large = several.filter(F.col("size") > ANCHOR_BYTES).select("anchor")
         contexts = cut(contexts.join(large.withColumn("large", F.lit(True)), "anchor", "left"))
+        del asked, known, shared, several, large
+        release(spark)
         shards = contexts.filter("large is null").select("anchor", "digest", "low", "offset", "context").repartition("anchor").sortWithinPartitions("anchor", "low", "digest", "offset")
         spans = shards.mapInArrow(shard_arrays(length), "anchor long, digest long, a int, b int")
         # Anchors too large for one shard: each window by its content, combined before the shuffle.
@@ -496,9 +498,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hits = wide.join(firsts, "window").filter("first < low").select("anchor", "digest", "a", (F.col("a") + 1).alias("b"))
         # The smallest document of a run loses those ranges; every other document with that run loses all of it.
         part = distinct.join(spans.union(hits), ["anchor", "digest"])
-        mine = found.join(part.select("anchor", "digest", F.col("doc").alias("low"), "a", "b"), ["anchor", "digest"]).filter("doc = low").select("unit", "doc", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))
+        mine = found.join(part.select("anchor", "digest", F.col("doc").alias("low"), "a", "b"), ["anchor", "digest"]).filter("doc = low").select(of("doc"), "doc", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))
         lows = distinct.select("anchor", "digest", F.col("doc").alias("low"))
-        whole = found.join(lows, ["anchor", "digest"]).filter("doc > low").select("unit", "doc", "start", "end")
+        whole = found.join(lows, ["anchor", "digest"]).filter("doc > low").select(of("doc"), "doc", "start", "end")
         gone = again.union(mine).union(whole)
         out = texts.groupBy("unit").cogroup(gone.groupBy("unit")).applyInArrow(cut_bytes(length), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         none = spark.table(name).filter("none").select("key", "none")
