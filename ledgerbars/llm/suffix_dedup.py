@@ -174,9 +174,28 @@ def anchored_runs(t: Texts, left: np.ndarray, length: int) -> Iterator[tuple[int
         yield lo, s, e, m[s], h
 
 
+def side(t: Texts, lo: int, first: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of an anchor with half of a window's other bytes, from ``first`` on, counted from ``lo`` (bytes beyond
+    the document only make a hash that no window needs)."""
+    raw, x = t.bytes[lo:], least.copy()
+    for k in range((length - GRAM) // 2):
+        x = (x ^ raw[np.clip(first + k, 0, len(raw) - 1)].astype(np.uint64)) * MIX1
+        x ^= x >> np.uint64(31)
+    return mixed(x, MIX2)
+
+
+def all_sides(t: Texts, lo: int, s: np.ndarray, e: np.ndarray, least: np.ndarray, h: np.ndarray, length: int) -> list[np.ndarray]:
+    """What stands before and after each place of a run's anchor in the bytes that the run's windows cover: a window
+    of another run may be that of any place. A place that two runs share counts once."""
+    n = e - s + length - GRAM
+    run_ = np.repeat(np.arange(len(n)), n)
+    p = np.repeat(s, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    p = np.unique(p[h[p] == least[run_]])
+    return [side(t, lo, first, h[p], length) for first in (p - (length - GRAM) // 2, p + GRAM)]
+
+
 def sides(t: Texts, lo: int, s: np.ndarray, e: np.ndarray, least: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each run: where its anchor stands, hashes of the anchor with half of a window's other bytes before it and
-    after it (bytes beyond the document only make a hash that no window needs), and whether the anchor stands once."""
+    """For each run: where its anchor first stands, what stands before it and after it there, and whether it stands once."""
     half = (length - GRAM) // 2
     width = length - GRAM + 1
     at = np.minimum(s[:, None] + np.arange(width)[None, :], len(h) - 1)
@@ -185,16 +204,7 @@ def sides(t: Texts, lo: int, s: np.ndarray, e: np.ndarray, least: np.ndarray, h:
     span = np.minimum(s[:, None] + np.arange(2 * width)[None, :], len(h) - 1)
     inside = np.arange(2 * width)[None, :] < (e - s + width - 1)[:, None]
     once = (((h[span] == least[:, None]) & inside).sum(1) == 1) & (e - s <= width)
-    raw = t.bytes[lo:]
-
-    def side(first: np.ndarray) -> np.ndarray:
-        x = least.copy()
-        for k in range(half):
-            x = (x ^ raw[np.clip(first + k, 0, len(raw) - 1)].astype(np.uint64)) * MIX1
-            x ^= x >> np.uint64(31)
-        return mixed(x, MIX2)
-
-    return p, side(p - half), side(p + GRAM), once
+    return p, side(t, lo, p - half, least, length), side(t, lo, p + GRAM, least, length), once
 
 
 def bucketed(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +239,7 @@ def send_anchors(length: int, buckets: int, round_: int):
             if round_ == 1:
                 found.append(anchor)
             elif (hit := among(want, anchor, buckets)).any():
-                found += sides(t, lo, s[hit], e[hit], least[hit], h, length)[1:3]
+                found += all_sides(t, lo, s[hit], e[hit], least[hit], h, length)
         return pack(key[0].as_py(), np.concatenate(found), buckets)
 
     return run

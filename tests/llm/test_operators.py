@@ -129,6 +129,19 @@ def test_suffix_dedup_of_periodic_text(spark):
     assert got == brute.repeats(rows)
 
 
+@pytest.mark.parametrize("unit_bytes", [60, 10**6])
+def test_suffix_dedup_of_a_line_that_recurs(spark, unit_bytes):
+    # The line stands twice before a tail in one document and once before the same tail in another.
+    r = random.Random(11)
+    make = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    rows = []
+    for i in range(40):
+        line, tail, n = make(r.randint(22, 25)) + "\n", make(40), 4 * i
+        rows += [(n, make(30) + line + line + tail), (n + 1, make(30) + line + tail), (n + 2, tail + line + line), (n + 3, make(20) + tail + line + make(20))]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit_bytes=unit_bytes * 40).collect()}
+    assert got == brute.repeats(rows)
+
+
 def test_masks_cover():
     m = masks(3)
     assert len(m) == 15
