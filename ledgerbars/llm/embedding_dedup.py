@@ -1,4 +1,8 @@
-"""Embedding near-dedup: navigable small-world graphs per shard, audited, with exact cosines."""
+"""Embedding near-dedup: every vector against every vector of its label, shard by shard, with exact cosines.
+
+Shards are searched by blocks of matrix products, which lose no link; the navigable small-world graph is kept as
+a structure of its own, as its recall can only be sampled.
+"""
 
 from __future__ import annotations
 
@@ -156,18 +160,12 @@ class Graph:
         return out
 
 
-def audited(graph: Graph, x: np.ndarray, least: float, aim: float = 0.99, sample: int = 64) -> tuple[int, float, float]:
-    """(beam, slack, recall): widened until the recall of a sample of the graph's vectors, against brute
-    force, is ``aim`` or the beam holds all."""
-    width, slack = 32, 0.02
-    pick = np.random.default_rng(1).permutation(len(x))[:sample]
-    truth = x[pick] @ x.T >= least
-    while True:
-        got = sum(int(truth[i, h].sum()) for i, h in enumerate(graph.within(x[pick], least, width, slack)))
-        recall = got / max(1, int(truth.sum()))
-        if recall >= aim or width >= len(x):
-            return width, slack, recall
-        width, slack = width * 2, slack * 2
+def within(x: np.ndarray, q: np.ndarray, least: float) -> Iterator[np.ndarray]:
+    """For each of ``q`` the places in ``x`` at cosine ``least`` or more; all of unit length, all pairs, by blocks."""
+    for at in range(0, len(q), 512):
+        part = q[at : at + 512]
+        a, b = np.nonzero(part @ x.T >= least)
+        yield from np.split(b, np.searchsorted(a, np.arange(1, len(part))))
 
 
 def shard_search(least: float, dims: int | None = None):
@@ -180,26 +178,22 @@ def shard_search(least: float, dims: int | None = None):
         def build():
             reps = np.concatenate([m[0] for m in members])
             sizes, x = np.concatenate([m[1] for m in members]), np.concatenate([m[2] for m in members])
-            graph = Graph(x)
-            width, slack, _ = audited(graph, x, least)
             low = np.arange(len(x))
-            for at in range(0, len(x), 512):  # components of the shard's own vectors
-                for i, hit in enumerate(graph.within(x[at : at + 512], least, width, slack)):
-                    a = at + i
-                    roots = set()
-                    for h in {*low[hit].tolist(), a}:
-                        while low[h] != h:
-                            h = low[h] = low[low[h]]
-                        roots.add(int(h))
-                    low[list(roots)] = min(roots)
+            for a, hit in enumerate(within(x, x, least)):  # components of the shard's own vectors
+                roots = set()
+                for h in {*low[hit].tolist(), a}:
+                    while low[h] != h:
+                        h = low[h] = low[low[h]]
+                    roots.add(int(h))
+                low[list(roots)] = min(roots)
             while not np.array_equal(low, low[low]):
                 low = low[low]
-            return reps, sizes, graph, width, slack, low
+            return reps, sizes, x, low
 
         def ask(reps, q):
-            r, sizes, graph, width, slack, low = state
+            r, sizes, x, low = state
             us, vs, ns = [], [], []
-            for u, hit in zip(reps.tolist(), graph.within(q, least, width, slack), strict=True):
+            for u, hit in zip(reps.tolist(), within(x, q, least), strict=True):
                 hit = hit[r[hit] != u]
                 if len(hit):
                     ends = r[np.unique(low[hit])]
@@ -230,9 +224,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors are linked when their labels are equal and not null and their cosine, in double precision, is
     ``least`` or more. Equal vectors of a label form a class, which is searched once and whose copies
-    count as links. Each label's classes are dealt by a hash over shards of about ``shard_size``; each
-    shard builds a graph and audits its recall against brute force, and every class asks every shard of its
-    label. Every row is indexed; what the graph finds is verified by its cosine.
+    count as links. Each label's classes are dealt by a hash over shards of about ``shard_size``; every
+    class asks every shard of its label, by brute force, so that no link is lost. The work grows with the square of
+    a label's distinct vectors.
 
     Null vectors, vectors of norm zero and vectors with null or non-finite parts link with nothing, nor do
     rows with a null label; vectors of different lengths never link. Rows that repeat an id are vectors

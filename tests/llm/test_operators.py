@@ -369,6 +369,21 @@ def test_embedding_dedup(spark, shard_size):
     assert embedding_dedup(d.limit(0)).collect() == []
 
 
+def test_embedding_dedup_finds_every_lone_partner(spark):
+    # Few partners each, most in other shards: no sample within a shard says what a search loses.
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for label in range(8):
+        x = np.repeat(r.normal(size=(60, 64)), 50, axis=0) + r.normal(size=(3000, 64)) * 0.5
+        x = np.concatenate([x, x + r.normal(size=x.shape) * 0.38]).astype(np.float32).astype(float)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        want |= {label * 10000 + i: n for i, n in enumerate(((unit @ unit.T >= 0.93).sum(1) - 1).tolist())}
+        rows += [(label * 10000 + i, v, label) for i, v in enumerate(x.tolist())]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {row.vec_id: row.n_links for row in embedding_dedup(d, shard_size=3000).collect()}
+    assert sum(want.values()) > 1000 and got == want
+
+
 def test_graph_recall():
     r = np.random.default_rng(0)
     x = np.repeat(r.normal(size=(150, 24)), 12, axis=0) + r.normal(size=(1800, 24)) * 0.1
