@@ -39,6 +39,22 @@ def theme_tagging(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("h.theme").agg(F.count("*").alias("n_docs"))
 
 
+def whole_words(words: tuple[str, ...]) -> str:
+    """A pattern that Java and RE2 read alike: any case by ASCII letters, words bounded by what is no letter, mark, digit or _."""
+    edge = r"[^\p{L}\p{M}\p{N}_]"
+    any_case = "|".join("".join(f"[{c.upper()}{c}]" for c in w) for w in words)
+    return f"(^|{edge})({any_case})({edge}|$)"
+
+
+@query(f"""WITH t AS (SELECT unnest([{", ".join(f"'{t}'" for t in THEMES)}]) AS theme, unnest([{", ".join(f"regexp_matches(text, '{whole_words(k)}')" for k in THEMES.values())}]) AS hit FROM documents)
+SELECT theme, count(*) AS n_docs FROM t WHERE hit GROUP BY theme""")
+def theme_tagging_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole-word keywords in all documents, of any language or none."""
+    hits = F.array(*(F.struct(F.lit(t).alias("theme"), F.col("text").rlike(whole_words(k)).alias("hit")) for t, k in THEMES.items()))
+    d = load(spark, sf, "documents").select(F.explode(hits).alias("h")).filter("h.hit")
+    return d.groupBy("h.theme").agg(F.count("*").alias("n_docs"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
