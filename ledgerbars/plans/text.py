@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,18 @@ def cluster_centroid_075(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("vec_id", "label", F.round(cos, 4).alias("cos"), (F.round(cos, 4) >= 0.75).alias("in_cluster"))
 
 
+if find_spec("ledgerbars.llm"):  # the folder may be left out
+
+    @query()
+    def cluster_pairs_075(spark: SparkSession, sf: str) -> DataFrame:
+        """(vec_id, n_links, cluster_id): links are all pairs of vectors at cosine 0.75 or more, of any label or none;
+        a cluster is what links join, named by its smallest vec_id. Exact; the work grows with the square of the vectors."""
+        from ..llm.embedding_dedup import embedding_dedup
+
+        e = load(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(0).alias("label"))
+        return embedding_dedup(e, least=0.75).select("vec_id", "n_links", F.col("component_id").alias("cluster_id"))
+
+
 @query("""SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(replace(p_name, ' ', ',,') || ', 7, ' || p_size, ','), lambda x: try_cast(trim(x) AS INT) IS NOT NULL), lambda x: CAST(trim(x) AS INT)), ',') AS numbers FROM part""")
 def csv_integers(spark: SparkSession, sf: str) -> DataFrame:
     """Comma-separated integers; blanks and what is no number are skipped."""

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 from ledgerbars import registry
 from ledgerbars.plans.text import THEMES
 from tests.compare import connect, spark_rows, sql_rows
+from tests.llm import brute
 
 
 def test_themes_in_every_language(spark, sf, tmp_path):
@@ -20,3 +23,18 @@ def test_themes_in_every_language(spark, sf, tmp_path):
     texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     want = {t: sum(bool(re.search(rf"\b({'|'.join(k)})\b", x, re.I)) for x in texts) for t, k in THEMES.items()}
     assert {r.theme: r.n_docs for r in run(spark, sf).collect()} == {t: n for t, n in want.items() if n}
+
+
+def test_cluster_pairs(spark, sf, tmp_path):
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(20, 16)), 10, axis=0) + r.normal(size=(200, 16)) * 0.6
+    rows = [(i, v, i % 3 if i % 7 else None) for i, v in enumerate(x.astype(np.float32).tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    for at in (str(tmp_path), sf):
+        e = spark.read.parquet(f"{at}/embeddings.parquet").select("vec_id", "embedding").collect()
+        x = np.array([row.embedding for row in e], float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= 0.75
+        want = {row.vec_id: (int(n), c) for row, n, c in zip(e, near.sum(1) - 1, brute.reach([row.vec_id for row in e], near), strict=True)}
+        got = {row.vec_id: (row.n_links, row.cluster_id) for row in registry.queries()["cluster_pairs_075"](spark, at).collect()}
+        assert got == want and (at == sf or sum(n for n, _ in want.values()) > 0)
