@@ -1,8 +1,8 @@
-"""Sharding by balanced label propagation, under the law `rows`: shard counts are at most one apart."""
+"""Balanced sharding that keeps equal texts together, under the law `rows`: shard counts are at most one apart."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, prefix_sum
@@ -36,20 +36,15 @@ def quotas(want: list[list[int]], free: list[int]) -> tuple[list[list[int]], lis
     return move, back
 
 
-def cell(matrix: list[list[int]], row: Column, col: Column) -> Column:
-    flat = F.array(*(F.lit(x).cast("long") for r in matrix for x in r))
-    return flat[row * len(matrix) + col]
-
-
-def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", rounds: int = 6) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``.
 
-    Documents of equal texts are linked. Documents are first dealt out evenly in a pseudorandom order.
-    In each round every group of linked documents counts its members' shards by a join; members wish to
-    be where most of them are (ties: the lowest shard), and as many may go as capacity quotas allow:
-    unlinked documents, whose moves cut nothing, go the other way in equal number. A group larger than a
-    shard fills it and stays spread over the others. Rounds end when nothing moves. Only the matrix of
-    wishes, shards by shards, reaches the driver.
+    Documents of equal texts are linked. A group of linked documents has one label, its home, which all members take at
+    once: groups lie end to end in a pseudorandom order that is cut into one stretch a shard, and a group's home is
+    where it begins. What a home has no room for goes to the shards that have some, in order, so that what overflows of a group
+    stays together; unlinked documents fill the rest. A group is cut only where a home is full or where overflow goes on
+    in the next shard, twice a shard at most, whatever share of the documents is linked; a group larger than a
+    shard fills it and goes on in others. Only one row a shard reaches the driver.
 
     Counts differ by one at most, at any input; slots are gapless from 0 in each shard; law is ``rows``
     and grown_shard null. A null text has size 1 and crc32 0 and is linked with other null texts, not
@@ -63,29 +58,30 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     )
     rows = cut(rows)  # the texts are read once
     rows = prefix_sum(rows.withColumn("_all", F.lit(0)), ["_all"], ["doc_id", "group"], None, "rank")
-    many = rows.groupBy("group").agg((F.count("*") > 1).alias("linked")).filter("linked")
-    state = rows.join(many, "group", "left").select("doc_id", "size", "text_crc32", F.when(F.col("linked"), F.col("group")).alias("group"), "rank", (F.col("rank") % shards).cast("int").alias("shard"))
-    state = cut(state)
-    for _ in range(rounds):
-        linked = state.filter("group is not null")
-        votes = linked.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        best = votes.groupBy("group").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("best"))
-        # Unlinked documents have no group and stay out of the join, where they would be one hot key.
-        wish = cut(linked.join(best, "group").select(*state.columns, "best").union(state.filter("group is null").select(*state.columns, F.lit(-1))))
-        want, free = [[0] * shards for _ in range(shards)], [0] * shards
-        for r in wish.groupBy("shard", "best").count().collect():  # shards * (shards + 1) rows at most
-            if r["best"] < 0:
-                free[r["shard"]] = r["count"]
-            elif r["best"] != r["shard"]:
-                want[r["shard"]][r["best"]] = r["count"]
-        move, back = quotas(want, free)
-        if not any(map(any, move)):
-            break
-        movers = prefix_sum(wish.filter("best <> shard"), ["shard", "best"], ["rank"], None, "turn")
-        ahead = [[sum(r[:i]) for i in range(shards)] for r in back]  # unlinked documents of a shard go in this order
-        there = F.coalesce(*(F.when((F.col("turn") >= cell(ahead, F.col("shard"), F.lit(b))) & (F.col("turn") < cell(ahead, F.col("shard"), F.lit(b)) + cell(back, F.col("shard"), F.lit(b))), F.lit(b)) for b in range(shards)), F.col("shard"))
-        to = F.when(F.col("best") < 0, there).when(F.col("turn") < cell(move, F.col("shard"), F.col("best")), F.col("best")).otherwise(F.col("shard"))
-        moved = movers.withColumn("shard", to).select(*state.columns)
-        state = cut(moved.union(wish.filter("best = shard").select(*state.columns)))
-    out = prefix_sum(state, ["shard"], ["rank"], None, "slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    many = rows.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").withColumn("_all", F.lit(0))
+    many = cut(prefix_sum(many, ["_all"], ["group"], F.col("n"), "start").select("group", "n", "start"))
+    total, linked = rows.count(), many.agg(F.sum("n")).first()[0] or 0
+    home = F.floor(F.col("start") * shards / max(1, linked)).cast("int")
+    state = cut(rows.join(many.select("group", "start", home.alias("home")), "group", "left").select("doc_id", "size", "text_crc32", "group", "rank", "start", "home"))
+    first, load = [0] * shards, [0] * shards
+    for r in many.groupBy(home.alias("home")).agg(F.min("start").alias("first"), F.sum("n").alias("load")).collect():
+        first[r["home"]], load[r["home"]] = r["first"], r["load"]
+    capacity = [total // shards + (s < total % shards) for s in range(shards)]
+    kept = [min(x, c) for x, c in zip(load, capacity, strict=True)]
+    over = [x - k for x, k in zip(load, kept, strict=True)]  # by home: linked documents that go elsewhere
+    room = [c - k for c, k in zip(capacity, kept, strict=True)]
+    of = lambda xs, i: F.array(*(F.lit(x).cast("long") for x in xs))[i]
+    before = lambda xs: [sum(xs[:i]) for i in range(shards)]
+    # Members of a group are counted from its start; a hot group is spread over many sorts. Unlinked documents have no group here.
+    members = prefix_sum(state.filter("home is not null"), ["group"], ["rank"], None, "turn")
+    members = members.withColumn("turn", F.col("turn") + F.col("start") - of(first, F.col("home")))
+    stays = F.col("turn") < of(kept, F.col("home"))
+    members = members.withColumn("queue", F.when(~stays, F.col("turn") - of(kept, F.col("home")) + of(before(over), F.col("home"))))
+    single = prefix_sum(state.filter("home is null").withColumn("_all", F.lit(0)), ["_all"], ["rank"], None, "queue").withColumn("queue", F.col("queue") + sum(over))
+    cols = ["doc_id", "size", "text_crc32", "home", "turn", "queue"]
+    placed = members.select(cols).union(single.withColumn("turn", F.lit(None).cast("long")).select(cols))
+    # The queue of those without a place fills the room of shard 0, then of shard 1, ...
+    to = sum((F.col("queue") >= x).cast("int") for x in [sum(room[: i + 1]) for i in range(shards - 1)]) if shards > 1 else F.lit(0)
+    placed = placed.withColumn("shard", F.when(F.col("queue").isNull(), F.col("home")).otherwise(to))
+    slot = F.when(F.col("queue").isNull(), F.col("turn")).otherwise(F.col("queue") - of(before(room), F.col("shard")) + of(kept, F.col("shard")))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -251,6 +251,18 @@ def test_sharding_joins_copies(spark):
     assert max(counts.values()) - min(counts.values()) <= 1
 
 
+@pytest.mark.parametrize("copies", [2, 3, 7])
+def test_sharding_where_every_text_has_copies(spark, copies):
+    d = spark.createDataFrame([(i, f"text {i // copies}") for i in range(1200)], "doc_id long, text string")
+    got = balanced_shards(d).collect()
+    counts, homes = Counter(r.shard for r in got), defaultdict(set)
+    for r in got:
+        homes[r.text_crc32].add(r.shard)
+    assert len(got) == 1200 and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in counts.items())
+    assert sum(len(h) > 1 for h in homes.values()) <= 16
+
+
 def test_quotas_keep_sizes():
     r = random.Random(4)
     for _ in range(300):
