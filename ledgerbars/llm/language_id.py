@@ -22,14 +22,15 @@ from .common import held
 
 #: Bounds of the training sample: documents and characters for each language, and languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 200, 40_000, 256
-#: Characters that the automata tell apart; the others count as unseen.
+#: Columns of the dense table of steps: the most frequent characters and one for unseen ones. Steps by the sample's other
+#: characters, of which scripts such as Chinese have thousands, are few a state and are looked up in a sorted list.
 ALPHABET = 96
 #: Texts are parsed side by side in lanes of this many characters.
 LANE = 2048
 
 
-def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
-    """The transitions of the suffix automaton of ``codes``: an array (states, size), -1 where there is none."""
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of the suffix automaton of ``codes``, by state."""
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         cur = len(nexts)
@@ -54,11 +55,7 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    table = np.full((len(nexts), size), -1, np.int32)
-    for s, row in enumerate(nexts):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    return nexts
 
 
 def built(samples: dict[str, str]) -> "Model":
@@ -75,30 +72,55 @@ class Model:
         for text in samples.values():
             for c in text:
                 counts[c] = counts.get(c, 0) + 1
-        chars = sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 1]
-        self.codes = {c: i for i, c in enumerate(chars)}
+        chars = sorted(counts, key=lambda c: (-counts[c], c))
+        self.codes = {c: i if i < ALPHABET - 1 else i + 1 for i, c in enumerate(chars)}  # ALPHABET - 1 is for unseen ones
+        self.rare = max(0, len(chars) - (ALPHABET - 1))
         self.languages = sorted(samples)
         tables, self.roots, self.logs, base = [], [], [], 0
+        keys, values, agains = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
         for lang in self.languages:
-            codes = [self.codes[c] for c in samples[lang] if c in self.codes]
-            t = suffix_automaton(codes, ALPHABET)
+            codes = [self.codes[c] for c in samples[lang]]
+            nexts = suffix_automaton(codes)
+            sizes = np.array([len(row) for row in nexts])
+            state = np.repeat(np.arange(len(nexts)), sizes)
+            code = np.array([c for row in nexts for c in row], np.int64)
+            to = np.array([x for row in nexts for x in row.values()], np.int64)
+            t = np.full((len(nexts), ALPHABET), -1, np.int32)
+            dense = code < ALPHABET
+            t[state[dense], code[dense]] = to[dense]
             again = np.where(t[0] >= 0, t[0], 0)  # where a phrase can't go on, the next one begins with this character
             step = np.where(t >= 0, 2 * (t + base), 2 * (again + base) + 1)
             step[0] = 2 * (again + base) + 1  # at the root a phrase begins; one of an unseen character ends at once
             tables.append(step.astype(np.int32))
+            state, code, to = state[~dense], code[~dense] - ALPHABET, to[~dense]
+            keys.append((state + base) * self.rare + code)
+            values.append((2 * (to + base) + (state == 0)).astype(np.int32))
+            again = np.full(self.rare, 2 * base + 1, np.int32)
+            again[code[state == 0]] = 2 * (to[state == 0] + base) + 1
+            agains.append(again)
             self.roots.append(base)
             self.logs.append(float(np.log2(max(2, len(codes)))))
             base += len(t)
+        order = np.argsort(all_ := np.concatenate(keys))
+        self.keys, self.values = all_[order], np.concatenate(values)[order]
+        self.again = np.stack(agains) if agains else np.zeros((0, 0), np.int32)
         self.step = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.points = np.array(sorted(ord(c) for c in chars), np.uint32)
         self.of_points = np.array([self.codes[chr(p)] for p in self.points], np.int32)
 
+    def steps_of_rare(self, states: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Steps by characters outside the dense table, (language, lane)."""
+        key = states.astype(np.int64) * self.rare + code[None, :]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.values[at], self.again[:, code])
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases needed by (text, language). Lanes begin a phrase anew, the same for each language."""
         sizes = np.array([len(t) for t in texts], np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.points, points), max(0, len(self.points) - 1))
         codes = np.where(self.points[at] == points, self.of_points[at], ALPHABET - 1).astype(np.int32)
+        rare = bool((codes >= ALPHABET).any())
         lanes = -(-sizes // LANE)
         owner = np.repeat(np.arange(len(texts)), lanes)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
@@ -114,7 +136,10 @@ class Model:
         counts = np.zeros((len(self.languages), len(owner)), np.int64)
         for k in range(int(width[0])):
             n = int(alive[k])
-            went = self.step[states[:, :n] * ALPHABET + codes[start[:n] + k]]
+            code = codes[start[:n] + k]
+            went = self.step[states[:, :n] * ALPHABET + (np.minimum(code, ALPHABET - 1) if rare else code)]
+            if rare and len(at := np.flatnonzero(code >= ALPHABET)):
+                went[:, at] = self.steps_of_rare(states[:, at], code[at] - ALPHABET)
             counts[:, :n] += went & 1
             states[:, :n] = went >> 1
         for i in range(len(self.languages)):

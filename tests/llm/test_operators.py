@@ -300,6 +300,21 @@ def test_cross_parsing_counts():
             assert got[i, j] == sum(plainly(t[k : k + language_id.LANE], s) for k in range(0, len(t), language_id.LANE))
 
 
+def test_cross_parsing_with_more_characters_than_the_dense_table():
+    r = random.Random(7)
+    signs = [chr(0x4E00 + i) for i in range(400)]
+    words = {lang: ["".join(r.choice(signs) for _ in range(3)) for _ in range(150)] for lang in ("aa", "bb")}  # one script, other words
+    say = lambda lang, k: "".join(r.choice(words[lang]) for _ in range(k))
+    samples = {lang: say(lang, 1200) for lang in words} | {"cc": "".join(chr(33 + r.randrange(95)) for _ in range(5000))}
+    m = language_id.Model(samples)
+    texts = [say(r.choice(("aa", "bb")), 20) for _ in range(20)] + ["plain " + say("aa", 5) + "é\U0001F600 text", signs[0] * 9, "\U0001F600" * 7, say("bb", 900)]
+    got = m.phrases(texts)
+    for i, t in enumerate(texts):
+        for j, s in enumerate(m.languages):
+            assert got[i, j] == sum(brute_phrases(t[k : k + language_id.LANE], samples[s]) for k in range(0, len(t), language_id.LANE))
+    assert [m.predict([say(lang, 20)])[0] for lang in ("aa", "bb")] == [["aa"], ["bb"]]
+
+
 def brute_phrases(text, sample):
     n = at = 0
     while at < len(text):
