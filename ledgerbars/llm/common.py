@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Sequence
 from functools import reduce
@@ -21,12 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share. Only a session of one machine may do without the setting."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None)
+    if set_:
+        return set_
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is not set: executors of {master} would write where nobody else can read")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that all executors share."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -55,6 +66,24 @@ def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
 
 
+def buckets_for(rows: int, each: int = 100_000) -> int:
+    """Into how many buckets so many rows go, so that a sort of one stays small at any size."""
+    return max(64, -(-rows // each))
+
+
+def join_back(rows: DataFrame, groups: DataFrame, keys: Sequence[str], by: Sequence[str], size: str, total: int, parts: int = 256, how: str = "inner") -> DataFrame:
+    """Join each row to the one row of its group; ``keys`` are not null. ``size`` of ``groups``: how many rows a group has.
+
+    A group that holds more than a ``parts``-th of all ``total`` rows is split by a hash of ``by`` into tasks of about
+    that size, and its one row is repeated for each. There are fewer than ``parts`` such groups, whose keys are broadcast.
+    """
+    many = F.ceil(F.col(size) * parts / max(1, total)).cast("int")
+    hot = groups.filter(F.col(size) * parts > total).select(*keys, many.alias("_salts"))
+    salted = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    each = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(many, F.lit(1)) - 1)))
+    return salted.join(each.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+
+
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: Column | None, out: str, buckets: int = 1024) -> DataFrame:
     """Add ``out``: the sum of ``weight`` (1 if None) over the rows before this one within ``keys``, which are not null.
 
