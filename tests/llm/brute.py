@@ -88,3 +88,39 @@ def targets(sizes, weights=(5, 2, 1)):
         if not more:
             return {s: 2.0 * sizes[s] if s in full else level * w[s] for s in order}
         full |= more
+
+
+def cut_edges(shard, text):
+    """Pairs of equal texts that lie in two shards; a group's pairs are counted from its members by shard."""
+    groups = defaultdict(lambda: defaultdict(int))
+    for d, t in text.items():
+        groups[t][shard[d]] += 1
+    return sum((sum(g.values()) ** 2 - sum(n * n for n in g.values())) // 2 for g in groups.values())
+
+
+def propagated(text, shards, rounds=20):
+    """{id: shard} by plain label propagation under quotas: one document at a time, in order, moves to the shard with most of its
+    copies, if there is a document without copies, or one that gains by it, to change places with."""
+    ids = sorted(text)
+    shard = {d: i % shards for i, d in enumerate(ids)}
+    copies = defaultdict(list)
+    for d in ids:
+        copies[text[d]].append(d)
+    for _ in range(rounds):
+        moved = 0
+        for d in ids:
+            near = defaultdict(int)
+            for e in copies[text[d]]:
+                near[shard[e]] += e != d
+            to = max(sorted(near), key=lambda s: near[s], default=shard[d])
+            if len(copies[text[d]]) < 2 or to == shard[d] or near[to] <= near[shard[d]]:
+                continue
+            mine = shard[d]
+            loss = {e: sum(shard[x] == to for x in copies[text[e]] if x != e) - sum(shard[x] == mine for x in copies[text[e]] if x != e) for e in ids if shard[e] == to and text[e] != text[d]}
+            other = min(loss, key=lambda e: (loss[e], e), default=None)
+            if other is not None and loss[other] < near[to] - near[mine]:
+                shard[d], shard[other] = to, mine
+                moved += 1
+        if not moved:
+            break
+    return shard

@@ -15,9 +15,9 @@ from ledgerbars.llm.common import components, prefix_sum
 from ledgerbars.llm.embedding_dedup import Graph, embedding_dedup
 from ledgerbars.llm.exact_dedup import exact_dedup, keep_one
 from ledgerbars.llm.line_dedup import line_dedup
-from ledgerbars.llm.mixing import Mix, mix, mixed_documents
+from ledgerbars.llm.mixing import Mix, mix, mixed_documents, permuted
 from ledgerbars.llm.queries import MODEL
-from ledgerbars.llm.sharding import balanced_shards, quotas
+from ledgerbars.llm.sharding import balanced_shards
 from ledgerbars.llm.simhash import fingerprint, linked, masks, settle, simhash_dedup
 from ledgerbars.llm.suffix_array import common_prefixes, suffix_array
 from ledgerbars.llm.suffix_dedup import suffix_dedup
@@ -215,6 +215,32 @@ def test_mix_draws_whole_shards(docs):
     assert m.slots.groupBy("sid", "block", "pass").count().filter("count > 1").count() == 0
 
 
+def test_drawn_counts_are_multinomial(spark):
+    d = spark.createDataFrame([(i, "w " * 40, "abc"[min(i % 7, 2)]) for i in range(4000)], "doc_id long, text string, source string")
+    m = Mix(d, block=4, shard_blocks=64)
+    drawn, counts = defaultdict(dict), defaultdict(dict)
+    for into, frame in ((drawn, m.drawn), (counts, m.counts())):
+        for r in frame.collect():
+            into[r.shard][r.sid] = r.blocks
+    total = Counter()
+    for x in counts.values():
+        total.update(x)
+    assert {s: sum(x.values()) for s, x in drawn.items()} == {s: sum(x.values()) for s, x in counts.items()}  # shards keep their size
+    assert sum(total.values()) == m.slots.count() and m.slots.select("shard", "at").distinct().count() == m.slots.count()
+    full = [s for s, x in drawn.items() if sum(x.values()) == 64]
+    assert len(full) > 500 and sum(drawn[s] == counts[s] for s in full) > 0.85 * len(full)  # only the last ones are corrected
+    for sid, c in total.items():
+        p, seen = c / sum(total.values()), np.array([drawn[s].get(sid, 0) for s in full])
+        assert abs(seen.mean() - 64 * p) < 5 * (64 * p * (1 - p) / len(full)) ** 0.5
+        assert seen.var() == pytest.approx(64 * p * (1 - p), rel=0.25)  # as drawn with putting back, not fixed shares
+
+
+def test_permuted_is_a_bijection(spark):
+    for n in (1, 2, 3, 64, 1000):
+        got = [r[0] for r in spark.range(n).select(permuted(F.col("id"), F.lit(n), 5, F.lit(1))).collect()]
+        assert sorted(got) == list(range(n)) and (n < 64 or sum(i == x for i, x in enumerate(got)) < n / 8)
+
+
 def test_mixed_documents(docs, rows):
     out = mixed_documents(docs, block=16)
     assert out.columns == docs.columns
@@ -263,16 +289,18 @@ def test_sharding_where_every_text_has_copies(spark, copies):
     assert sum(len(h) > 1 for h in homes.values()) <= 16
 
 
-def test_quotas_keep_sizes():
-    r = random.Random(4)
-    for _ in range(300):
-        n = r.randint(1, 6)
-        want = [[0 if a == b else r.randint(0, 9) for b in range(n)] for a in range(n)]
-        free = [r.randint(0, 12) for _ in range(n)]
-        move, back = quotas(want, free)
-        for b in range(n):
-            assert sum(move[a][b] + back[a][b] for a in range(n)) == sum(move[b]) + sum(back[b])
-            assert sum(back[b]) <= free[b] and all(0 <= move[b][a] <= want[b][a] for a in range(n))
+def test_sharding_cuts_no_more_edges_than_plain_propagation(spark):
+    r = random.Random(9)
+    rows = [(i, f"text {int(r.random() ** 2 * 300)}") for i in range(1500)] + [(2000 + i, "hot") for i in range(700)] + [(3000 + i, f"lone {i}") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = balanced_shards(d).collect()
+    text = dict(rows)
+    edges = brute.cut_edges({x.doc_id: x.shard for x in got}, text)
+    assert edges <= brute.cut_edges(brute.propagated(text, 8), text)
+    counts = Counter(x.shard for x in got)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(x.slot for x in got if x.shard == s) == list(range(n)) for s, n in counts.items())
+    assert len({x.shard for x in got if text[x.doc_id] == "hot"}) == 3  # 700 of 2400 rows need three shards of 300
 
 
 def test_language_id(spark, docs, empty, rows):
