@@ -124,3 +124,37 @@ def propagated(text, shards, rounds=20):
         if not moved:
             break
     return shard
+
+
+RULES = {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "allow", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
+
+
+def reputation(rows, bound=0.5, z=1.645):
+    """(page_id, host, path, rule, verdict): rules, then beta-binomial shrinkage from all pages down to the host."""
+    parts = []
+    for page, url in rows:
+        head, sep, rest = (url or "").partition("://")
+        rest = rest if sep else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = host.translate(LOWER)
+        fits = [h + p for h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule = max(fits, key=len, default=None)
+        parts.append((page, host, path, rule, next((v for (h, p), v in RULES.items() if h + p == rule), None)))
+    suffix, domain = (lambda h: h.split(".")[-1]), (lambda h: ".".join(h.split(".")[-2:]))
+    levels = [defaultdict(lambda: [0, 0]) for _ in range(3)]
+    for _, host, _, _, said in parts:
+        for level, key in zip(levels, (suffix(host), domain(host), host), strict=True):
+            level[key][0] += said is not None
+            level[key][1] += said == "block"
+    n, k = (sum(x[i] for x in levels[0].values()) for i in (0, 1))
+    mean = defaultdict(lambda: (k + 1) / (n + 2))
+    for level, up in zip(levels, (lambda key: None, suffix, domain), strict=True):
+        mu = {key: mean[up(key)] for key in level}
+        spread = sum((b - a * mu[key]) ** 2 - a * mu[key] * (1 - mu[key]) for key, (a, b) in level.items() if a)
+        scale = sum(a * (a - 1) * mu[key] * (1 - mu[key]) for key, (a, b) in level.items())
+        strength = 1 / min(0.5, max(0.001, spread / scale if scale else 0.5)) - 1
+        post = {key: (mu[key] * strength + b, (1 - mu[key]) * strength + a - b) for key, (a, b) in level.items()}
+        mean = {key: a / (a + b) for key, (a, b) in post.items()}
+    bad = {key: a / (a + b) - z * (a * b / ((a + b) ** 2 * (a + b + 1))) ** 0.5 > bound for key, (a, b) in post.items()}
+    return [(page, host, path, rule, said or ("block" if bad[host] else "allow")) for page, host, path, rule, said in parts]

@@ -461,6 +461,15 @@ def test_url_filter(spark):
     assert url_filter(d).count() == 15 and url_filter(d.limit(0)).collect() == []
 
 
+def test_reputation_equals_plain_python(spark):
+    r = random.Random(4)
+    names = [f"{a}.{b}.{c}" for a in ("www", "blog", "x") for b in ("one", "two", "three", "four") for c in ("com", "net", "org", "co.uk", "com:8080")] + ["com", "localhost", "", "a..b."]
+    rows = [(i, f"http://{r.choice(names)}/{r.choice(['en', 'de', 'es', 'fr'])}/{r.randrange(9)}") for i in range(1500)] + [(2000 + i, f"https://big.host.com/{'en' if i % 9 == 0 else 'fr'}/") for i in range(900)] + [(None, None), (7, "odd")]
+    got = url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.reputation(rows))
+    assert len({x.verdict for x in got if x.rule is None}) == 2
+
+
 def test_reputation_shrinks_to_domain(spark):
     rows = [(i, f"http://s{i % 3}.bad.com/en/{i}") for i in range(60)] + [(100 + i, f"http://s.good.net/de/{i}") for i in range(60)] + [(200, "http://new.bad.com/x"), (201, "http://new.good.net/x"), (202, "http://unknown.zz/x")]
     got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()}
