@@ -66,9 +66,14 @@ def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
     return reduce(lambda x, y: x & y, (a[n].eqNullSafe(b[n]) for n in names))
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, which may hold dots and backquotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def buckets_for(rows: int, each: int = 100_000) -> int:
     """Into how many buckets so many rows go, so that a sort of one stays small at any size."""
-    return max(64, -(-rows // each))
+    return max(1024, -(-rows // each))
 
 
 def join_back(rows: DataFrame, groups: DataFrame, keys: Sequence[str], by: Sequence[str], size: str, total: int, parts: int = 256, how: str = "inner") -> DataFrame:

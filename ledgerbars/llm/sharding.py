@@ -92,8 +92,9 @@ def balanced_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     d = join_back(rows, homes, ["gid"], ["doc_id", "size"], "n", total, how="left")
     d = d.withColumns({"linked": F.col("n").isNotNull(), "key": F.when(F.col("n").isNotNull(), F.col("gid")).otherwise(F.lit(0))})
     d = prefix_sum(d, ["linked", "key"], ["doc_id", "size", "gid"], None, "turn", buckets_for(total))
-    schema = "gid long, lo long, hi long, to int, at long"
-    cuts = F.broadcast(d.sparkSession.createDataFrame(pieces, schema)).alias("p")  # at most shards rows for each of 2 * shards groups
+    names = ("gid", "lo", "hi", "to", "at")
+    literal = [F.struct(*(F.lit(x).cast("long").alias(n) for n, x in zip(names, p, strict=True))) for p in pieces or [(None,) * 5]]
+    cuts = F.broadcast(d.sparkSession.range(1).select(F.inline(F.array(*literal)))).alias("p")  # at most shards rows for each of 2 * shards groups
     d = d.alias("d").join(cuts, (F.col("d.gid") == F.col("p.gid")) & F.col("linked") & (F.col("turn") >= F.col("lo")) & (F.col("turn") < F.col("hi")), "left")
     # The queue of unlinked documents fills the room of shard 0, then of shard 1, ...
     before = [sum(rooms[:s]) for s in range(shards)]
