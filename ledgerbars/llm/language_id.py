@@ -2,31 +2,35 @@
 
 One suffix automaton for each language holds a bounded sample of labelled text. A text is cut greedily
 into the longest phrases that occur in a language's sample; the language that needs the fewest phrases,
-times the logarithm of its sample's length, wins. Texts are parsed whole.
+times the logarithm of its sample's length and with unknown characters spelled out, wins. Texts are parsed whole: stretches of a long text are parsed
+side by side and then joined, so that the count is that of one parse from its beginning.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import held
+from .common import held, quoted
 
 #: Bounds of the training sample: documents and characters for each language, and languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 200, 40_000, 256
 #: Columns of the dense table of steps: the most frequent characters and one for unseen ones. Steps by the sample's other
 #: characters, of which scripts such as Chinese have thousands, are few a state and are looked up in a sorted list.
 ALPHABET = 96
-#: Texts are parsed side by side in lanes of this many characters.
-LANE = 2048
+#: Long texts are parsed in stretches of this many characters side by side, before the stretches are joined.
+STRETCH = 2048
+#: What a character that a language's sample does not hold costs beyond its phrase: any of Unicode's may be meant.
+LITERAL_BITS = 21.0
+#: Places of marks, characters times languages, that are held at once.
+MARKS = 1 << 25
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -78,8 +82,10 @@ class Model:
         self.languages = sorted(samples)
         tables, self.roots, self.logs, base = [], [], [], 0
         keys, values, agains = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
+        self.lacks = np.ones((len(self.languages), max(len(chars) + 1, ALPHABET)), bool)
         for lang in self.languages:
             codes = [self.codes[c] for c in samples[lang]]
+            self.lacks[len(self.roots), codes] = False
             nexts = suffix_automaton(codes)
             sizes = np.array([len(row) for row in nexts])
             state = np.repeat(np.arange(len(nexts)), sizes)
@@ -108,61 +114,126 @@ class Model:
         self.points = np.array(sorted(ord(c) for c in chars), np.uint32)
         self.of_points = np.array([self.codes[chr(p)] for p in self.points], np.int32)
 
-    def steps_of_rare(self, states: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Steps by characters outside the dense table, (language, lane)."""
-        key = states.astype(np.int64) * self.rare + code[None, :]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], self.again[:, code])
-
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases needed by (text, language). Lanes begin a phrase anew, the same for each language."""
+        """Phrases needed by (text, language), each text parsed greedily from its beginning."""
+        return self.parsed(texts)[0]
+
+    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By (text, language): phrases, and how many of them are a character that the sample does not hold."""
         sizes = np.array([len(t) for t in texts], np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.points, points), max(0, len(self.points) - 1))
         codes = np.where(self.points[at] == points, self.of_points[at], ALPHABET - 1).astype(np.int32)
-        rare = bool((codes >= ALPHABET).any())
-        lanes = -(-sizes // LANE)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start = np.repeat(np.cumsum(sizes) - sizes, lanes) + within * LANE
-        width = np.minimum(LANE, sizes[owner] - within * LANE)
-        order = np.argsort(-width, kind="stable")
-        start, width, owner = start[order], width[order], owner[order]
         out = np.zeros((len(texts), len(self.languages)), np.int64)
+        some = max(1, MARKS // max(1, len(codes)))
+        for lo in range(0, len(self.languages), some):
+            out[:, lo : lo + some] = self._parse(codes, sizes, slice(lo, lo + some))
+        return out, self._strange(codes, sizes)
+
+    def _strange(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """(text, language): the characters that the language's sample does not hold, each of which is a phrase."""
+        out, some = np.zeros((len(sizes), len(self.languages)), np.int64), np.flatnonzero(sizes)
+        if len(some):
+            begins = (np.cumsum(sizes) - sizes)[some]
+            for i in range(len(self.languages)):
+                out[some, i] = np.add.reduceat(self.lacks[i][codes], begins, dtype=np.int64)
+        return out
+
+    def _went(self, states: np.ndarray, code: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Steps of states of the languages ``rows``; all three of one shape."""
+        went = self.step[states.astype(np.int64) * ALPHABET + np.minimum(code, ALPHABET - 1)]
+        if self.rare and (code >= ALPHABET).any():
+            at = np.nonzero(code >= ALPHABET)
+            key = states[at].astype(np.int64) * self.rare + (code[at] - ALPHABET)
+            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            went[at] = np.where(self.keys[found] == key, self.values[found], self.again[rows[at], code[at] - ALPHABET])
+        return went
+
+    def _parse(self, codes: np.ndarray, sizes: np.ndarray, block: slice) -> np.ndarray:
+        """(text, language): stretches are parsed as if a phrase began with each; then each one's last phrase goes on into
+        what follows until a phrase begins where one begins there too, from where on both parses are the same."""
+        roots = np.array(self.roots[block], np.int32)
+        lang = np.arange(len(self.languages))[block]
+        lanes = -(-sizes // STRETCH)
+        owner = np.repeat(np.arange(len(sizes)), lanes)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begins = np.cumsum(sizes) - sizes
+        start = begins[owner] + within * STRETCH
+        width = np.minimum(STRETCH, sizes[owner] - within * STRETCH)
+        out = np.zeros((len(sizes), len(roots)), np.int64)
         if not len(owner):
             return out
-        alive = np.searchsorted(-width, -np.arange(width[0]), side="left")  # lanes longer than k
-        states = np.repeat(np.array(self.roots, np.int32)[:, None], len(owner), 1)
-        counts = np.zeros((len(self.languages), len(owner)), np.int64)
-        for k in range(int(width[0])):
+        order = np.argsort(-width, kind="stable")
+        first, wide = start[order], width[order]
+        alive = np.searchsorted(-wide, -np.arange(wide[0]), side="left")  # stretches longer than k
+        rare = self.rare and bool((codes >= ALPHABET).any())
+        states = np.repeat(roots[:, None], len(owner), 1)
+        marks = np.zeros((len(roots), len(codes)), bool)  # where phrases begin
+        for k in range(int(wide[0])):
             n = int(alive[k])
-            code = codes[start[:n] + k]
-            went = self.step[states[:, :n] * ALPHABET + (np.minimum(code, ALPHABET - 1) if rare else code)]
-            if rare and len(at := np.flatnonzero(code >= ALPHABET)):
-                went[:, at] = self.steps_of_rare(states[:, at], code[at] - ALPHABET)
-            counts[:, :n] += went & 1
+            code = codes[first[:n] + k]
+            if rare:
+                went = self._went(states[:, :n], np.broadcast_to(code, (len(roots), n)), np.broadcast_to(lang[:, None], (len(roots), n)))
+            else:
+                went = self.step[states[:, :n] * ALPHABET + code]
+            marks[:, first[:n] + k] = went & 1
             states[:, :n] = went >> 1
-        for i in range(len(self.languages)):
-            out[:, i] = np.bincount(owner, counts[i], len(texts)).astype(np.int64)
+        single = np.flatnonzero(lanes == 1)
+        sums = np.add.reduceat(marks, begins[lanes > 0], axis=1, dtype=np.int64) if len(single) else None
+        if sums is not None:
+            out[np.flatnonzero(lanes > 0)] = sums.T  # right for texts of one stretch
+        if len(single) == np.count_nonzero(lanes):
+            return out
+        # Where each stretch's parse meets one of those after it, and how many phrases it begins before that.
+        ends = begins + sizes
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        go = np.flatnonzero(within + 1 < lanes[owner])
+        r, j = (x.ravel() for x in np.meshgrid(np.arange(len(roots)), go, indexing="ij"))
+        meets, extra = np.zeros((len(roots), len(owner)), np.int64), np.zeros((len(roots), len(owner)), np.int64)
+        state, at, end = states[r, back[j]], start[j] + width[j], ends[owner[j]]
+        while len(r):
+            went = self._went(state, codes[at], lang[r])
+            starts = (went & 1).astype(bool)
+            met = starts & marks[r, at]
+            extra[r, j] += starts & ~met
+            at, state = at + ~met, went >> 1
+            stop = met | (at >= end)
+            meets[r[stop], j[stop]] = at[stop]
+            on = ~stop
+            r, j, state, at, end = r[on], j[on], state[on], at[on], end[on]
+        lead = np.cumsum(lanes) - lanes
+        for i in np.flatnonzero(lanes > 1).tolist():
+            for row in range(len(roots)):
+                total, here = 0, int(begins[i])
+                while here < ends[i]:
+                    lane = int(lead[i] + (here - begins[i]) // STRETCH)
+                    over = int(start[lane] + width[lane])
+                    total += int(np.count_nonzero(marks[row, here:over])) + int(extra[row, lane])
+                    here = int(meets[row, lane]) if over < ends[i] else over
+                out[i, row] = total
         return out
 
-    def predict(self, texts: list[str | None], budget: int = 1 << 20) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None] | pa.Array, budget: int = 1 << 20) -> tuple[list[str], np.ndarray]:
         """Languages and scores; score is how far the best entropy is below the second best, from 0 to 1."""
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-        todo, held = [], 0
+        at, todo, held = [], [], 0
         for i, t in enumerate(texts):
+            t = t.as_py() if isinstance(t, pa.Scalar) else t
             if t is not None and self.languages and any(map(str.isalpha, t)):
-                todo.append(i)
+                at.append(i)
+                todo.append(plain(t))
                 held += len(t)
-            if todo and (held >= budget or i == len(texts) - 1):
-                self._some(todo, [plain(texts[j]) for j in todo], langs, scores)
-                todo, held = [], 0
+                if held >= budget:
+                    self._some(at, todo, langs, scores)
+                    at, todo, held = [], [], 0
         if todo:
-            self._some(todo, [plain(texts[j]) for j in todo], langs, scores)
+            self._some(at, todo, langs, scores)
         return langs, scores
 
     def _some(self, at: list[int], texts: list[str], langs: list[str], scores: np.ndarray) -> None:
-        bits = self.phrases(texts) * np.array(self.logs)
+        phrases, strange = self.parsed(texts)
+        bits = phrases * np.array(self.logs) + strange * LITERAL_BITS
         best = bits.argmin(1)  # ties: the first language by code point
         for j, i in enumerate(at):
             langs[i] = self.languages[best[j]]
@@ -180,42 +251,49 @@ def plain(text: str) -> str:
 
 def train(labelled: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS) -> dict[str, str]:
     """Sample rows (doc_id, text, lang). At most ``docs_each`` documents, chosen by a hash of their id, and
-    ``chars_each`` characters of each language reach the driver; of each document an equal share at most.
-    Rows without a language, without text or without a letter teach nothing. Without any, all texts
+    ``chars_each`` characters of each language reach the driver; of each document an equal share at most. The first
+    SAMPLE_LANGUAGES languages by code point are learned.
+    Rows without a language, an id or a letter in the text teach nothing and are not chosen. Without any other, all texts
     are ``und``.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    keys = labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang").withColumn("r", rank).filter(F.col("r") <= docs_each).drop("r")
-    # docs_each rows for each of SAMPLE_LANGUAGES languages at most: a bounded table.
-    few = F.broadcast(keys.select("doc_id").distinct().limit(docs_each * SAMPLE_LANGUAGES))
+    usable = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    usable = usable.select(F.col("lang"), F.col("doc_id"), F.xxhash64("text").alias("hash"), F.col("text"))
+    known = [r["lang"] for r in usable.select("lang").distinct().orderBy("lang").limit(SAMPLE_LANGUAGES).collect()]
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash"))
+    keys = usable.filter(F.col("lang").isin(known)).select("lang", "doc_id", "hash").withColumn("r", rank).filter(F.col("r") <= docs_each)
+    # docs_each rows for each of SAMPLE_LANGUAGES languages at most: a bounded table. Rows that are repeated come once.
+    few = F.broadcast(keys.select("lang", "doc_id", "hash").distinct())
     share = max(400, 4 * chars_each // docs_each)
-    rows = labelled.join(few, "doc_id").filter("lang is not null and text is not null").select("lang", "doc_id", F.substring("text", 1, share).alias("text"))
-    rows = rows.filter(F.col("text").rlike(r"\p{L}")).limit(2 * docs_each * SAMPLE_LANGUAGES).collect()
+    rows = usable.join(few, ["lang", "doc_id", "hash"]).groupBy("lang", "doc_id", "hash").agg(F.min(F.substring("text", 1, share)).alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(plain(r["text"]))
     return {lang: "\n".join(texts)[:chars_each] for lang, texts in samples.items()}
 
 
-def predictor(samples: dict[str, str], text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def predictor(samples: dict[str, str]):
+    """The UDF from a text to (lang_pred, score). Only texts go to Python, and only results come back."""
+
+    @F.arrow_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = built(samples)
-        for b in batches:
-            langs, scores = model.predict(b.column(text_at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+        for texts in batches:
+            langs, scores = model.predict(texts)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return run
+    return predicted
 
 
 def identify(docs: DataFrame, model: dict[str, str], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(kept: a struct of the columns ``keep``, lang_pred, score) for each row, from the whole text alone.
 
-    ``und`` with score 0 for a null text and one without letters. Rows may repeat; ids may be null; an
-    empty table gives no rows. Ties go to the first language by code point.
+    ``und`` with score 0 for a null text and one without letters. Rows may repeat; ids may be null; columns may have any name; an
+    empty table gives no rows. Ties go to the first language by code point. A very long text is parsed whole; its marks take a byte a
+    character and language at most. Only texts that repeat one character or phrase throughout may keep a stretch's parse from
+    meeting the next, which costs time in proportion to the text but changes nothing.
     """
-    rows = docs.select(F.struct(*keep).alias("kept"), docs[text_col].cast("string").alias("text"))
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(predictor(model, 1), schema).drop("text")
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("kept"), predictor(model)(quoted(text_col).cast("string")).alias("said"))
+    return rows.select("kept", "said.lang_pred", "said.score")
 
 
 def held_out(docs: DataFrame):
