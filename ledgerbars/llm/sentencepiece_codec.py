@@ -16,18 +16,18 @@ import hashlib
 import re
 import struct
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, quoted
 
 MARK = "▁"
-#: Words whose ids a task keeps between batches.
-CACHE_WORDS = 800_000
+#: Words whose ids, and pairs of pieces whose merging, a worker keeps between batches; beyond that it forgets and computes again.
+CACHE_WORDS, CACHE_PAIRS = 1 << 18, 1 << 18
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -85,7 +85,10 @@ class Codec:
             elif number == 2:
                 self.bpe = dict(fields(value)).get(3, 1) == 2
             elif number == 3:
-                self.prefix = bool(dict(fields(value)).get(3, 1))
+                rules = dict(fields(value))
+                self.prefix = bool(rules.get(3, 1))
+                if rules.get(2) or rules.get(4, 1) or not rules.get(5, 1):
+                    raise ValueError("models that normalise characters, drop spaces or leave spaces as they are are not supported")
         known = {c for p in self.ids for c in p if c in self.ids}
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any(c not in known for p in self.ids for c in p):
             raise ValueError("pieces that cross words, or hold characters that are no piece, are not supported")
@@ -115,6 +118,8 @@ class Codec:
 
     def stays(self, before: int, piece: int) -> bool:
         """Whether merging leaves ``piece`` whole and apart from the piece ``before`` it; -1: the word begins."""
+        if len(self.apart) >= CACHE_PAIRS:
+            self.apart.clear()
         x, y = self.pieces[before] if before >= 0 else "", self.pieces[piece]
         known = self.apart[before << 32 | piece] = self.merge(x + y) == [z for z in (x, y) if z]
         return known
@@ -186,25 +191,28 @@ class Codec:
         return raw[1:].decode("utf-8", "replace") if self.prefix and raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
-def coder(codec: Codec, text_at: int, batch_chars: int = 1 << 21) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def coder(codec: Codec, batch_chars: int = 1 << 20):
+    """The UDF from a text to (ids, n_tokens, decoded). Only texts go to Python, and only results come back."""
+
+    @F.arrow_udf("ids array<int>, n_tokens int, decoded string")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache, codec.apart = held(f"sentencepiece {codec.name}", lambda: ({}, codec.apart))  # words and pairs met so far
         for whole in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(whole.column(text_at)), 0).to_numpy(zero_copy_only=False)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(whole), 0).to_numpy(zero_copy_only=False)
             group = np.cumsum(sizes) // batch_chars
-            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), whole.num_rows]
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(whole)]
+            parts = []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    b = whole.slice(lo, hi - lo)
-                    texts = b.column(text_at).to_pylist()
-                    packed = codec.encode(texts, cache)
-                    ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-                    flat = np.frombuffer(b"".join(packed), np.int32)
-                    decoded = [None if t is None else codec.decode(flat[i:j]) for t, i, j in zip(texts, ends, ends[1:], strict=False)]
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                    yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(np.diff(ends)), pa.array(decoded, pa.string())], [*b.schema.names, "ids", "n_tokens", "decoded"])
+                texts = whole.slice(lo, hi - lo).to_pylist()
+                packed = codec.encode(texts, cache)
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(packed), np.int32)
+                decoded = pa.array([None if t is None else codec.decode(flat[i:j]) for t, i, j in zip(texts, ends, ends[1:], strict=False)], pa.string())
+                parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends)), decoded], ["ids", "n_tokens", "decoded"]))
+                del texts, packed, flat, decoded
+            yield pa.concat_arrays(parts)
 
-    return run
+    return coded
 
 
 def load(path: str) -> Codec:
@@ -218,11 +226,8 @@ def encode_decode(docs: DataFrame, codec: Codec, text_col: str = "text", keep: t
 
     ``decoded`` comes from the ids alone and equals the text, but that a literal U+2581 comes back as a
     space. Null and empty texts have no ids; a null decodes to null. Characters that are no piece become
-    UTF-8 byte pieces. Rows may repeat; an empty table gives no rows. Very long texts are one word list
-    at a time; memory is bounded by the Arrow batch.
+    UTF-8 byte pieces. Rows may repeat; columns may have any name; an empty table gives no rows. Very long texts are one word list
+    at a time; memory is bounded by the Arrow batch and the two caches.
     """
-    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-
-    rows = docs.select(F.struct(*keep).alias("kept"), docs[text_col].cast("string").alias("text"))
-    schema = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", IntegerType()), StructField("decoded", StringType())])
-    return rows.mapInArrow(coder(codec, 1), schema).drop("text")
+    rows = docs.select(F.struct(*map(quoted, keep)).alias("kept"), coder(codec)(quoted(text_col).cast("string")).alias("coded"))
+    return rows.select("kept", "coded.ids", "coded.n_tokens", "coded.decoded")
