@@ -15,8 +15,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
-from .common import components, cut
+from .common import components, cut, join_back
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42, chunk: int = 65536) -> int:
@@ -37,10 +39,9 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, chunk: int = 6
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+@F.arrow_udf(LongType())
+def fingerprints(texts: pa.Array) -> pa.Array:
+    return pa.array(np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64))
 
 
 def masks(radius: int = 3, bits: int = 64, seed: int = 1) -> list[int]:
@@ -142,20 +143,33 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Hot fingerprints are combined before any shuffle; a bucket holds distinct fingerprints only and is
     searched without listing its pairs.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    rows = cut(rows.mapInArrow(fingerprint_batches, "doc_id long, fp long"))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    return classed(docs, id_col, text_col, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id"))
+
+
+def classed(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """(doc_id, fp, best) for each row; best is (id, hash) of the row that stays of the component: the smallest doc_id, null last,
+    then the smallest hash of the text."""
+    text = docs[text_col].cast("string")
+    rows = cut(docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), fingerprints(text).alias("fp")))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "hash")
+    classes = cut(rows.groupBy("fp").agg(F.min(first).alias("best"), F.count("*").alias("n")))
     tables = F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - 2**64 if m >> 63 else m).cast("long")).alias("key")) for t, m in enumerate(masks(radius))))
     dealt = classes.select("fp", F.explode(tables).alias("k")).select("k.t", "k.key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")
     links = dealt.mapInArrow(bucket_links(radius), "u long, v long")
     of = components(links)
-    classes = classes.join(of, classes["fp"] == of["id"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    lows = classes.groupBy("c").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lows, "c").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    stay = simhash_dedup(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_i")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["_i"]), "left_semi")
+    linked_ = classes.join(of, classes["fp"] == of["id"]).select("fp", "best", "n", "component")
+    lows = linked_.groupBy("component").agg(F.min("best").alias("low"))
+    moved = linked_.join(lows, "component").select("fp", "low")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    classes = classes.join(moved, "fp", "left").select("fp", "n", F.coalesce("low", "best").alias("best"))
+    return join_back(rows, classes, ["fp"], ["doc_id", "hash"], "n", total).select("doc_id", "fp", "hash", "best")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """One row of ``docs`` of each component, with its own columns: that of the smallest doc_id, null last; of rows of that id in the
+    component the one whose text has the smallest hash, once if it is repeated."""
+    stay = classed(docs, id_col, text_col, radius).select(F.col("best.id").alias("_i"), F.col("best.hash").alias("_h")).distinct()
+    d = docs.select(F.struct("*").alias("_row"), docs[id_col].cast("long").alias("_id"), F.xxhash64(docs[text_col].cast("string")).alias("_hash"))
+    d = d.join(stay, d["_id"].eqNullSafe(stay["_i"]) & (d["_hash"] == stay["_h"]), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
+    return d.withColumn("_turn", turn).filter("_turn = 1").select("_row.*")

@@ -18,6 +18,7 @@ from ledgerbars.llm.line_dedup import line_dedup
 from ledgerbars.llm.mixing import Mix, mix, mixed_documents, permuted
 from ledgerbars.llm.queries import MODEL
 from ledgerbars.llm.sharding import balanced_shards
+from ledgerbars.llm.simhash import keep_one as simhash_keep_one
 from ledgerbars.llm.simhash import fingerprint, linked, masks, settle, simhash_dedup
 from ledgerbars.llm.suffix_array import common_prefixes, suffix_array
 from ledgerbars.llm.suffix_dedup import suffix_dedup
@@ -173,6 +174,13 @@ def test_simhash(docs, empty, rows):
     assert simhash_dedup(empty).collect() == []
 
 
+def test_simhash_keeps_one_row_of_a_component(spark):
+    rows = [(None, "some words that are there", 1)] * 3 + [(5, "other words", 2), (5, "other words", 3), (5, "yet more words of another kind", 4), (6, "OTHER   words", 5), (None, None, 6), (9, "", 7)]
+    out = simhash_keep_one(spark.createDataFrame(rows, "doc_id long, text string, `a.b` int"))
+    assert out.columns == ["doc_id", "text", "a.b"]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter({(None, "some words that are there"): 1, (5, "other words"): 1, (5, "yet more words of another kind"): 1, (9, ""): 1})
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (None, 3), (60, 59)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -325,7 +333,38 @@ def test_cross_parsing_counts():
     got = m.phrases(texts)
     for i, t in enumerate(texts):
         for j, s in enumerate(("abcabd", "zzzz")):
-            assert got[i, j] == sum(plainly(t[k : k + language_id.LANE], s) for k in range(0, len(t), language_id.LANE))
+            assert got[i, j] == plainly(t, s)  # whole texts
+
+
+def test_cross_parsing_of_long_texts_is_one_parse():
+    r = random.Random(8)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    say = lambda k: " ".join(r.choice(words) for _ in range(k))
+    samples = {"aa": say(300), "bb": say(20), "cc": "zzz"}  # phrases of three never meet stretches of 2,048
+    m = language_id.Model(samples)
+    texts = [say(3000), "z" * 7000, say(900) + "é" * 2100 + say(900), "short", say(400) + "z" * 3000]
+    got = m.phrases(texts)
+    assert got.tolist() == [[brute_phrases(t, samples[s]) for s in m.languages] for t in texts]
+
+
+def test_scripts_share_no_alphabet(spark):
+    r = random.Random(6)
+    latin = lambda: " ".join(r.choice(["the", "and", "with", "from"]) for _ in range(40))
+    script = lambda base: "".join(chr(base + r.randrange(3000)) for _ in range(200))
+    of = {"en": latin, "ja": lambda: script(0x4E00), "ko": lambda: script(0xAC00)}
+    d = spark.createDataFrame([(i, of[lang](), lang) for i, lang in enumerate(["en", "ja", "ko"] * 30)] + [(1000 + i, None if i % 2 else "12 34", "zz") for i in range(300)] + [(2000, "zz zz", "zz")], "doc_id long, text string, lang string")
+    samples = language_id.train(d)
+    assert samples["zz"] == "zz zz"  # rows that teach nothing are not chosen
+    model = language_id.Model(samples)
+    texts, truth = zip(*((of[lang](), lang) for lang in ["ja", "ko", "en"] * 50), strict=True)
+    assert model.predict(list(texts))[0] == list(truth)
+
+
+def test_names_with_dots(spark):
+    d = spark.createDataFrame([(1, "the text of it", 3, 4)], ["doc_id", "text", "a.b", "we`ird. name"])
+    assert language_id.identify(d, {"en": "the text"}, keep=tuple(d.columns)).select("kept.*").columns == d.columns
+    out = sentencepiece_codec.encode_decode(d, sentencepiece_codec.load(MODEL), keep=tuple(d.columns))
+    assert out.select("kept.*").collect() == d.collect() and out.first().decoded == "the text of it"
 
 
 def test_cross_parsing_with_more_characters_than_the_dense_table():
@@ -339,7 +378,7 @@ def test_cross_parsing_with_more_characters_than_the_dense_table():
     got = m.phrases(texts)
     for i, t in enumerate(texts):
         for j, s in enumerate(m.languages):
-            assert got[i, j] == sum(brute_phrases(t[k : k + language_id.LANE], samples[s]) for k in range(0, len(t), language_id.LANE))
+            assert got[i, j] == brute_phrases(t, samples[s])
     assert [m.predict([say(lang, 20)])[0] for lang in ("aa", "bb")] == [["aa"], ["bb"]]
 
 
