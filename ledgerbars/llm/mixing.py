@@ -16,20 +16,18 @@ CELLS, ROUNDS = 1024, 24
 FEW = 10_000
 
 
-def permuted(x: Column, n: Column, *salts: Column | int) -> Column:
-    """The place of index ``x`` in a pseudorandom permutation of 0 .. n - 1, for each list of salts another one.
+def permuted(df: DataFrame, x: str, n: str, *salts: Column | int) -> DataFrame:
+    """Index ``x`` becomes its place in a pseudorandom permutation of 0 .. n - 1, for each list of salts another one.
 
     Swap or not: in each round x and its mirror image by a round key change places if a hash of the larger one is odd, which is
-    a bijection of any n numbers. No sort, no table: a slot's block is computed from its index.
+    a bijection of any n numbers. No sort, no table: a slot's block is computed from its index, in generated code.
     """
     by = [s if isinstance(s, Column) else F.lit(s) for s in salts]
-
-    def swap(x: Column, r: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(*by, r), n) - x, n)
-        pair = F.struct(mirror.alias("y"), x.alias("x"))
-        return F.transform(F.array(pair), lambda p: F.when(F.xxhash64(*by, r, F.greatest(p["x"], p["y"])).bitwiseAND(1) == 1, p["y"]).otherwise(p["x"]))[0]
-
-    return F.aggregate(F.array(*(F.lit(r) for r in range(ROUNDS))), x.cast("long"), swap)
+    for r in range(ROUNDS):
+        df = df.withColumn("_mirror", F.pmod(F.pmod(F.xxhash64(*by, F.lit(r)), n) - F.col(x), n))
+        df = df.withColumn(x, F.when(F.xxhash64(*by, F.lit(r), F.greatest(x, "_mirror")).bitwiseAND(1) == 1, F.col("_mirror")).otherwise(F.col(x)))
+    # A generator's output takes no filter of a later join below it, where the rounds' expressions would be nested and double each time.
+    return df.drop("_mirror").withColumn(x, F.explode(F.array(x)))
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -95,7 +93,7 @@ class Mix:
         laid = laid.withColumn("from", F.coalesce(F.sum("blocks").over(Window.partitionBy("shard").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         slots = laid.select("shard", "sid", "n", "base", "from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"))
         slots = slots.select("shard", "sid", "n", (F.col("from") + F.col("i")).alias("at"), F.floor((F.col("base") + F.col("i")) / F.col("n")).cast("int").alias("pass"), F.pmod(F.col("base") + F.col("i"), F.col("n")).alias("index"))
-        self.slots = slots.select("sid", "pass", permuted(F.col("index"), F.col("n"), seed + 1, F.col("sid"), F.col("pass")).alias("block"), "shard", "at")
+        self.slots = permuted(slots.withColumnRenamed("index", "block"), "block", "n", seed + 1, F.col("sid"), F.col("pass")).select("sid", "pass", "block", "shard", "at")
 
     def counts(self) -> DataFrame:
         """(shard, sid, blocks): the source counts of each output shard: drawn, then corrected to the totals."""
