@@ -1,7 +1,6 @@
-"""Embedding near-dedup: every vector against every vector of its label, shard by shard, with exact cosines.
+"""Embedding near-dedup: a hierarchical navigable small-world graph for each shard of a label, asked by every vector of the label.
 
-Shards are searched by blocks of matrix products, which lose no link; the navigable small-world graph is kept as
-a structure of its own, as its recall can only be sampled.
+Beams are widened until audits against all pairs of a sample of queries lose nothing; cosines are verified; links are united.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, same
+from .common import components, cut, join_back
 
 
 class Graph:
@@ -130,6 +129,14 @@ class Graph:
         best = np.argsort(-sims, axis=1, kind="stable")
         return np.take_along_axis(ids, best, 1), np.take_along_axis(sims, best, 1)
 
+    def beam(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the nodes and cosines that a search down the layers holds at the end, -1 where there is none."""
+        n = self.sizes[0]
+        entry = np.zeros((len(q), 1), np.int32)
+        for k in range(len(self.sizes) - 1, 0, -1):
+            entry = self._beam(q, entry, k, 4, self.sizes[k])[0]
+        return self._beam(q, entry, 0, min(width, n), n)
+
     def within(self, q: np.ndarray, least: float, width: int, slack: float) -> list[np.ndarray]:
         """For each query the places of vectors at cosine ``least`` or more: a beam search down the layers,
         then a walk over all that is above ``least - slack``."""
@@ -139,12 +146,12 @@ class Graph:
             return [np.zeros(0, int)] * len(q)
         for at in range(0, len(q), 512):
             part = q[at : at + 512]
-            entry = np.zeros((len(part), 1), np.int32)
-            for k in range(len(self.sizes) - 1, 0, -1):
-                entry = self._beam(part, entry, k, 4, self.sizes[k])[0]
-            ids, sims = self._beam(part, entry, 0, min(width, n), n)
+            ids, sims = self.beam(part, width)
             for i in range(len(part)):
                 hit = ids[i][(sims[i] >= least - slack) & (ids[i] >= 0)]
+                if not len(hit):
+                    out.append(hit)
+                    continue
                 seen = np.zeros(n, bool)
                 seen[ids[i][ids[i] >= 0]] = True
                 all_, front = [hit], hit
@@ -160,6 +167,62 @@ class Graph:
         return out
 
 
+class Shard:
+    """The vectors of a shard and their graph, with the beam width that the audit asks for.
+
+    Audited queries are compared with all vectors of the shard: of each, all links but those to itself, and the nearest other
+    vector, which is there without any link too. They are the first ones of the label, from all its shards, as many as
+    AUDIT_LINKS links take and AUDIT_LEAST at least. While a link or more than one in a hundred of the nearest is lost, the beam doubles; where it would
+    meet an eighth of the shard, the shard is searched without the graph. Audited queries get what the comparison found.
+    """
+
+    AUDIT_LINKS, AUDIT_LEAST, AUDIT_MOST = 400, 512, 8192
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, x: np.ndarray, least: float, width: int = 64, slack: float = 0.02):
+        self.nodes, self.size, self.x, self.least, self.width, self.slack = nodes, sizes, x, least, width, slack
+        self.graph: Graph | None = Graph(x)
+        self.seen = self.links = 0
+        self.low = np.arange(len(x))
+        for a, hit in enumerate(self.graph.within(x, least, width, slack)):  # components of the shard's own vectors
+            roots = set()
+            for h in {*self.low[hit].tolist(), a}:
+                while self.low[h] != h:
+                    h = self.low[h] = self.low[self.low[h]]
+                roots.add(int(h))
+            self.low[list(roots)] = min(roots)
+        while not np.array_equal(self.low, self.low[self.low]):
+            self.low = self.low[self.low]
+
+    def audit(self, nodes: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+        cos = q @ self.x.T
+        cos[nodes[:, None] == self.nodes[None, :]] = -2.0
+        truth = cos >= self.least
+        nearest, some = cos.argmax(1), cos.max(1) > -1.5
+        self.seen += len(q)
+        self.links += int(truth.sum())
+        while self.graph is not None:
+            found = self.graph.within(q, self.least, self.width, self.slack)
+            lost = int(truth.sum()) - sum(int(truth[i, h].sum()) for i, h in enumerate(found))
+            ids = self.graph.beam(q, self.width)[0]
+            met = (np.where(ids >= 0, self.graph.order[ids], -1) == nearest[:, None]).any(1) | ~some
+            if not lost and met.mean() >= 0.99:
+                break
+            self.width *= 2
+            if self.width * 8 >= len(self.x):
+                self.graph = None
+        return [np.flatnonzero(t) for t in truth]
+
+    def ask(self, nodes: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+        """For each query the places of vectors at ``least`` or more, without itself."""
+        out: list[np.ndarray] = []
+        while len(out) < len(q) and self.graph is not None and self.seen < self.AUDIT_MOST and (self.seen < self.AUDIT_LEAST or self.links < self.AUDIT_LINKS):
+            lo = len(out)
+            out += self.audit(nodes[lo : lo + 256], q[lo : lo + 256])
+        rest, ids = q[len(out) :], nodes[len(out) :]
+        found = self.graph.within(rest, self.least, self.width, self.slack) if self.graph is not None else within(self.x, rest, self.least)
+        return out + [h[self.nodes[h] != u] for u, h in zip(ids.tolist(), found, strict=True)]
+
+
 def within(x: np.ndarray, q: np.ndarray, least: float) -> Iterator[np.ndarray]:
     """For each of ``q`` the places in ``x`` at cosine ``least`` or more; all of unit length, all pairs, by blocks."""
     for at in range(0, len(q), 512):
@@ -168,38 +231,21 @@ def within(x: np.ndarray, q: np.ndarray, least: float) -> Iterator[np.ndarray]:
         yield from np.split(b, np.searchsorted(a, np.arange(1, len(part))))
 
 
-def shard_search(least: float, dims: int | None = None):
-    """mapInArrow over rows (label, dims, shard, role, rep, size, v) sorted so that a shard's members (role 0)
+def shard_search(least: float):
+    """mapInArrow over rows (label, dims, shard, role, node, size, v) sorted so that a shard's members (role 0)
     come before its queries (role 1): (u, v, n) with n links of u in this shard and v one of them or u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members, state = None, [], None
-
-        def build():
-            reps = np.concatenate([m[0] for m in members])
-            sizes, x = np.concatenate([m[1] for m in members]), np.concatenate([m[2] for m in members])
-            low = np.arange(len(x))
-            for a, hit in enumerate(within(x, x, least)):  # components of the shard's own vectors
-                roots = set()
-                for h in {*low[hit].tolist(), a}:
-                    while low[h] != h:
-                        h = low[h] = low[low[h]]
-                    roots.add(int(h))
-                low[list(roots)] = min(roots)
-            while not np.array_equal(low, low[low]):
-                low = low[low]
-            return reps, sizes, x, low
-
-        def ask(reps, q):
-            r, sizes, x, low = state
+        key, members, shard = None, [], None
+
+        def ask(nodes: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
             us, vs, ns = [], [], []
-            for u, hit in zip(reps.tolist(), within(x, q, least), strict=True):
-                hit = hit[r[hit] != u]
+            for u, hit in zip(nodes.tolist(), shard.ask(nodes, q), strict=True):
                 if len(hit):
-                    ends = r[np.unique(low[hit])]
+                    ends = shard.nodes[np.unique(shard.low[hit])]
                     us += [u] * len(ends)
                     vs += ends.tolist()
-                    ns += [int(sizes[hit].sum()), *[0] * (len(ends) - 1)]
+                    ns += [int(shard.size[hit].sum()), *[0] * (len(ends) - 1)]
             return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], ["u", "v", "n"])
 
         for b in batches:
@@ -209,11 +255,11 @@ def shard_search(least: float, dims: int | None = None):
                 flat = b.column(6).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(hi - lo, -1)
                 x = flat / np.sqrt((flat * flat).sum(1, keepdims=True))
                 if (now := tuple(c[lo] for c in cols[:3])) != key:
-                    key, members, state = now, [], None
+                    key, members, shard = now, [], None
                 if cols[3][lo] == 0:
                     members.append((cols[4][lo:hi], cols[5][lo:hi], x))
                 else:
-                    state = state or build()
+                    shard = shard or Shard(*(np.concatenate(part) for part in zip(*members, strict=True)), least)
                     yield ask(cols[4][lo:hi], x)
 
     return run
@@ -224,32 +270,37 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors are linked when their labels are equal and not null and their cosine, in double precision, is
     ``least`` or more. Equal vectors of a label form a class, which is searched once and whose copies
-    count as links. Each label's classes are dealt by a hash over shards of about ``shard_size``; every
-    class asks every shard of its label, by brute force, so that no link is lost. The work grows with the square of
-    a label's distinct vectors.
+    count as links. Each label's classes are dealt by a hash over shards of about ``shard_size`` with a graph each; every
+    class asks every shard of its label. Links are verified, so none is wrong; recall is audited in each shard (``Shard``).
+    Asking every shard is the square of a label's distinct vectors over the shard size, in searches.
 
     Null vectors, vectors of norm zero and vectors with null or non-finite parts link with nothing, nor do
-    rows with a null label; vectors of different lengths never link. Rows that repeat an id are vectors
+    rows with a null label; vectors of different lengths never link. Null ids link like others and are never the smallest; the component of
+    null ids alone is null. Rows that repeat an id are vectors
     of their own and share the component. kept is ``vec_id = component_id`` (null ids: false). An empty table gives
-    no rows. A label with a third of all rows is spread over its shards.
+    no rows. A label with a third of all rows is spread over its shards, a class with a third of them over tasks.
     """
     v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("long").alias("label"), vectors[vector_col].cast("array<double>").alias("v"))
     sound = F.col("label").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    ok = F.coalesce(sound, F.lit(False))
-    classes = v.filter(ok & F.col("vec_id").isNotNull()).groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")).withColumn("dims", F.size("v"))
-    counts = classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
-    dealt = classes.join(counts, ["label", "dims"])
-    cols = ["label", "dims", "shard", "role", "rep", "size", "v"]
-    members = dealt.withColumns({"shard": F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"), "role": F.lit(0)}).select(cols)
+    v = v.withColumn("hash", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("v")))
+    # Classes are made in each task before the shuffle. Cut, so that their numbers stay.
+    classes = v.filter("hash is not null").groupBy("label", "hash", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("size"))
+    classes = cut(classes.select("*", F.monotonically_increasing_id().alias("node"), F.size("v").alias("dims")))
+    counts = classes.groupBy("label", "dims").agg(F.count("*").alias("n"))
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    dealt = join_back(classes, counts, ["label", "dims"], ["node"], "n", total).withColumn("shards", F.ceil(F.col("n") / shard_size).cast("int"))
+    cols = ["label", "dims", "shard", "role", "node", "size", "v"]
+    members = dealt.withColumns({"shard": F.pmod(F.xxhash64("hash", F.lit(1)), F.col("shards")).cast("int"), "role": F.lit(0)}).select(cols)
     asks = dealt.withColumns({"shard": F.explode(F.sequence(F.lit(0), F.col("shards") - 1)), "role": F.lit(1)}).select(cols)
-    rows = members.union(asks).repartition("label", "dims", "shard").sortWithinPartitions("label", "dims", "shard", "role", "rep")
-    found = rows.mapInArrow(shard_search(least), "u long, v long, n long")
-    found = cut(found)
+    rows = members.union(asks).repartition("label", "dims", "shard").sortWithinPartitions("label", "dims", "shard", "role", "node")
+    found = cut(rows.mapInArrow(shard_search(least), "u long, v long, n long"))
     linked = found.groupBy("u").agg(F.sum("n").alias("others"))
     of = components(found.select("u", "v"))
-    c = classes.join(linked, classes["rep"] == linked["u"], "left").join(of, classes["rep"] == of["id"], "left")
-    c = c.select(F.col("label"), F.col("v"), (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good = v.filter(ok & F.col("vec_id").isNotNull())
-    out = good.join(c, same(good, c, ["label", "v"])).select("vec_id", "n_links", "component_id")
-    out = out.union(v.filter(~(ok & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
+    c = classes.select("label", "hash", "v", "low", "size", "node")
+    c = c.join(linked, c["node"] == linked["u"], "left").join(of, c["node"] == of["id"], "left").withColumn("root", F.coalesce("component", "node"))
+    c = cut(c.select("label", "hash", "v", "low", "size", "root", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+    lows = c.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    c = join_back(c, lows, ["root"], ["label", "hash"], "n", total).select("label", "hash", "v", "size", "n_links", "component_id")
+    out = join_back(v.filter("hash is not null"), c, ["label", "hash", "v"], ["vec_id"], "size", total).select("vec_id", "n_links", "component_id")
+    out = out.union(v.filter("hash is null").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerbars.llm import language_id, sentencepiece_codec
 from ledgerbars.llm.common import components, prefix_sum
-from ledgerbars.llm.embedding_dedup import Graph, embedding_dedup
+from ledgerbars.llm.embedding_dedup import Graph, Shard, embedding_dedup
 from ledgerbars.llm.exact_dedup import exact_dedup, keep_one
 from ledgerbars.llm.line_dedup import line_dedup
 from ledgerbars.llm.mixing import Mix, mix, mixed_documents, permuted
@@ -245,7 +245,7 @@ def test_drawn_counts_are_multinomial(spark):
 
 def test_permuted_is_a_bijection(spark):
     for n in (1, 2, 3, 64, 1000):
-        got = [r[0] for r in spark.range(n).select(permuted(F.col("id"), F.lit(n), 5, F.lit(1))).collect()]
+        got = [r[0] for r in permuted(spark.range(n).withColumn("n", F.lit(n)), "id", "n", 5, F.lit(1)).select("id").collect()]
         assert sorted(got) == list(range(n)) and (n < 64 or sum(i == x for i, x in enumerate(got)) < n / 8)
 
 
@@ -447,19 +447,21 @@ def test_embedding_dedup(spark, shard_size):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("size", F.lit("x")).withColumn("v", F.lit(1))
     got = embedding_dedup(d, shard_size=shard_size).collect()
     assert len(got) == len(rows)
-    ok = [r for r in rows if r[0] is not None and r[0] < 1000 or r[0] is not None and r[0] >= 2000]
+    ok = [r for r in rows if r[0] is None or r[0] < 1000 or r[0] >= 2000]  # a null id links like others and is never the smallest
     x = np.array([r[1] for r in ok], np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     label = np.array([r[2] for r in ok])
     near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
-    want_n, low = near.sum(1) - 1, brute.reach([r[0] for r in ok], near)
+    want_n, low = near.sum(1) - 1, brute.reach([r[0] if r[0] is not None else 10**9 for r in ok], near)
     found = {r.vec_id: r for r in got}
     exact = sum(found[r[0]].n_links == n for r, n in zip(ok, want_n, strict=True))
     assert exact >= 0.99 * len(ok) and sum(r.n_links for r in got) >= 0.99 * want_n.sum()
     assert all(found[r[0]].n_links <= n for r, n in zip(ok, want_n, strict=True))
     assert sum(found[r[0]].component_id == c for r, c in zip(ok, low, strict=True)) >= 0.99 * len(ok)
-    lone = [r for r in got if r.vec_id is None or 1000 <= r.vec_id < 2000]
-    assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept == (r.vec_id is not None) for r in lone)
+    lone = [r for r in got if r.vec_id is not None and 1000 <= r.vec_id < 2000]
+    assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in lone) and found[None].component_id == 0 and not found[None].kept
+    nobody = embedding_dedup(spark.createDataFrame([(None, [1.0, 2.0], 1), (None, [1.0, 2.1], 1), (None, None, 1)], "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(r.n_links for r in nobody) == [0, 1, 1] and {(r.component_id, r.kept) for r in nobody} == {(None, False)}
     assert embedding_dedup(d.limit(0)).collect() == []
 
 
@@ -478,6 +480,19 @@ def test_embedding_dedup_finds_every_lone_partner(spark):
     assert sum(want.values()) > 1000 and got == want
 
 
+def test_audit_widens_the_beam():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(3000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x + 0.02 * r.normal(size=x.shape)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    narrow = Shard(np.arange(3000), np.ones(3000, int), x, 0.93, width=1, slack=0.0)
+    got = narrow.ask(np.arange(5000, 8000), q)
+    assert narrow.graph is None or narrow.width > 1  # the first audits lose links
+    truth = q @ x.T >= 0.93
+    assert sum(len(h) for h in got) >= 0.999 * truth.sum() and all(truth[i, h].all() for i, h in enumerate(got))
+
+
 def test_graph_recall():
     r = np.random.default_rng(0)
     x = np.repeat(r.normal(size=(150, 24)), 12, axis=0) + r.normal(size=(1800, 24)) * 0.1
