@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACES, cut
+from .common import SPACES, cut, join_back
 
 
 def normalised(text: Column) -> Column:
@@ -47,7 +47,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = cut(groups)
     clash = groups.filter("texts > 1")
     left = d.select("doc_id", "n", "digest", F.sha2("norm", 256).alias("text_sha256"))
-    out = left.join(groups.filter("texts = 1").drop("texts"), "digest")
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    out = join_back(left, groups.filter("texts = 1").drop("texts"), ["digest"], ["doc_id", "n"], "size", total)
     if not clash.isEmpty():
         bad = clash.select("digest")
         mine = d.join(bad, "digest", "left_semi")
