@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -60,19 +60,20 @@ def repeats(rows, length=50):
 
 
 def lines(rows):
-    """{doc_id: (n_lines, n_removed, text)} by windows of three lines."""
-    seen, out = set(), {}
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        if t is None:
-            out[d] = (0, 0, None)
-            continue
-        x = t.split("\n")
-        gone = set()
+    """Counter of (doc_id, n_lines, n_removed, text) by windows of three lines; one for each row."""
+    place = lambda r: (r[0] is not None, r[0] or 0, int(hashlib.md5(r[1].encode()).hexdigest()[:8], 16) & 2**30 - 1 if r[1] is not None else 0)
+    first, out = {}, Counter()
+    for r in sorted(rows, key=place):
+        x = r[1].split("\n") if r[1] is not None else []
         for i in range(len(x) - 2):
-            if tuple(x[i : i + 3]) in seen:
-                gone |= {i, i + 1, i + 2}
-            seen.add(tuple(x[i : i + 3]))
-        out[d] = (len(x), len(gone), "\n".join(y for i, y in enumerate(x) if i not in gone))
+            first.setdefault(tuple(x[i : i + 3]), (place(r), i))
+    for r in rows:
+        if r[1] is None:
+            out[r[0], 0, 0, None] += 1
+            continue
+        x = r[1].split("\n")
+        gone = {i + k for i in range(len(x) - 2) if (place(r), i) > first[tuple(x[i : i + 3])] for k in range(3)}
+        out[r[0], len(x), len(gone), "\n".join(y for i, y in enumerate(x) if i not in gone)] += 1
     return out
 
 
