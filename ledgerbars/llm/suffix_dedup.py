@@ -1,41 +1,35 @@
 """Suffix-array dedup: bytes of later documents that repeat a string of an earlier one.
 
-A suffix array holds only what fits a task, so the corpus is first cut down to where repeats can be, with
-no loss, and repeated strings are brought together by content:
-
-1. Documents are dealt into units, written once as a bucketed table; each later pass reads it in place.
-2. Each unit cuts its documents into content-defined chunks. A chunk here is all windows (strings of
-   ``length`` bytes) that start in it. Of equal chunks the one in the smallest document stays, the others
-   are wholly repeated. Counting combines before it shuffles, so large groups of copies cost a row a task.
-3. For the windows left, the smallest hash of the short strings in each window is its anchor; equal windows have equal
+A suffix array holds only what fits a task, so strings that may repeat are brought together by content first, with no loss:
+
+1. Equal texts become one, by digest and whole text; long texts are split into pieces that overlap. Pieces are dealt into units,
+   written once as a bucketed table; two passes read it in place before the last one cuts the bytes.
+2. In each window (string of ``length`` bytes) the smallest hash of the short strings in it is its anchor; equal windows have equal
    anchors. Units send what anchors they hold (sorted, four bytes each); those in two places come back.
-   The same again with what stands left and right of those anchors: half of a window's other bytes are on one side.
-4. Runs of windows with such an anchor are compared by digest first: of equal runs only the smallest document's goes on.
-   Of those, only windows whose hash is in two places go on, with their bytes, to the anchor's shard. Each shard sorts its
-   suffixes by induction, takes the common prefixes, and finds for every repeated window the
-   smallest document. An anchor with very many different runs is resolved window by window in a join.
-5. Units gather the repeated windows of their documents and cut the bytes.
+3. Consecutive windows of one such anchor are a context. Contexts go, with their bytes, to their anchor's shard; equal ones are made
+   one by comparing their bytes, in each unit and then in all. A shard keeps of them what another context of the anchor may hold
+   too, sorts the suffixes of all that is left by induction, and its permuted common prefixes tell for each window the smallest document.
+4. Units take the answers for their contexts and cut the bytes; the pieces of a long text are put together again.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, join_back, release
 from .suffix_array import common_prefixes, suffix_array
 
-#: Bytes of the strings whose hashes are anchors, bytes of text a unit aims at, and mean bytes of a chunk.
-GRAM, UNIT_BYTES, CHUNK_BYTES = 24, 12_000_000, 256
-#: Bytes of context that a shard sorts at once; different bytes of one anchor beyond which windows are joined instead.
-SHARD_BYTES, ANCHOR_BYTES = 1 << 18, 1 << 23
+#: Bytes of the strings whose hashes are anchors, bytes of text a unit aims at, and bytes of a long text's pieces.
+GRAM, UNIT_BYTES, PIECE_BYTES = 24, 12_000_000, 4_000_000
+#: Bytes of contexts that a shard takes together; an anchor's contexts are never parted.
+SHARD_BYTES = 1 << 20
 #: Where a null doc_id sorts.
 NOWHERE = -(2**63)
 MIX1, MIX2, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x100000001B3)
@@ -88,21 +82,24 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Texts:
-    """The documents of a unit, end to end."""
+    """The pieces of a unit, end to end."""
 
-    def __init__(self, keys: np.ndarray, texts: list[bytes]):
-        self.keys = keys
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+    def __init__(self, table: pa.Table):
+        self.pids, self.keys = (table.column(c).to_numpy() for c in ("pid", "low"))
+        data = table.column("bytes").combine_chunks()
+        data = data if isinstance(data, pa.Array) else pa.concat_arrays(data.chunks)
+        offsets = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int32)
+        self.at = (offsets - offsets[0]).astype(np.int64)
+        self.sizes = np.diff(self.at)
+        self.bytes = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if self.at[-1] else np.zeros(0, np.uint8)
 
     def windows(self, length: int) -> np.ndarray:
-        """True where a window of a document starts."""
+        """True where a window of a piece starts."""
         some = self.sizes >= length
         return spread(self.at[:-1][some], self.at[1:][some] - length + 1, len(self.bytes))
 
-    def pieces(self, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
-        """Ranges of whole documents of about ``most`` bytes, so that work arrays stay in a core's cache."""
+    def ranges(self, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+        """Ranges of whole pieces of about ``most`` bytes, so that work arrays stay in a core's cache."""
         lo = 0
         for end in self.at[1:].tolist():
             if end - lo >= most:
@@ -111,110 +108,30 @@ class Texts:
         if lo < len(self.bytes):
             yield lo, len(self.bytes)
 
-    def place(self, keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        order = np.argsort(self.keys, kind="stable")
-        return self.at[order[np.searchsorted(self.keys[order], keys)]] + offsets
-
 
-def chunk_rows(t: Texts, length: int) -> pa.Table:
-    """(doc, start, end, hi, lo): the chunks as ranges of window starts, with a digest of all their bytes."""
+def contexts(t: Texts, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(starts, ends, anchors): the runs of window starts that have one anchor."""
     left = t.windows(length)
-    starts, ends, digests = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    limit = np.uint64(2**64 // CHUNK_BYTES - 1)
-    for lo, hi in t.pieces():
-        ok = left[lo:hi]
-        new = ok & (mixed(grams(t.bytes[lo:hi]), MIX2) < limit)
-        new[1:] |= ok[1:] & ~ok[:-1]
-        new[0] = ok[0]
-        at = np.searchsorted(t.at, [lo, hi])
-        first = t.at[at[0] : at[1]] - lo  # documents begin chunks
-        new[first[(first < len(ok))]] |= ok[first[(first < len(ok))]]
-        s = np.flatnonzero(new)
-        over = np.flatnonzero(ok & ~np.concatenate([ok[1:], [False]])) + 1
-        e = np.minimum(np.concatenate([s[1:], [len(ok)]]), over[np.searchsorted(over, s, side="right")]) if len(s) else s
-        raw = t.bytes[lo:hi].tobytes()
-        digests += [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(s.tolist(), (e + length - 1).tolist(), strict=True)]
-        starts.append(s + lo)
-        ends.append(e + lo)
-    start, end = np.concatenate(starts), np.concatenate(ends)
-    doc = np.searchsorted(t.at, start, side="right") - 1
-    d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    cols = [t.keys[doc], (start - t.at[doc]).astype(np.int32), (end - t.at[doc]).astype(np.int32), np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1])]
-    return pa.table([pa.array(c) for c in cols], ["doc", "start", "end", "hi", "lo"])
-
-
-def texts_of(table: pa.Table) -> Texts:
-    return Texts(table.column("key").to_numpy(), [x.encode("utf-8") if x is not None else b"" for x in table.column("text").to_pylist()])
-
-
-def open_windows(t: Texts, known: pa.Table, length: int) -> np.ndarray:
-    """Window starts that no chunk of ``known`` (kind 0: doc, start, end) has settled."""
-    left = t.windows(length)
-    k = known.filter(pa.compute.equal(known.column("kind"), 0))
-    if k.num_rows:
-        at = t.place(k.column("doc").to_numpy(), 0)
-        left &= ~spread(at + k.column("start").to_numpy(), at + k.column("end").to_numpy(), len(left))
-    return left
-
-
-def anchored_runs(t: Texts, left: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first byte, starts, ends, least hashes, hashes) of each piece: the runs of open windows that have one anchor,
-    counted from the piece's first byte."""
-    for lo, hi in t.pieces():
+    for lo, hi in t.ranges():
         ok = left[lo:hi]
         if not ok.any():
             continue
-        h = grams(t.bytes[lo:hi])
-        m = window_min(h, length - GRAM + 1)
+        m = window_min(grams(t.bytes[lo:hi]), length - GRAM + 1)
         new = ok.copy()
         new[1:] &= (m[1:] != m[:-1]) | ~ok[:-1]
         s = np.flatnonzero(new)
-        over = np.flatnonzero(ok & ~np.concatenate([ok[1:], [False]])) + 1  # ends of stretches of open windows
+        over = np.flatnonzero(ok & ~np.concatenate([ok[1:], [False]])) + 1  # ends of stretches of windows
         e = np.minimum(np.concatenate([s[1:], [len(ok)]]), over[np.searchsorted(over, s, side="right")])
-        yield lo, s, e, m[s], h
-
-
-def side(t: Texts, lo: int, first: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of an anchor with half of a window's other bytes, from ``first`` on, counted from ``lo`` (bytes beyond
-    the document only make a hash that no window needs)."""
-    raw, x = t.bytes[lo:], least.copy()
-    for k in range((length - GRAM) // 2):
-        x = (x ^ raw[np.clip(first + k, 0, len(raw) - 1)].astype(np.uint64)) * MIX1
-        x ^= x >> np.uint64(31)
-    return mixed(x, MIX2)
-
-
-def all_sides(t: Texts, lo: int, s: np.ndarray, e: np.ndarray, least: np.ndarray, h: np.ndarray, length: int) -> list[np.ndarray]:
-    """What stands before and after each place of a run's anchor in the bytes that the run's windows cover: a window
-    of another run may be that of any place. A place that two runs share counts once."""
-    n = e - s + length - GRAM
-    run_ = np.repeat(np.arange(len(n)), n)
-    p = np.repeat(s, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    p = np.unique(p[h[p] == least[run_]])
-    return [side(t, lo, first, h[p], length) for first in (p - (length - GRAM) // 2, p + GRAM)]
-
-
-def sides(t: Texts, lo: int, s: np.ndarray, e: np.ndarray, least: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each run: where its anchor first stands, what stands before it and after it there, and whether it stands once."""
-    half = (length - GRAM) // 2
-    width = length - GRAM + 1
-    at = np.minimum(s[:, None] + np.arange(width)[None, :], len(h) - 1)
-    p = s + (h[at] == least[:, None]).argmax(1)
-    # Once: no second place in the bytes that the run's windows cover. Runs longer than two windows' width are periodic.
-    span = np.minimum(s[:, None] + np.arange(2 * width)[None, :], len(h) - 1)
-    inside = np.arange(2 * width)[None, :] < (e - s + width - 1)[:, None]
-    once = (((h[span] == least[:, None]) & inside).sum(1) == 1) & (e - s <= width)
-    return p, side(t, lo, p - half, least, length), side(t, lo, p + GRAM, least, length), once
+        yield s + lo, e + lo, mixed(m[s], MIX2)
 
 
 def bucketed(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((anchor >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24), (anchor & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def wanted(known: pa.Table, kind: int) -> np.ndarray:
-    """The sorted tags of a kind that came back: bucket above, four bytes below."""
-    k = known.filter(pa.compute.equal(known.column("kind"), kind))
-    tags = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(k.column("start").to_pylist(), k.column("blob").to_pylist(), strict=True)]
+def wanted(known: pa.Table) -> np.ndarray:
+    """The sorted tags that came back: bucket above, four bytes below."""
+    tags = [np.frombuffer(x, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(known.column("bucket").to_pylist(), known.column("blob").to_pylist(), strict=True)]
     return np.sort(np.concatenate(tags)) if tags else np.zeros(0, np.uint64)
 
 
@@ -224,27 +141,6 @@ def among(want: np.ndarray, x: np.ndarray, buckets: int) -> np.ndarray:
     return want[np.minimum(np.searchsorted(want, tag), len(want) - 1)] == tag if len(want) else np.zeros(len(x), bool)
 
 
-def send_anchors(length: int, buckets: int, round_: int):
-    """Cogroup of a unit's texts and what is known: its anchors by bucket (round 1), or what stands left and right of
-    the anchors that came back (round 2); ``twice``: those it holds in several places."""
-
-    def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        names, kinds = ["unit", "bucket", "once", "twice"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        if not docs.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names)
-        t = texts_of(docs)
-        found, want = [np.zeros(0, np.uint64)], wanted(known, 1)
-        for lo, s, e, least, h in anchored_runs(t, open_windows(t, known, length), length):
-            anchor = mixed(least, MIX2)
-            if round_ == 1:
-                found.append(anchor)
-            elif (hit := among(want, anchor, buckets)).any():
-                found += all_sides(t, lo, s[hit], e[hit], least[hit], h, length)
-        return pack(key[0].as_py(), np.concatenate(found), buckets)
-
-    return run
-
-
 def match_anchors(key: tuple, rows: pa.Table) -> pa.Table:
     """Of a bucket: for each unit the anchors that are in several places."""
     once, twice = ([np.frombuffer(x, np.uint32) for x in rows.column(c).to_pylist()] for c in ("once", "twice"))
@@ -266,95 +162,63 @@ def pack(unit: int, found: np.ndarray, buckets: int) -> pa.Table:
     return pa.table([pa.array(x, k) for x, k in zip(data, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["unit", "bucket", "once", "twice"])
 
 
-def send_runs(length: int, buckets: int):
-    """Cogroup of a unit's texts with its settled chunks (kind 0), shared anchors (1) and shared sides (2): the runs
-    to compare, with a digest of their bytes."""
+def send_anchors(length: int, buckets: int):
+    """A unit's anchors by bucket; ``twice``: those it holds in several places."""
 
-    def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        names, kinds = ["anchor", "digest", "doc", "start", "end"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        anchors = wanted(known, 1) if docs.num_rows else ()
-        if not len(anchors):
-            return pa.table([pa.array([], k) for k in kinds], names)
-        t, both, half, out, digests = texts_of(docs), wanted(known, 2), (length - GRAM) // 2, [], []
-        for lo, s, e, least, h in anchored_runs(t, open_windows(t, known, length), length):
-            anchor = mixed(least, MIX2)
-            hit = among(anchors, anchor, buckets)
-            s, e, anchor, least = s[hit], e[hit], anchor[hit], least[hit]
-            if not len(s):
-                continue
-            p, before, after, once = sides(t, lo, s, e, least, h, length)
-            # A window with half of its other bytes before the anchor needs that side shared; likewise after it.
-            s = np.where(once & ~among(both, before, buckets), np.maximum(s, p - half + 1), s)
-            e = np.where(once & ~among(both, after, buckets), np.minimum(e, p + GRAM + half - length), e)
-            keep = e > s
-            s, e, anchor = s[keep] + lo, e[keep] + lo, anchor[keep]
-            raw, base = t.bytes[lo : int(e.max(initial=0)) + length].tobytes(), lo
-            digests += [hashlib.blake2b(raw[x - base : y - base], digest_size=8).digest() for x, y in zip(s.tolist(), (e + length - 1).tolist(), strict=True)]
-            d = np.searchsorted(t.at, s, side="right") - 1
-            out.append((anchor.view(np.int64), t.keys[d], (s - t.at[d]).astype(np.int32), (e - t.at[d]).astype(np.int32)))
-        if not digests:
-            return pa.table([pa.array([], k) for k in kinds], names)
-        anchor, doc, start, end = (np.concatenate([o[i] for o in out]) for i in range(4))
-        cols = [anchor, np.frombuffer(b"".join(digests), np.int64), doc, start, end]
-        return pa.table([pa.array(c) for c in cols], names)
+    def run(key: tuple, docs: pa.Table) -> pa.Table:
+        found = [np.zeros(0, np.uint64), *(anchor for _, _, anchor in contexts(Texts(docs), length))]
+        return pack(key[0].as_py(), np.concatenate(found), buckets)
 
     return run
 
 
-def window_tags(t: Texts, asked: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the asked runs: each window's place, its hash, and the run it is of."""
-    at = t.place(asked.column("doc").to_numpy(), asked.column("start").to_numpy())
-    n = asked.column("end").to_numpy() - asked.column("start").to_numpy()
-    run_ = np.repeat(np.arange(len(n)), n)
-    place = np.repeat(at, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    tag = np.empty(len(place), np.uint64)
-    for i in range(0, len(place), 1 << 16):
-        p, x = place[i : i + (1 << 16)], np.zeros(min(1 << 16, len(place) - i), np.uint64)
-        for k in range(length):
-            x = (x + t.bytes[p + k]) * MIX1
-            x ^= x >> np.uint64(29)
-        tag[i : i + (1 << 16)] = mixed(x, MIX2)
-    return place, tag, run_
+CONTEXT = "unit int, anchor long, digest long, context binary, low long, n int, places binary"
 
 
-def send_windows(length: int, buckets: int):
-    """Cogroup of a unit's texts with the runs asked for (kind 3): the hashes of their windows by bucket."""
+def send_contexts(length: int, buckets: int):
+    """Cogroup of a unit's pieces with its shared anchors: the contexts, equal ones of the unit as one. ``low`` is the smallest document
+    of the unit that holds it, ``places`` are (piece's row, first window) as pairs of 32-bit numbers."""
 
     def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        tags = window_tags(texts_of(docs), known, length)[1] if docs.num_rows and known.num_rows else np.zeros(0, np.uint64)
-        return pack(key[0].as_py(), tags, buckets)
+        want = wanted(known) if docs.num_rows else np.zeros(0, np.uint64)
+        t, found = Texts(docs), {}
+        raw = memoryview(t.bytes)
+        for s, e, anchor in contexts(t, length) if len(want) else ():
+            hit = among(want, anchor, buckets)
+            s, e, anchor = s[hit], e[hit], anchor[hit]
+            row = np.searchsorted(t.at, s, side="right") - 1
+            for a, x, y, r in zip(anchor.view(np.int64).tolist(), s.tolist(), (e + length - 1).tolist(), row.tolist(), strict=True):
+                found.setdefault((a, bytes(raw[x:y])), []).append((r, x))
+        flat = np.array([p for places in found.values() for p in places], np.int64).reshape(-1, 2)
+        sizes = np.array([len(p) for p in found.values()], np.int64)
+        first = np.cumsum(sizes) - sizes
+        low = np.minimum.reduceat(t.keys[flat[:, 0]], first) if len(first) else np.zeros(0, np.int64)
+        pairs = np.stack([flat[:, 0], flat[:, 1] - t.at[flat[:, 0]]], 1).astype(np.int32).tobytes()
+        cuts = (np.concatenate([first, [len(flat)]]) * 8).tolist()
+        digests = b"".join(hashlib.blake2b(c, digest_size=8).digest() for _, c in found)
+        cols = [
+            pa.array(np.full(len(found), key[0].as_py() if found else 0, np.int32)), pa.array([a for a, _ in found], pa.int64()), pa.array(np.frombuffer(digests, np.int64)), pa.array([c for _, c in found], pa.binary()),
+            pa.array(low), pa.array(sizes.astype(np.int32)), pa.array([pairs[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+        ]
+        return pa.table(cols, ["unit", "anchor", "digest", "context", "low", "n", "places"])
 
     return run
 
 
-def send_contexts(length: int, buckets: int):
-    """Cogroup of a unit's texts with the runs asked for (kind 3) and the windows that are in several places (4):
-    the bytes of what is left of each run, with its offset in it."""
-
-    def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        names, kinds = ["anchor", "digest", "low", "offset", "context"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        want = wanted(known, 4) if docs.num_rows else ()
-        if not len(want):
-            return pa.table([pa.array([], k) for k in kinds], names)
-        asked = known.filter(pa.compute.equal(known.column("kind"), 3))
-        t = texts_of(docs)
-        place, tag, run_ = window_tags(t, asked, length)
-        ok = among(want, tag, buckets)
-        place, run_ = place[ok], run_[ok]
-        new = np.flatnonzero(np.r_[True, (np.diff(place) != 1) | (np.diff(run_) != 0)]) if len(place) else np.zeros(0, int)
-        last = np.r_[new[1:], len(place)] - 1 if len(place) else new
-        s, e, r = place[new], place[last] + length, run_[new]
-        first = t.place(asked.column("doc").to_numpy(), asked.column("start").to_numpy())[r]
-        cols = [asked.column(c).to_numpy()[r] for c in ("anchor", "digest", "doc")]
-        return pa.table([*map(pa.array, cols), pa.array((s - first).astype(np.int32)), pa.array([t.bytes[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary())], names)
+def window_hashes(x: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each position, from those of the short strings that cover them."""
+    h = grams(x)
+    out = h.copy()
+    for at in [*range(GRAM, length - GRAM, GRAM), length - GRAM]:
+        out *= MIX1
+        out[: len(out) - at] ^= h[at:]
+    return mixed(out, MIX2)
 
-    return run
 
-
-def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context the offsets of windows that a context of a smaller document holds too."""
+def repeated(pieces: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
+    """For each of ``pieces`` the offsets of windows that a piece of a smaller document holds too."""
     s, owner, at = [], [], []
-    for i, c in enumerate(contexts):
+    for i, c in enumerate(pieces):
         s += [b + 2 for b in c]
         s.append(1)
         owner.append(np.full(len(c) + 1, i))
@@ -363,8 +227,8 @@ def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     sa = suffix_array(s, 258)
     shared = np.array(common_prefixes(s, sa))
     order = np.array(sa)
-    sizes = np.array([len(c) for c in contexts])
-    full = at_[order] + length <= sizes[owner_[order]]  # the suffix begins with a window of its context
+    sizes = np.array([len(c) for c in pieces])
+    full = at_[order] + length <= sizes[owner_[order]]  # the suffix begins with a window of its piece
     group = np.cumsum(~((shared >= length) & full & np.concatenate([[False], full[:-1]])))
     o, g = order[full], group[full]
     d = docs[owner_[o]]
@@ -372,149 +236,231 @@ def repeated(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.nd
     np.minimum.at(low, g, d)
     o = o[low[g] < d]
     o = o[np.lexsort((at_[o], owner_[o]))]
-    cuts = np.searchsorted(owner_[o], np.arange(len(contexts) + 1))
+    cuts = np.searchsorted(owner_[o], np.arange(len(pieces) + 1))
     return [at_[o[x:y]] for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
+def solve(anchors: np.ndarray, texts: list[bytes], lows: np.ndarray, length: int) -> list[list[int]]:
+    """For each context, of whole anchors in order, the ranges of its windows that a smaller document has in another context of its anchor,
+    as starts and ends in turn."""
+    sizes = np.array([len(c) for c in texts], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    ok = spread(at[:-1], at[1:] - length + 1, int(at[-1]))
+    place = np.flatnonzero(ok)
+    tag = window_hashes(np.frombuffer(b"".join(texts), np.uint8), length)[place] ^ mixed(anchors[owner[place]].view(np.uint64), MIX1)
+    order = np.argsort(tag, kind="stable")
+    again = tag[order[1:]] == tag[order[:-1]]
+    some = np.zeros(len(ok), bool)
+    some[place[order[1:][again]]] = some[place[order[:-1][again]]] = True
+    some[at[1:-1]] &= ok[at[1:-1]]
+    # Pieces: stretches of windows that may be elsewhere too. Equal pieces of an anchor are sorted once, for their smallest document.
+    edge = np.concatenate([[True], (owner[1:] != owner[:-1])]) if len(owner) else np.zeros(0, bool)
+    begins = np.flatnonzero(some & (edge | ~np.concatenate([[False], some[:-1]])))
+    ends = np.flatnonzero(some & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([some[1:], [False]]))) + 1
+    raw = b"".join(texts)
+    parts = [(int(anchors[owner[x]]), raw[x : y + length - 1], int(owner[x]), int(x - at[owner[x]])) for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
+    low: dict[tuple[int, bytes], int] = {}
+    many: dict[int, int] = {}
+    for a, piece, i, _ in parts:
+        if (a, piece) not in low:
+            many[a] = many.get(a, 0) + 1
+        low[a, piece] = min(int(lows[i]), low.get((a, piece), int(lows[i])))
+    keys = [k for k in low if many[k[0]] > 1]
+    hits = dict(zip(keys, repeated([p for _, p in keys], np.array([low[k] for k in keys]), length), strict=True)) if keys else {}
+    out: list[list[int]] = [[] for _ in texts]
+    for a, piece, i, first in parts:
+        if lows[i] > low[a, piece]:
+            out[i] += [first, first + len(piece) - length + 1]
+        elif len(h := hits.get((a, piece), ())):
+            flags = np.zeros(int(h[-1]) + 1, bool)
+            flags[h] = True
+            for x, y in zip(*(z.tolist() for z in runs(flags)), strict=True):
+                out[i] += [first + x, first + y]
+    return out
+
+
 def shard_arrays(length: int):
-    """mapInArrow over (anchor, digest, low, offset, context) sorted by anchor: (anchor, digest, a, b): the ranges of
-    windows of a run that a smaller document has."""
+    """mapInArrow over distinct contexts (anchor, digest, context, low) sorted by anchor: (anchor, digest, gone), where any window goes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-            # Equal contexts of an anchor are sorted once, for their smallest document; the others lose all of it.
-            low: dict[tuple[int, bytes], int] = {}
-            for anchor, _, doc, _, context in rows:
-                low[anchor, context] = min(doc, low.get((anchor, context), doc))
-            many = Counter(anchor for anchor, _ in low)
-            keys = [k for k in low if many[k[0]] > 1]
-            hits = dict(zip(keys, repeated([c for _, c in keys], np.array([low[k] for k in keys]), length), strict=True)) if keys else {}
-            out = []
-            for anchor, digest, doc, offset, context in rows:
-                if doc > low[anchor, context]:
-                    out.append((anchor, digest, offset, offset + len(context) - length + 1))
-                elif len(h := hits.get((anchor, context), ())):
-                    flags = np.zeros(int(h[-1]) + 1, bool)
-                    flags[h] = True
-                    out += [(anchor, digest, offset + a, offset + b) for a, b in zip(*(x.tolist() for x in runs(flags)), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["anchor", "digest", "a", "b"])
-
-        todo, group, held = [], [], 0  # an anchor with one context has nothing to compare
+        todo: list[pa.RecordBatch] = []  # whole anchors, then the last one, which the next batch may continue
+        held = 0
+
+        def flush(table: pa.Table) -> pa.RecordBatch:
+            anchors, digests, lows = (table.column(c).to_numpy() for c in ("anchor", "digest", "low"))
+            several = np.zeros(len(anchors), bool)
+            same = anchors[1:] == anchors[:-1]
+            several[1:] |= same
+            several[:-1] |= same
+            if (same & (digests[1:] == digests[:-1])).any():
+                raise ValueError("two contexts of an anchor have one digest")
+            at = np.flatnonzero(several)
+            gone = solve(anchors[at], table.column("context").take(pa.array(at)).to_pylist(), lows[at], length) if len(at) else []
+            keep = [i for i, g in enumerate(gone) if g]
+            return pa.RecordBatch.from_arrays([pa.array(anchors[at[keep]]), pa.array(digests[at[keep]]), pa.array([gone[i] for i in keep], pa.list_(pa.int32()))], ["anchor", "digest", "gone"])
+
         for b in batches:
-            for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if group and row[0] != group[0][0]:
-                    if len(group) > 1:
-                        todo += group
-                        held += sum(len(r[4]) for r in group)
-                        if held >= SHARD_BYTES:
-                            yield solve(todo)
-                            todo, held = [], 0
-                    group = []
-                group.append(row)
-        if len(group) > 1:
-            todo += group
+            if not b.num_rows:
+                continue
+            todo.append(b)
+            held += b.nbytes
+            if held < SHARD_BYTES:
+                continue
+            table = pa.Table.from_batches(todo)
+            anchors = table.column("anchor").to_numpy()
+            ends = np.flatnonzero(anchors != anchors[-1])
+            if len(ends):
+                last = int(ends[-1]) + 1
+                for lo, hi in parts_of(table, anchors, last):
+                    yield flush(table.slice(lo, hi - lo))
+                todo = table.slice(last).combine_chunks().to_batches()
+                held = sum(x.nbytes for x in todo)
         if todo:
-            yield solve(todo)
+            table = pa.Table.from_batches(todo)
+            for lo, hi in parts_of(table, table.column("anchor").to_numpy(), table.num_rows):
+                yield flush(table.slice(lo, hi - lo))
+
+    def parts_of(table: pa.Table, anchors: np.ndarray, last: int) -> Iterator[tuple[int, int]]:
+        """Ranges of rows before ``last`` of about SHARD_BYTES that end with an anchor."""
+        size = np.cumsum(pa.compute.binary_length(table.column("context")).to_numpy()[:last])
+        ends = np.flatnonzero(np.diff(anchors[:last], append=anchors[last - 1] - 1 if last else 0) != 0) + 1
+        lo = before = 0
+        for e in ends.tolist():
+            if size[e - 1] - before >= SHARD_BYTES or e == last:
+                yield lo, e
+                lo, before = e, size[e - 1]
 
     return run
 
 
+RESULT = "pid long, digest binary, piece int, pieces int, low long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, opens boolean, closes boolean"
+
+
 def cut_bytes(length: int):
-    """Cogroup of a unit's texts with (doc, start, end) of repeated windows: the result rows."""
+    """Cogroup of a unit's pieces with the answers for its contexts: what is left of each piece; its bytes only where a text has several."""
 
     def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        names, kinds = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        if not docs.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names)
-        t = texts_of(docs)
+        t = Texts(docs)
         gone = np.zeros(len(t.bytes), bool)
         if known.num_rows:
-            at = t.place(known.column("doc").to_numpy(), 0)
-            gone = spread(at + known.column("start").to_numpy(), at + known.column("end").to_numpy() + length - 1, len(gone))
+            pairs = np.frombuffer(b"".join(known.column("places").to_pylist()), np.int32).reshape(-1, 2)
+            each = np.repeat(np.arange(known.num_rows), known.column("n").to_numpy())
+            at, own = t.at[pairs[:, 0]] + pairs[:, 1], t.keys[pairs[:, 0]]
+            whole = own > known.column("least").to_numpy()[each]
+            starts, ends = [at[whole]], [at[whole] + known.column("windows").to_numpy()[each[whole]]]
+            ranges = known.column("gone").combine_chunks()
+            ranges = ranges if isinstance(ranges, pa.Array) else pa.concat_arrays(ranges.chunks)
+            counts = pa.compute.fill_null(pa.compute.list_value_length(ranges), 0).to_numpy(zero_copy_only=False) // 2
+            flat = pa.compute.list_flatten(ranges).to_numpy(zero_copy_only=False).reshape(-1, 2)
+            part = ~whole & (counts[each] > 0)
+            times = counts[each[part]]
+            first = (np.cumsum(counts) - counts)[each[part]]
+            pick = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            starts.append(np.repeat(at[part], times) + flat[pick, 0])
+            ends.append(np.repeat(at[part], times) + flat[pick, 1])
+            gone = spread(np.concatenate(starts), np.concatenate(ends) + length - 1, len(gone))
         rows = []
-        for k, a, b in zip(t.keys.tolist(), t.at[:-1].tolist(), t.at[1:].tolist(), strict=True):
-            g = gone[a:b]
+        front, size = (docs.column(c).to_pylist() for c in ("front", "own"))
+        for i, (a, n_pieces) in enumerate(zip(t.at[:-1].tolist(), docs.column("pieces").to_pylist(), strict=True)):
+            lo, hi = a + front[i], a + front[i] + size[i]
+            g = gone[lo:hi]
             n = int(g.sum())
-            rows.append((k, b - a, n, len(runs(g)[0]) if n else 0, hashlib.sha256((t.bytes[a:b][~g] if n else t.bytes[a:b]).tobytes()).hexdigest()))
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            kept = (t.bytes[lo:hi][~g] if n else t.bytes[lo:hi]).tobytes()
+            edge = (bool(g[0]), bool(g[-1])) if len(g) else (False, False)
+            rows.append((hi - lo, n, len(runs(g)[0]) if n else 0, hashlib.sha256(kept).hexdigest() if n_pieces == 1 else None, kept if n_pieces > 1 else None, *edge))
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "opens", "closes"]
+        kinds = [pa.int64()] * 3 + [pa.string(), pa.binary(), pa.bool_(), pa.bool_()]
+        made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        own_ = ["pid", "digest", "piece", "pieces", "low"]
+        return pa.table([*(docs.column(c) for c in own_), *made], [*own_, *names])
 
     return run
 
 
-def by_unit(length: int):
-    def run(key: tuple, docs: pa.Table) -> pa.Table:
-        return chunk_rows(texts_of(docs), length)
-
-    return run
+def put_together(key: tuple, pieces: pa.Table) -> pa.Table:
+    """The pieces of one long text as one row; a run that goes on from one piece into the next is one."""
+    rows = sorted(pieces.to_pylist(), key=lambda r: r["piece"])
+    both = sum(a["closes"] and b["opens"] for a, b in zip(rows, rows[1:], strict=False))
+    digest = hashlib.sha256()
+    for r in rows:
+        digest.update(r["kept"])
+    total = {c: [sum(r[c] for r in rows)] for c in ("n_bytes", "n_removed", "n_spans")}
+    total["n_spans"][0] -= both
+    cols = {"digest": pa.array([rows[0]["digest"]], pa.binary()), "low": pa.array([rows[0]["low"]], pa.int64())}
+    return pa.table(cols | {c: pa.array(x, pa.int64()) for c, x in total.items()} | {"kept_sha256": pa.array([digest.hexdigest()])})
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, unit_bytes: int = UNIT_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row a document.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, unit_bytes: int = UNIT_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of ``docs``.
 
     Texts are UTF-8 bytes; null is empty. A byte goes if a string of ``length`` bytes that covers it also
     starts in a document with a smaller doc_id; overlaps count, and strings are judged on the input.
-    Strings repeated within one document alone stay. Texts shorter than ``length`` are kept. Rows that
-    repeat a doc_id are one document, the greatest text counts; a null doc_id is a document before all
-    others (and one with the id -2^63). An empty table gives no rows. Other columns are ignored.
+    Strings repeated within one document alone stay. Texts shorter than ``length`` are kept. A null doc_id is smaller than all others
+    (and equal to -2^63). Rows that repeat a doc_id, or have none, are documents of their own that take nothing
+    from each other. An empty table gives no rows. Other columns are ignored. A text longer than
+    ``piece_bytes`` is split over units with ``length`` - 1 bytes of its neighbours on each side; only its
+    kept bytes meet again in one task. Exact, whatever the anchors: equal windows have equal anchors.
     """
     spark = docs.sparkSession
     key = F.coalesce(docs[id_col].cast("long"), F.lit(NOWHERE).cast("long"))
-    rows = docs.select(key.alias("key"), docs[id_col].isNull().alias("none"), docs[text_col].cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    units = max(1, -(-total // unit_bytes))
-    buckets = max(4, int(units))
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), key.alias("key"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     name = f"suffix_dedup_{uuid.uuid4().hex}"
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(units)).cast("int").alias("unit")
-    # One shuffle of the texts; the table is read in place by every pass.
-    dealt = rows.withColumn("unit", of("key")).repartition(int(units), "unit").groupBy("unit", "key").agg(F.max("text").alias("text"), F.bool_or("none").alias("none"))
-    dealt.write.option("compression", "zstd").bucketBy(int(units), "unit").sortBy("unit").saveAsTable(name)
-    del dealt
-    release(spark)
+    # One text of each digest, by its whole bytes; each task combines its rows before the only shuffle of texts.
+    whole = rows.groupBy("digest", "text").agg(F.min("key").alias("low"), F.count("*").alias("copies"))
+    n, reach = F.octet_length("text"), length - 1
+    pieces = F.greatest(F.lit(1), F.ceil(n / piece_bytes)).cast("int")
+    split = whole.select("digest", "low", "copies", F.col("text").cast("binary").alias("bytes"), n.alias("size"), pieces.alias("pieces"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    lo = F.col("piece").cast("long") * piece_bytes
+    front = F.least(lo, F.lit(reach)).cast("int")
+    own = F.least(F.lit(piece_bytes), F.col("size") - lo).cast("int")
+    part = F.when(F.col("pieces") == 1, F.col("bytes")).otherwise(F.substring("bytes", (lo - front + 1).cast("int"), front + own + reach))
+    # Units are parts of the write's tasks, so that a unit's rows are in one file.
+    units = max(1, -(-total // unit_bytes))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-units // tasks))
+    of_ = lambda pid: (F.shiftright(pid, 33) * parts + F.pmod(F.xxhash64(pid), F.lit(parts))).cast("int")
+    dealt = split.select("digest", "low", "copies", "pieces", "piece", front.alias("front"), own.alias("own"), part.alias("bytes")).withColumn("pid", F.monotonically_increasing_id())
+    dealt = dealt.withColumn("unit", of_(F.col("pid")))
+    write = lambda df, table: df.write.option("compression", "zstd").bucketBy(max(1, min(tasks, int(units))), "unit").sortBy("unit").saveAsTable(table)
     try:
-        texts = spark.table(name).select("unit", "key", "text")
-        chunks = texts.groupBy("unit").applyInArrow(by_unit(length), "doc long, start int, end int, hi long, lo long")
-        chunks = cut(chunks)
-        lows = chunks.groupBy("hi", "lo").agg(F.min("doc").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        again = cut(chunks.join(lows, ["hi", "lo"]).filter("doc > low").select(of("doc"), "doc", "start", "end"))
-        del chunks, lows
+        write(dealt, name)
+        del dealt, split, whole
         release(spark)
-        known = again.select("unit", F.lit(0).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"))
-        matched = lambda sent: cut(sent.groupBy("bucket").applyInArrow(match_anchors, "unit int, bucket int, blob binary"))
-        sent_schema = "unit int, bucket int, once binary, twice binary"
-        for round_ in (1, 2):
-            shared = matched(texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_anchors(length, buckets, round_), sent_schema))
-            known = known.union(shared.select("unit", F.lit(round_), F.lit(0).cast("long"), "bucket", "bucket", "blob"))
-            release(spark)
-        found = cut(texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_runs(length, buckets), "anchor long, digest long, doc long, start int, end int"))
-        # Equal runs of an anchor are one, however many documents hold it; combined before the shuffle.
-        distinct = cut(found.groupBy("anchor", "digest").agg(F.min_by(F.struct("doc", "start", "end"), F.struct("doc", "start")).alias("r")).select("anchor", "digest", "r.*"))
-        several = distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start") + length).alias("size")).filter("n > 1")
-        asked = distinct.join(several.select("anchor"), "anchor", "left_semi").select(of("doc"), F.lit(3).alias("kind"), "doc", "start", "end", F.lit(None).cast("binary").alias("blob"), "anchor", "digest")
-        asked = cut(asked)
+        texts = spark.table(name)
+        buckets = max(4, int(units))
+        only = texts.select("unit", "pid", "low", "bytes")
+        sent = only.groupBy("unit").applyInArrow(send_anchors(length, buckets), "unit int, bucket int, once binary, twice binary")
+        shared = cut(sent.groupBy("bucket").applyInArrow(match_anchors, "unit int, bucket int, blob binary"))
         release(spark)
-        shared = matched(texts.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(send_windows(length, buckets), sent_schema))
-        known = asked.union(shared.select("unit", F.lit(4), F.lit(0).cast("long"), "bucket", "bucket", "blob", F.lit(0).cast("long"), F.lit(0).cast("long")))
-        contexts = texts.groupBy("unit").cogroup(known.groupBy("unit")).applyInArrow(send_contexts(length, buckets), "anchor long, digest long, low long, offset int, context binary")
-        large = several.filter(F.col("size") > ANCHOR_BYTES).select("anchor")
-        contexts = cut(contexts.join(large.withColumn("large", F.lit(True)), "anchor", "left"))
-        del asked, known, shared, several, large
+        found = only.groupBy("unit").cogroup(shared.groupBy("unit")).applyInArrow(send_contexts(length, buckets), CONTEXT)
+        found.write.option("compression", "zstd").saveAsTable(f"{name}_contexts")
+        del found, shared, sent
         release(spark)
-        shards = contexts.filter("large is null").select("anchor", "digest", "low", "offset", "context").repartition("anchor").sortWithinPartitions("anchor", "low", "digest", "offset")
-        spans = shards.mapInArrow(shard_arrays(length), "anchor long, digest long, a int, b int")
-        # Anchors too large for one shard: each window by its content, combined before the shuffle.
-        offsets = F.sequence(F.lit(0), F.length("context") - length)
-        wide = contexts.filter("large").select("anchor", "digest", "low", "offset", "context", F.explode(offsets).alias("at")).select("anchor", "digest", "low", (F.col("offset") + F.col("at")).alias("a"), F.substring("context", F.col("at") + 1, F.lit(length)).alias("window"))
-        firsts = wide.groupBy("window").agg(F.min("low").alias("first"))
-        hits = wide.join(firsts, "window").filter("first < low").select("anchor", "digest", "a", (F.col("a") + 1).alias("b"))
-        # The smallest document of a run loses those ranges; every other document with that run loses all of it.
-        part = distinct.join(spans.union(hits), ["anchor", "digest"])
-        mine = found.join(part.select("anchor", "digest", F.col("doc").alias("low"), "a", "b"), ["anchor", "digest"]).filter("doc = low").select(of("doc"), "doc", (F.col("start") + F.col("a")).alias("start"), (F.col("start") + F.col("b")).alias("end"))
-        lows = distinct.select("anchor", "digest", F.col("doc").alias("low"))
-        whole = found.join(lows, ["anchor", "digest"]).filter("doc > low").select(of("doc"), "doc", "start", "end")
-        gone = again.union(mine).union(whole)
-        out = texts.groupBy("unit").cogroup(gone.groupBy("unit")).applyInArrow(cut_bytes(length), "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-        none = spark.table(name).filter("none").select("key", "none")
-        out = cut(out.join(F.broadcast(none.limit(1)), "key", "left").select(F.when(F.col("none"), None).otherwise(F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"))
+        found = spark.table(f"{name}_contexts")
+        # Equal contexts by their bytes; the rows of one are combined in each task before the shuffle.
+        distinct = found.groupBy("anchor", "digest", "context").agg(F.min("low").alias("low"), F.sum("n").alias("places"), F.count("*").alias("rows"))
+        distinct = cut(distinct.repartition("anchor").sortWithinPartitions("anchor", "digest"))
+        solved = distinct.select("anchor", "digest", "context", "low").mapInArrow(shard_arrays(length), "anchor long, digest long, gone array<int>")
+        answers = distinct.select("anchor", "digest", "places", "rows", F.col("low").alias("least"), (F.octet_length("context") - (length - 1)).alias("windows")).join(solved, ["anchor", "digest"], "left")
+        answers = cut(answers.filter("places > 1 or gone is not null").drop("places"))
+        rows_ = answers.agg(F.sum("rows")).first()[0] or 0
+        told = join_back(found.select("unit", "anchor", "digest", "n", "places"), answers, ["anchor", "digest"], ["unit"], "rows", rows_).select("unit", "n", "places", "least", "windows", "gone")
+        left = texts.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(cut_bytes(length), RESULT)
+        left = cut(left)
+        cols = ["digest", "low", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        long_ = left.filter("pieces > 1").groupBy("digest").applyInArrow(put_together, "digest binary, low long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        done = left.filter("pieces = 1").select(cols).union(long_.select(cols))
+        sizes = texts.filter("piece = 0").select("digest", "copies")
+        done = cut(done.join(sizes, "digest"))
+        n_rows = done.agg(F.sum("copies")).first()[0] or 0
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return out
+        spark.sql(f"DROP TABLE IF EXISTS {name}_contexts")
+    out = join_back(rows.select("doc_id", "key", "digest"), done, ["digest"], ["key"], "copies", n_rows)
+    # A text that a smaller document has too is gone as a whole, if it is long enough to hold a window.
+    copy = (F.col("key") > F.col("low")) & (F.col("n_bytes") >= length)
+    pick = lambda then, name: F.when(copy, then).otherwise(F.col(name)).alias(name)
+    return out.select("doc_id", "n_bytes", pick(F.col("n_bytes"), "n_removed"), pick(F.lit(1).cast("long"), "n_spans"), pick(F.lit(hashlib.sha256(b"").hexdigest()), "kept_sha256"))

@@ -46,16 +46,21 @@ def reach(ids, linked):
 
 
 def repeats(rows, length=50):
-    """{doc_id: (n_bytes, n_removed, n_spans, kept_sha256)}; rows are (doc_id, text)."""
-    first, out = {}, {}
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    """Counter of (doc_id, n_bytes, n_removed, n_spans, kept_sha256), one for each row (doc_id, text); null ids are smaller than all others."""
+    place = lambda d: -(2**63) if d is None else d
+    first, out = {}, Counter()
+    for d, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - length + 1):
+            first[b[p : p + length]] = min(place(d), first.get(b[p : p + length], place(d)))
+    for d, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for p in range(len(b) - length + 1):
-            if first.setdefault(b[p : p + length], d) != d:
+            if first[b[p : p + length]] < place(d):
                 gone[p : p + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[d] = (len(b), sum(gone), sum(1 for p in range(len(b)) if gone[p] and not (p and gone[p - 1])), hashlib.sha256(kept).hexdigest())
+        out[d, len(b), sum(gone), sum(1 for p in range(len(b)) if gone[p] and not (p and gone[p - 1])), hashlib.sha256(kept).hexdigest()] += 1
     return out
 
 

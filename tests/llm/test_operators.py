@@ -21,7 +21,7 @@ from ledgerbars.llm.sharding import balanced_shards
 from ledgerbars.llm.simhash import keep_one as simhash_keep_one
 from ledgerbars.llm.simhash import fingerprint, linked, masks, settle, simhash_dedup
 from ledgerbars.llm.suffix_array import common_prefixes, suffix_array
-from ledgerbars.llm.suffix_dedup import suffix_dedup
+from ledgerbars.llm.suffix_dedup import repeated, solve, suffix_dedup
 from ledgerbars.llm.url_filters import url_filter
 from tests.llm import brute
 
@@ -60,15 +60,6 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def single(rows):
-    """Rows that repeat an id as one document: the greatest text."""
-    best = {}
-    for d, t, *_ in rows:
-        if d not in best or (t is not None and (best[d] is None or t.encode() > best[d].encode())):
-            best[d] = t
-    return list(best.items())
-
-
 def test_exact_dedup(docs, empty, rows):
     got = exact_dedup(docs).collect()
     want = Counter(brute.exact([(r[0], r[1]) for r in rows]).values())
@@ -112,24 +103,39 @@ def test_suffix_array_small():
 
 
 @pytest.mark.parametrize("unit_bytes", [3000, 10**7])
-def test_suffix_dedup(docs, rows, unit_bytes):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs, unit_bytes=unit_bytes).collect()}
-    assert got == brute.repeats(single(rows))
-
-
-def test_suffix_dedup_large_anchors_and_empty(docs, empty, rows, monkeypatch):
-    from ledgerbars.llm import suffix_dedup as module
-
-    monkeypatch.setattr(module, "ANCHOR_BYTES", 100)  # most anchors go through the join of windows
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs, unit_bytes=20000).collect()}
-    assert got == brute.repeats(single(rows))
-    assert suffix_dedup(empty).collect() == []
+def test_suffix_dedup(docs, empty, rows, unit_bytes):
+    assert Counter(map(tuple, suffix_dedup(docs, unit_bytes=unit_bytes).collect())) == brute.repeats([r[:2] for r in rows])
+    assert unit_bytes > 3000 or suffix_dedup(empty).collect() == []
+
+
+@pytest.mark.parametrize("piece_bytes", [60, 333, 5000])
+def test_suffix_dedup_splits_long_texts(spark, rows, piece_bytes):
+    some = [r[:2] for r in rows if r[0] is None or r[0] % 7 == 0 or r[0] > 390] + [(500, rows[3][1] + PASSAGE * 3), (501, "x" + PASSAGE * 2)]
+    got = suffix_dedup(spark.createDataFrame(some, "doc_id long, text string"), unit_bytes=4000, piece_bytes=piece_bytes).collect()
+    assert Counter(map(tuple, got)) == brute.repeats(some)
+
+
+def test_arrays_decide_what_contexts_share():
+    """Windows that differing contexts of an anchor share are found by the common prefixes of the suffix array alone."""
+    r = random.Random(12)
+    make = lambda k: bytes(r.randrange(97, 105) for _ in range(k))
+    core = make(90)
+    pieces = [make(20) + core + make(5), core[10:80] + make(40), make(9) + core[30:], make(70), core[10:80] + b"zz"]
+    docs = np.array([4, 2, 9, 1, 3])
+    first = {}
+    for p, d in zip(pieces, docs.tolist(), strict=True):
+        for k in range(len(p) - 49):
+            first[p[k : k + 50]] = min(d, first.get(p[k : k + 50], d))
+    want = [[k for k in range(len(p) - 49) if first[p[k : k + 50]] < d] for p, d in zip(pieces, docs.tolist(), strict=True)]
+    assert [x.tolist() for x in repeated(pieces, docs, 50)] == want and sum(map(len, want)) > 50
+    anchors = np.zeros(len(pieces), np.int64)
+    spans = [[k for a, b in zip(g[::2], g[1::2], strict=True) for k in range(a, b)] for g in solve(anchors, pieces, docs, 50)]
+    assert spans == want
 
 
 def test_suffix_dedup_of_periodic_text(spark):
     rows = [(1, "ab" * 400), (2, "xx" + "ab" * 100 + "yy"), (3, "z" * 49), (4, "z" * 49), (5, "q" * 50), (6, "q" * 50), (7, "é" * 60), (8, "aé" + "é" * 30)]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit_bytes=300).collect()}
-    assert got == brute.repeats(rows)
+    assert Counter(map(tuple, suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit_bytes=300).collect())) == brute.repeats(rows)
 
 
 @pytest.mark.parametrize("unit_bytes", [60, 10**6])
@@ -141,8 +147,7 @@ def test_suffix_dedup_of_a_line_that_recurs(spark, unit_bytes):
     for i in range(40):
         line, tail, n = make(r.randint(22, 25)) + "\n", make(40), 4 * i
         rows += [(n, make(30) + line + line + tail), (n + 1, make(30) + line + tail), (n + 2, tail + line + line), (n + 3, make(20) + tail + line + make(20))]
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit_bytes=unit_bytes * 40).collect()}
-    assert got == brute.repeats(rows)
+    assert Counter(map(tuple, suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit_bytes=unit_bytes * 40).collect())) == brute.repeats(rows)
 
 
 def test_masks_cover():
