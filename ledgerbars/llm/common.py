@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -9,6 +10,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,6 +49,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of texts that go to a Python worker at a time; Spark's own 64 MB are held several times by the JVM and the worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, as texts differ in size a thousandfold; a smaller bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give memory that Python has freed back to the system, where its library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 #: Of a Python worker: the tables that one operator keeps there between tasks.
 HELD: dict[str, Any] = {}
 
@@ -56,8 +77,9 @@ def held(name: str, make: Callable[[], Any]) -> Any:
     that the tables of operators that run one after the other do not add up."""
     if name not in HELD:
         HELD.clear()
-        gc.collect()
+        trim()
         HELD[name] = make()
+        trim()
     return HELD[name]
 
 

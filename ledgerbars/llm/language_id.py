@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held, quoted
+from .common import held, quoted, small_batches
 
 #: Bounds of the training sample: documents and characters for each language, and languages.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 200, 40_000, 256
@@ -77,12 +77,13 @@ class Model:
             for c in text:
                 counts[c] = counts.get(c, 0) + 1
         chars = sorted(counts, key=lambda c: (-counts[c], c))
-        self.codes = {c: i if i < ALPHABET - 1 else i + 1 for i, c in enumerate(chars)}  # ALPHABET - 1 is for unseen ones
-        self.rare = max(0, len(chars) - (ALPHABET - 1))
+        self.width = wide = min(ALPHABET, len(chars) + 1)
+        self.codes = {c: i if i < wide - 1 else i + 1 for i, c in enumerate(chars)}  # wide - 1 is for unseen ones
+        self.rare = max(0, len(chars) - (wide - 1))
         self.languages = sorted(samples)
         tables, self.roots, self.logs, base = [], [], [], 0
         keys, values, agains = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
-        self.lacks = np.ones((len(self.languages), max(len(chars) + 1, ALPHABET)), bool)
+        self.lacks = np.ones((len(self.languages), len(chars) + 1), bool)
         for lang in self.languages:
             codes = [self.codes[c] for c in samples[lang]]
             self.lacks[len(self.roots), codes] = False
@@ -91,14 +92,14 @@ class Model:
             state = np.repeat(np.arange(len(nexts)), sizes)
             code = np.array([c for row in nexts for c in row], np.int64)
             to = np.array([x for row in nexts for x in row.values()], np.int64)
-            t = np.full((len(nexts), ALPHABET), -1, np.int32)
-            dense = code < ALPHABET
+            t = np.full((len(nexts), wide), -1, np.int32)
+            dense = code < wide
             t[state[dense], code[dense]] = to[dense]
             again = np.where(t[0] >= 0, t[0], 0)  # where a phrase can't go on, the next one begins with this character
             step = np.where(t >= 0, 2 * (t + base), 2 * (again + base) + 1)
             step[0] = 2 * (again + base) + 1  # at the root a phrase begins; one of an unseen character ends at once
             tables.append(step.astype(np.int32))
-            state, code, to = state[~dense], code[~dense] - ALPHABET, to[~dense]
+            state, code, to = state[~dense], code[~dense] - wide, to[~dense]
             keys.append((state + base) * self.rare + code)
             values.append((2 * (to + base) + (state == 0)).astype(np.int32))
             again = np.full(self.rare, 2 * base + 1, np.int32)
@@ -123,7 +124,7 @@ class Model:
         sizes = np.array([len(t) for t in texts], np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.points, points), max(0, len(self.points) - 1))
-        codes = np.where(self.points[at] == points, self.of_points[at], ALPHABET - 1).astype(np.int32)
+        codes = np.where(self.points[at] == points, self.of_points[at], self.width - 1).astype(np.int32)
         out = np.zeros((len(texts), len(self.languages)), np.int64)
         some = max(1, MARKS // max(1, len(codes)))
         for lo in range(0, len(self.languages), some):
@@ -141,12 +142,12 @@ class Model:
 
     def _went(self, states: np.ndarray, code: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Steps of states of the languages ``rows``; all three of one shape."""
-        went = self.step[states.astype(np.int64) * ALPHABET + np.minimum(code, ALPHABET - 1)]
-        if self.rare and (code >= ALPHABET).any():
-            at = np.nonzero(code >= ALPHABET)
-            key = states[at].astype(np.int64) * self.rare + (code[at] - ALPHABET)
+        went = self.step[states.astype(np.int64) * self.width + np.minimum(code, self.width - 1)]
+        if self.rare and (code >= self.width).any():
+            at = np.nonzero(code >= self.width)
+            key = states[at].astype(np.int64) * self.rare + (code[at] - self.width)
             found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            went[at] = np.where(self.keys[found] == key, self.values[found], self.again[rows[at], code[at] - ALPHABET])
+            went[at] = np.where(self.keys[found] == key, self.values[found], self.again[rows[at], code[at] - self.width])
         return went
 
     def _parse(self, codes: np.ndarray, sizes: np.ndarray, block: slice) -> np.ndarray:
@@ -166,7 +167,7 @@ class Model:
         order = np.argsort(-width, kind="stable")
         first, wide = start[order], width[order]
         alive = np.searchsorted(-wide, -np.arange(wide[0]), side="left")  # stretches longer than k
-        rare = self.rare and bool((codes >= ALPHABET).any())
+        rare = self.rare and bool((codes >= self.width).any())
         states = np.repeat(roots[:, None], len(owner), 1)
         marks = np.zeros((len(roots), len(codes)), bool)  # where phrases begin
         for k in range(int(wide[0])):
@@ -175,7 +176,7 @@ class Model:
             if rare:
                 went = self._went(states[:, :n], np.broadcast_to(code, (len(roots), n)), np.broadcast_to(lang[:, None], (len(roots), n)))
             else:
-                went = self.step[states[:, :n] * ALPHABET + code]
+                went = self.step[states[:, :n] * self.width + code]
             marks[:, first[:n] + k] = went & 1
             states[:, :n] = went >> 1
         single = np.flatnonzero(lanes == 1)
@@ -292,6 +293,7 @@ def identify(docs: DataFrame, model: dict[str, str], text_col: str = "text", kee
     character and language at most. Only texts that repeat one character or phrase throughout may keep a stretch's parse from
     meeting the next, which costs time in proportion to the text but changes nothing.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*map(quoted, keep)).alias("kept"), predictor(model)(quoted(text_col).cast("string")).alias("said"))
     return rows.select("kept", "said.lang_pred", "said.score")
 

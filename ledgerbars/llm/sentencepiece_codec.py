@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, quoted
+from .common import held, quoted, small_batches
 
 MARK = "▁"
 #: Words whose ids, and pairs of pieces whose merging, a worker keeps between batches; beyond that it forgets and computes again.
@@ -201,16 +201,13 @@ def coder(codec: Codec, batch_chars: int = 1 << 20):
             sizes = pa.compute.fill_null(pa.compute.binary_length(whole), 0).to_numpy(zero_copy_only=False)
             group = np.cumsum(sizes) // batch_chars
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(whole)]
-            parts = []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 texts = whole.slice(lo, hi - lo).to_pylist()
                 packed = codec.encode(texts, cache)
                 ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
                 flat = np.frombuffer(b"".join(packed), np.int32)
                 decoded = pa.array([None if t is None else codec.decode(flat[i:j]) for t, i, j in zip(texts, ends, ends[1:], strict=False)], pa.string())
-                parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends)), decoded], ["ids", "n_tokens", "decoded"]))
-                del texts, packed, flat, decoded
-            yield pa.concat_arrays(parts)
+                yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(np.diff(ends)), decoded], ["ids", "n_tokens", "decoded"])
 
     return coded
 
@@ -229,5 +226,6 @@ def encode_decode(docs: DataFrame, codec: Codec, text_col: str = "text", keep: t
     UTF-8 byte pieces. Rows may repeat; columns may have any name; an empty table gives no rows. Very long texts are one word list
     at a time; memory is bounded by the Arrow batch and the two caches.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct(*map(quoted, keep)).alias("kept"), coder(codec)(quoted(text_col).cast("string")).alias("coded"))
     return rows.select("kept", "coded.ids", "coded.n_tokens", "coded.decoded")

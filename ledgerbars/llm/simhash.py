@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from .common import components, cut, join_back
+from .common import components, cut, join_back, small_batches
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42, chunk: int = 65536) -> int:
@@ -149,6 +149,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def classed(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
     """(doc_id, fp, best) for each row; best is (id, hash) of the row that stays of the component: the smallest doc_id, null last,
     then the smallest hash of the text."""
+    small_batches(docs.sparkSession)
     text = docs[text_col].cast("string")
     rows = cut(docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), fingerprints(text).alias("fp")))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "hash")
