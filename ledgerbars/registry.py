@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Modules whose import registers queries.
-MODULES = ("bars", "joins", "aggregates", "windows", "calendars", "money", "state", "text", "rules", "sets", "sourcing", "surfaces")
+MODULES = ("bars", "joins", "aggregates", "windows", "calendars", "money", "state", "text", "rules", "limits", "control", "ledger", "feeds", "sets", "sourcing", "surfaces")
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
