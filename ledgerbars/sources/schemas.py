@@ -1,4 +1,4 @@
-"""Static schemas of the audit store's tables, and membership of their closed word lists. Nothing is inferred."""
+"""Static schemas of the state tables that queries read, and membership of their closed word lists. Nothing is inferred."""
 
 from __future__ import annotations
 
@@ -6,40 +6,40 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-#: Columns by table: s string, m money, t instant, d date, b boolean, i int, l long, x double.
-_KINDS = {"s": "string", "m": "decimal(18,4)", "t": "timestamp", "d": "date", "b": "boolean", "i": "int", "l": "long", "x": "double"}
-_TABLES = {
-    "proposals": "proposal_id:s agent_id:s action:s payload:s inputs_digest:s valid_until:t created_at:t",
-    "verdicts": "verdict_id:s proposal_id:s approved:b checks:s costs:s created_at:t",
-    "orders": "order_id:s position_id:s proposal_id:s verdict_id:s symbol:s side:s state:s is_paper:b quantity:i price:m created_at:t updated_at:t",
-    "order_events": "event_id:l order_id:s from_state:s to_state:s payload:s at:t",
-    "positions": "position_id:s symbol:s product:s origin:s state:s quantity:i entry_price:m stop_price:m target_price:m opened_at:t closed_at:t",
-    "gtts": "gtt_id:s position_id:s state:s trigger_price:m created_at:t",
-    "mode_state": "id:i mode:s risk_state:s reason:s changed_by:s changed_at:t",
-    "kill_state": "id:i killed:b reason:s actor:s at:t",
-    "trade_window_state": "id:i start_min:i end_min:i buffer_min:i changed_by:s changed_at:t",
-    "job_runs": "job_id:s run_for_date:d status:s last_attempt_at:t last_success_at:t",
-    "budget_ledger": "call_id:s agent_id:s model:s input_tokens:l output_tokens:l cost:m at:t",
-    "protected_config": "name:s sha256:s content:s registered_at:t",
-    "config_audit": "audit_id:l name:s diff:s actor:s at:t",
-    "owner_approvals": "approval_id:s subject:s granted:b at:t",
-    "learning_ledger": "trade_id:s position_id:s strategy:s regime:s is_paper:b net_pnl:m mae:m mfe:m slippage:m opened_at:t closed_at:t",
-    "param_sets": "param_set_id:s origin:s params:s created_at:t",
-    "model_registry": "model_id:s kind:s path:s metrics:s created_at:t",
-    "envelope_state": "param:s value:m bounds_sha256:s param_set_id:s at:t",
-    "shadow_trades": "trade_id:s param_set_id:s symbol:s net_pnl:m opened_at:t closed_at:t",
-    "recommendations": "rec_id:s symbol:s state:s payload:s created_at:t",
-    "backfill_checkpoints": "symbol:s interval:s through_date:d updated_at:t",
-    "engine_lifecycle": "id:i state:s pid:l started_at:t last_clean_stop_at:t",
-    "schema_migrations": "name:s applied_at:t",
-}
-SCHEMAS: dict[str, StructType] = {t: StructType.fromDDL(", ".join(f"`{n}` {_KINDS[k]}" for n, k in (c.split(":") for c in cols.split()))) for t, cols in _TABLES.items()}
-#: Closed word lists by table and column.
+from pyspark.sql.types import DecimalType, IntegerType, StringType, StructField, StructType, TimestampType
+
+MONEY = DecimalType(18, 4)
+# Tables, their columns and word lists. Times are instants, flags are 0 or 1 as in the store.
+SCHEMAS = {
+    "positions": StructType(
+        [
+            StructField("position_id", StringType(), False), StructField("symbol", StringType(), False), StructField("side", StringType()), StructField("style", StringType()), StructField("product", StringType()),
+            StructField("qty", IntegerType()), StructField("avg_entry", MONEY), StructField("stop", MONEY), StructField("target", MONEY), StructField("state", StringType()), StructField("protection_state", StringType()),
+            StructField("is_paper", IntegerType(), False), StructField("origin", StringType(), False), StructField("close_reason", StringType()), StructField("opened_at", TimestampType()), StructField("closed_at", TimestampType()),
+        ]
+    ),
+    "mode_state": StructType(
+        [
+            StructField("id", IntegerType()), StructField("mode", StringType(), False), StructField("routing", StringType()), StructField("risk_state", StringType(), False), StructField("reason", StringType()),
+            StructField("changed_by", StringType()), StructField("changed_at", TimestampType()),
+        ]
+    ),
+    "trade_window_state": StructType(
+        [
+            StructField("id", IntegerType()), StructField("start_ist", StringType()), StructField("end_ist", StringType()), StructField("squareoff_buffer_min", IntegerType()), StructField("set_by", StringType()),
+            StructField("changed_at", TimestampType()),
+        ]
+    ),
+    "engine_lifecycle": StructType(
+        [
+            StructField("id", IntegerType()), StructField("state", StringType(), False), StructField("last_alive_at", TimestampType()), StructField("pid", IntegerType()), StructField("started_at", TimestampType()),
+            StructField("last_clean_stop_at", TimestampType()), StructField("version", StringType()),
+        ]
+    ),
+}
 WORDS = {
-    ("orders", "side"): ("BUY", "SELL"), ("mode_state", "mode"): ("OFF", "RECOMMEND", "AUTO"), ("mode_state", "risk_state"): ("NORMAL", "FROZEN", "CLOSE_ONLY"),
-    ("positions", "product"): ("MIS", "CNC"), ("engine_lifecycle", "state"): ("STOPPED", "RUNNING", "STOPPING"),
+    ("positions", "style"): ("intraday", "swing", "position"), ("positions", "product"): ("MIS", "CNC"), ("positions", "origin"): ("platform", "external", "recommended"),
+    ("mode_state", "mode"): ("OFF", "RECOMMEND", "AUTO"), ("mode_state", "risk_state"): ("NORMAL", "FROZEN", "CLOSE_ONLY"), ("engine_lifecycle", "state"): ("RUNNING", "STOPPING", "STOPPED"),
 }
 
 

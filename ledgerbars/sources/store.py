@@ -75,11 +75,11 @@ def replace_snapshot(df: DataFrame, path: str) -> None:
     """Replace a snapshot, all or nothing: a new version is written whole, then one pointer moves. If the write fails, readers keep the old."""
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    write_text(spark, f"{path}/_current", version)
+    write_text(spark, f"{path}/CURRENT", version)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{(read_text(spark, f'{path}/_current') or '').strip()}")
+    return spark.read.parquet(f"{path}/{(read_text(spark, f'{path}/CURRENT') or '').strip()}")
 
 
 def retain(spark: SparkSession, path: str, column: str, keep: int) -> list[str]:
