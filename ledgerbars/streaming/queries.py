@@ -6,7 +6,7 @@ watermarks ten minutes (a policy of our own: late rows are dropped).
 
 from __future__ import annotations
 
-import tempfile
+import datetime
 import uuid
 from collections.abc import Iterator
 
@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..registry import query
+from ..sources.files import scratch
+from .handlers import by_lateness, last_words, persist_then, run, to_topics, upserts
 
 LATE = "10 minutes"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    return scratch(spark, "stream")
 
 
 def stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,3 +125,201 @@ def stream_token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     """One bucket for each account and endpoint; calls an hour apart on average here."""
     e = stream(spark, sf).select(F.concat_ws("/", "event_type", "user_id").alias("endpoint"), "event_id", F.unix_micros("ts").alias("us"))
     return drain(e.groupBy("endpoint").applyInPandasWithState(take_tokens, "endpoint string, event_id long, wait_s double", "tokens double, last long", "append", GroupStateTimeout.NoTimeout))
+
+
+def written(spark: SparkSession, sf: str, parts: dict[str, str]) -> tuple[str, str]:
+    """(folder, schema): the events as files that come one after the other, each by a condition; a stream reads one a batch."""
+    at = scratch(spark, "stream-in")
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    for name, condition in parts.items():
+        e.filter(condition).coalesce(1).write.parquet(f"{at}/{name}")
+    return at, e.schema
+
+
+def arrivals(spark: SparkSession, at: str, schema, part: str = "*") -> DataFrame:
+    """A stream of the files in the order of their writing."""
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{at}/{part}")
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+MINUTE = "SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts, TIMESTAMP '1970-01-01') AS bar_start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n_ticks FROM events GROUP BY 1, 2"
+
+
+@query(MINUTE)
+def stream_minute_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Minute bars, those that the watermark has not closed too: each batch says what it knows of a bar, the last word counts."""
+    at = scratch(spark, "minutes")
+    first = F.struct("ts", "event_id")
+    b = stream(spark, sf).withWatermark("ts", LATE).groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", first).alias("close"), F.count("*").alias("n_ticks"))
+    b = b.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("bar_start"), "open", "high", "low", "close", "n_ticks")
+    run(b, f"{at}/state", upserts(f"{at}/out"), "update")
+    return last_words(spark, f"{at}/out", ["user_id", "bar_start"], b.schema)
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS first_at FROM events WHERE event_type = 'error' GROUP BY 1, 2")
+def stream_first_rejection(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rejection of an account's day by time, whatever arrives first."""
+    at = scratch(spark, "rejections")
+    e = stream(spark, sf).filter("event_type = 'error'").withWatermark("ts", "1 day")
+    g = e.groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    g = g.select("user_id", F.to_date("w.start").alias("day"), F.col("first.event_id").alias("event_id"), F.col("first.ts").cast("timestamp_ntz").alias("first_at"))
+    run(g, f"{at}/state", upserts(f"{at}/out"), "update")
+    return last_words(spark, f"{at}/out", ["user_id", "day"], g.schema)
+
+
+@query("""WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events WHERE event_id % 2 = 0) SELECT CAST(ts AS DATE) AS day, count(*) AS n, count_if(event_id % 2 = 1 AND ts < mark) AS n_late FROM events, m GROUP BY 1""")
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that come more than ten minutes behind the watermark of the batches before: kept apart and counted by day, not lost."""
+    at = scratch(spark, "late")
+    folder, schema = written(spark, sf, {"a": "event_id % 2 = 0", "b": "event_id % 2 = 1"})
+    each = by_lateness(at, "ts", datetime.timedelta(minutes=10))
+    for part in ("a", "b"):  # the second run goes on where the first one stopped
+        run(arrivals(spark, folder, schema, part), f"{at}/state-{part}", lambda df, batch, k=part == "b": each(df, batch + 1000 * k))
+    kind = lambda name: spark.read.schema(schema).parquet(f"{at}/{name}").select("ts", F.lit(name == "late").alias("late"))
+    return kind("rows").union(kind("late")).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if("late").alias("n_late"))
+
+
+@query("""SELECT event_type AS topic, count(*) AS n, CASE event_type WHEN 'error' THEN 'no handler' WHEN 'click' THEN 'failed' WHEN 'signup' THEN 'no handler' ELSE 'handled' END AS outcome FROM events GROUP BY 1""")
+def stream_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by topic to handlers of their own; the one for clicks always fails, which the others do not notice."""
+    at = scratch(spark, "topics")
+    keep = lambda name: lambda df, batch: df.select("event_id").write.mode("overwrite").parquet(f"{at}/{name}/b={batch}")
+
+    def failing(df: DataFrame, batch: int) -> None:
+        raise RuntimeError("this handler fails")
+
+    run(stream(spark, sf).select("event_id", "event_type"), f"{at}/state", to_topics(at, "event_type", {"view": keep("view"), "purchase": keep("purchase"), "click": failing}))
+    notes = spark.read.parquet(f"{at}/notes").drop("b").groupBy("topic").agg(F.max("outcome").alias("outcome"), F.sum("n").alias("lost"))
+    seen = lambda name: spark.read.schema("event_id long").parquet(f"{at}/{name}").agg(F.count("*").alias("seen")).select(F.lit(name).alias("topic"), "seen")
+    counts = seen("view").union(seen("purchase"))
+    all_ = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("topic")).agg(F.count("*").alias("total"))
+    j = notes.join(counts, "topic", "left").join(all_, "topic")
+    return j.select("topic", F.coalesce("seen", "lost", "total").alias("n"), "outcome")
+
+
+@query("SELECT user_id, count(*) AS n_kills, min(ts) AS killed_at, true AS acted FROM events WHERE event_type = 'error' GROUP BY 1")
+def stream_kill_persisted(spark: SparkSession, sf: str) -> DataFrame:
+    """Kills are written before anything acts on them; each act has its written kill."""
+    at = scratch(spark, "kill")
+    act = lambda df, batch: df.select("user_id", "event_id").write.mode("overwrite").parquet(f"{at}/acts/b={batch}")
+    run(stream(spark, sf).filter("event_type = 'error'").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), f"{at}/log", persist_then(at, act))
+    state, acts = spark.read.schema("user_id long, event_id long, ts timestamp_ntz").parquet(f"{at}/state"), spark.read.schema("user_id long, event_id long").parquet(f"{at}/acts").withColumn("done", F.lit(True))
+    return state.join(acts, ["user_id", "event_id"], "left").groupBy("user_id").agg(F.count("*").alias("n_kills"), F.min("ts").alias("killed_at"), F.bool_and(F.coalesce("done", F.lit(False))).alias("acted"))
+
+
+def sticky_kill(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """An account that was killed stays so; its later entries are refused, in event time within a batch."""
+    killed = state.exists
+    rows = []
+    for p in frames:
+        for _, i, kind in p.sort_values(["us", "event_id"])[["us", "event_id", "event_type"]].itertuples(index=False):
+            killed = killed or kind == "error"
+            if kind == "purchase":
+                rows.append((int(i), not killed))
+    if killed and not state.exists:
+        state.update((True,))
+    yield pd.DataFrame(rows, columns=["event_id", "allowed"])
+
+
+@query("""WITH k AS (SELECT user_id, min(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN ts END) AS a, min(CASE WHEN event_type = 'error' THEN ts END) AS killed FROM events WHERE event_type = 'error' GROUP BY 1) SELECT event_id, killed IS NULL OR ts < killed AS allowed FROM events e LEFT JOIN k ON e.user_id = k.user_id WHERE event_type = 'purchase'""")
+def stream_kill_sticky(spark: SparkSession, sf: str) -> DataFrame:
+    """The kill outlives a restart: the stream stops after the first half of the month and goes on with its checkpoint."""
+    at = scratch(spark, "sticky")
+    folder, schema = scratch(spark, "sticky-in"), spark.read.parquet(f"{sf}/events.parquet").schema
+    e = spark.read.parquet(f"{sf}/events.parquet").filter("event_type in ('error', 'purchase')")
+    for name, condition in (("a", "ts < timestamp_ntz '2024-01-16'"), ("b", "ts >= timestamp_ntz '2024-01-16'")):
+        e.filter(condition).coalesce(1).write.parquet(f"{folder}/{name}")
+        s = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder).select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+        out = s.groupBy("user_id").applyInPandasWithState(sticky_kill, "event_id long, allowed boolean", "killed boolean", "append", GroupStateTimeout.NoTimeout)
+        out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.schema("event_id long, allowed boolean").parquet(f"{at}/out")
+
+
+SILENCE = 86_400_000_000
+
+
+def watched_feed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """STOPPED, WARMING at the first heartbeat, HEALTHY from the second, STALE once the silence is over a day, by a timer in event time if no
+    heartbeat comes. Nothing is stale while it warms up. A row a change: when it holds from, and whether it raises an alarm."""
+    now, last = state.get if state.exists else ("STOPPED", 0)
+    rows = []
+    if state.hasTimedOut:
+        rows.append((int(key[0]), last + SILENCE, now, "STALE", True))
+        now = "STALE"
+    for p in frames:
+        for us in p["us"].sort_values():
+            us = int(us)
+            if now == "HEALTHY" and us - last > SILENCE:
+                rows.append((int(key[0]), last + SILENCE, now, "STALE", True))
+                now = "STALE"
+            new = {"STOPPED": "WARMING", "STALE": "WARMING", "WARMING": "HEALTHY"}.get(now, "HEALTHY")
+            if new != now:
+                rows.append((int(key[0]), us, now, new, False))
+            now, last = new, us
+    state.update((now, last))
+    if now == "HEALTHY":
+        until = (last + SILENCE) // 1000 + 1
+        if until > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(until)
+        else:
+            rows.append((int(key[0]), last + SILENCE, now, "STALE", True))
+            state.update(("STALE", last))
+    yield pd.DataFrame(rows, columns=["user_id", "us", "from_state", "to_state", "alarm"])
+
+
+@query("""WITH RECURSIVE b AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), n AS (SELECT a.user_id, a.us, a.k, b.us AS pre FROM b a LEFT JOIN b ON b.user_id = a.user_id AND b.k = a.k - 1),
+r AS (SELECT user_id, us, k, 'STOPPED' AS a, 'STOPPED' AS f, 'WARMING' AS s, pre FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.us, n.k, r.s, CASE WHEN r.s = 'HEALTHY' AND n.us - n.pre > 86400000000 THEN 'STALE' ELSE r.s END, CASE WHEN r.s = 'HEALTHY' AND n.us - n.pre > 86400000000 THEN 'WARMING' ELSE 'HEALTHY' END, n.pre FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1),
+e AS (SELECT user_id, arg_max(s, k) AS s, max(us) AS us FROM r GROUP BY 1)
+SELECT user_id, us, f AS from_state, s AS to_state, false AS alarm FROM r WHERE f <> s UNION ALL SELECT user_id, pre + 86400000000, 'HEALTHY', 'STALE', true FROM r WHERE a = 'HEALTHY' AND f = 'STALE'
+UNION ALL SELECT user_id, us + 86400000000, 'HEALTHY', 'STALE', true FROM e WHERE s = 'HEALTHY' AND (SELECT max(epoch_us(ts)) FROM events) // 1000 - 600000 >= (us + 86400000000) // 1000 + 1""")
+def stream_feed_watch(spark: SparkSession, sf: str) -> DataFrame:
+    """Feeds by heartbeat, those too that never speak again: a timer of event time makes them stale once the watermark has passed."""
+    e = stream(spark, sf).withWatermark("ts", LATE).select("user_id", "ts", F.unix_micros("ts").alias("us"))
+    return drain(e.groupBy("user_id").applyInPandasWithState(watched_feed, "user_id long, us long, from_state string, to_state string, alarm boolean", "now string, last long", "append", GroupStateTimeout.EventTimeTimeout))
+
+
+#: Calls a second and burst by class of endpoint; here an hour stands for a second, as test calls are rare.
+CLASSES = {"quote": (1.0, 1.0), "historical": (3.0, 3.0), "orders": (1.0, 2.0)}
+ENDPOINTS = {"view": "quote", "click": "historical", "purchase": "orders"}
+
+
+def paced(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The bucket of an account and class: it begins full, a call takes a token or waits for the deficit. A new day counts calls from one again; the
+    tokens stay as they are."""
+    rate, burst = CLASSES[str(key[0]).split("/")[0]]
+    tokens, last, day, n = state.get if state.exists else (burst, -1, -1, 0)
+    rows = []
+    for p in frames:
+        for us, i in p.sort_values(["us", "event_id"])[["us", "event_id"]].itertuples(index=False):
+            tokens = refill(tokens, (us - last) / 3.6e9 if last >= 0 else 0.0, rate, burst)
+            wait = max(0.0, (1 - tokens) / rate)
+            n, day = (n + 1 if us // 86_400_000_000 == day else 1), us // 86_400_000_000
+            tokens, last = tokens - 1, us
+            rows.append((str(key[0]), int(i), round(wait, 6), int(n)))
+    state.update((float(tokens), int(last), int(day), int(n)))
+    yield pd.DataFrame(rows, columns=["endpoint", "event_id", "wait", "nth_of_day"])
+
+
+@query("""WITH RECURSIVE c AS (SELECT CASE event_type WHEN 'view' THEN 'quote/' WHEN 'click' THEN 'historical/' ELSE 'orders/' END || user_id AS endpoint, event_id, ts, CASE WHEN event_type = 'click' THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS rate, CASE event_type WHEN 'view' THEN 1.0::DOUBLE WHEN 'click' THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END AS burst FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+k AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY endpoint ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY endpoint, CAST(ts AS DATE) ORDER BY ts, event_id) AS nth_of_day FROM c),
+r AS (SELECT endpoint, event_id, us, k, nth_of_day, burst AS before, burst - 1 AS tokens, rate FROM k WHERE k = 1 UNION ALL SELECT k.endpoint, k.event_id, k.us, k.k, k.nth_of_day, least(k.burst, r.tokens + (k.us - r.us) / 3600000000.0::DOUBLE * k.rate), least(k.burst, r.tokens + (k.us - r.us) / 3600000000.0::DOUBLE * k.rate) - 1, k.rate FROM r JOIN k ON k.endpoint = r.endpoint AND k.k = r.k + 1)
+SELECT endpoint, event_id, round(greatest(0, (1 - before) / rate), 6) AS wait, nth_of_day FROM r""")
+def stream_endpoint_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Token buckets by class of endpoint: rates and bursts of their own, the day's count apart from the tokens."""
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in ENDPOINTS.items()))
+    e = stream(spark, sf).filter(F.col("event_type").isin(*ENDPOINTS)).select(F.concat_ws("/", kind, "user_id").alias("endpoint"), "event_id", F.unix_micros("ts").alias("us"))
+    return drain(e.groupBy("endpoint").applyInPandasWithState(paced, "endpoint string, event_id long, wait double, nth_of_day int", "tokens double, last long, day long, n int", "append", GroupStateTimeout.NoTimeout))
+
+
+@query("SELECT CASE event_type WHEN 'purchase' THEN 'order' WHEN 'error' THEN 'heartbeat' ELSE 'tick' END AS type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(max(CASE WHEN event_type = 'error' THEN event_id END) AS BIGINT) AS last_seq FROM events WHERE event_type <> 'signup' GROUP BY 1")
+def stream_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """The wire of a feed as a stream: frames are decoded as they come and go by their type: ticks, order updates, heartbeats with a growing number."""
+    from ..sources.frames import decode_frames, encode_frames
+
+    at = scratch(spark, "wire")
+    kind = F.when(F.col("event_type") == "purchase", "order").when(F.col("event_type") == "error", "heartbeat").when(F.col("event_type") == "signup", "hello").otherwise("tick")
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("source"), kind.alias("type"), F.to_json(F.struct(F.col("event_id").alias("seq"))).alias("data"))
+    encode_frames(e).write.parquet(f"{at}/in")
+    s = spark.readStream.schema("source string, frame binary").parquet(f"{at}/in")
+    d = decode_frames(s, "source", "frame").filter(F.col("ok") & F.col("type").isin("tick", "order", "heartbeat")).select("type", F.get_json_object("data", "$.seq").cast("long").alias("seq"))
+    return drain(d).groupBy("type").agg(F.count("*").alias("n"), F.sum("seq").alias("ids"), F.max(F.when(F.col("type") == "heartbeat", F.col("seq"))).alias("last_seq"))
