@@ -1,4 +1,4 @@
-"""The extension surface: a pandas UDF, a grouped-aggregate UDF and a table function, for what built-ins lack."""
+"""The extension surface: a pandas UDF and a table function."""
 
 from __future__ import annotations
 
@@ -28,8 +28,3 @@ class Slots:
 
 
 SLOTS = StructType([StructField("minute", IntegerType()), StructField("hhmm", StringType())])
-
-
-def ewma(values: pd.Series) -> float:
-    """The exponentially weighted mean with a weight of a half for the newest; order of arrival."""
-    return float(values.ewm(alpha=0.5).mean().iloc[-1]) if len(values) else float("nan")

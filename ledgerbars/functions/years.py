@@ -68,8 +68,3 @@ def days(spark: SparkSession, years: dict[int, Year], first: datetime.date, last
 def next_or_error(next_day: Column, day: Column) -> Column:
     """The next trading day; a day without one within PROBES days is an error."""
     return F.coalesce(next_day, F.raise_error(F.concat(F.lit(f"no trading day within {PROBES} days of "), day.cast("string"))).cast("date"))
-
-
-def horizon(years: dict[int, Year]) -> datetime.date | None:
-    """The last verified day of any year."""
-    return max((y.verified_through for y in years.values() if y.verified and y.verified_through), default=None)

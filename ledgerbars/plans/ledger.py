@@ -183,7 +183,7 @@ def wilder(values: Column, n: int) -> Column:
 @query(f"""WITH RECURSIVE {TICKS}, {DAILY}, c AS (SELECT instrument, day, close - lag(close) OVER (PARTITION BY instrument ORDER BY day) AS ch FROM d), s AS (SELECT instrument, day, greatest(ch, 0.0) AS up, greatest(-ch, 0.0) AS down, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM c WHERE ch IS NOT NULL),
 r AS (SELECT a.instrument, b.day, CAST(2 AS BIGINT) AS k, (a.up + b.up) / 2 AS u, (a.down + b.down) / 2 AS w FROM s a JOIN s b ON a.instrument = b.instrument AND a.k = 1 AND b.k = 2 UNION ALL SELECT s.instrument, s.day, s.k, (r.u + s.up) / 2, (r.w + s.down) / 2 FROM r JOIN s ON s.instrument = r.instrument AND s.k = r.k + 1)
 SELECT instrument, day, round(100 * u / (u + w), 4) AS rsi FROM r WHERE u + w > 0""")
-def rsi_wilder_native(spark: SparkSession, sf: str) -> DataFrame:
+def rsi_wilder(spark: SparkSession, sf: str) -> DataFrame:
     """RSI(2) with Wilder's smoothing, folded over an instrument's daily closes in the JVM: a series has a few hundred days a year."""
     d = daily(spark, sf).groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("day", "close"))).alias("s"))
     change = F.transform(F.slice("s", 2, F.size("s")), lambda x, i: x["close"] - F.col("s")[i]["close"])
@@ -191,3 +191,25 @@ def rsi_wilder_native(spark: SparkSession, sf: str) -> DataFrame:
     up, down = wilder(F.transform("ch", lambda x: F.greatest(x, F.lit(0.0))), 2), wilder(F.transform("ch", lambda x: F.greatest(-x, F.lit(0.0))), 2)
     z = d.select("instrument", F.explode(F.arrays_zip(F.col("days").alias("day"), up.alias("u"), down.alias("w"))).alias("z")).select("instrument", "z.day", "z.u", "z.w")
     return z.filter("u is not null and u + w > 0").select("instrument", "day", F.round(100 * F.col("u") / (F.col("u") + F.col("w")), 4).alias("rsi"))
+
+
+@query()
+def adx_atr_wilder(spark: SparkSession, sf: str) -> DataFrame:
+    """ATR(5) and ADX(5) with Wilder's smoothing: true ranges and directed moves of consecutive days, folded in the JVM; the second smoothing
+    is of what the first gives. Tested against plain pandas."""
+    n = 5
+    d = daily(spark, sf).groupBy("instrument").agg(F.array_sort(F.collect_list(F.struct("day", "high", "low", "close"))).alias("s")).filter(F.size("s") > n)
+    s = F.col("s")
+
+    def moves(x: Column, i: Column) -> Column:
+        up, down = x["high"] - s[i]["high"], s[i]["low"] - x["low"]
+        tr = F.greatest(x["high"] - x["low"], F.abs(x["high"] - s[i]["close"]), F.abs(x["low"] - s[i]["close"]))
+        return F.struct(x["day"].alias("day"), tr.alias("tr"), F.when((up > down) & (up > 0), up).otherwise(0.0).alias("plus"), F.when((down > up) & (down > 0), down).otherwise(0.0).alias("minus"))
+
+    d = d.select("instrument", F.transform(F.slice("s", 2, F.size("s")), moves).alias("m"))
+    d = d.select("instrument", F.col("m")["day"].alias("days"), *(wilder(F.col("m")[c], n).alias(c) for c in ("tr", "plus", "minus")))
+    z = F.filter(F.arrays_zip("days", F.col("tr").alias("atr"), "plus", "minus"), lambda z: (z["plus"] + z["minus"]) > 0)
+    d = d.select("instrument", z.alias("z"))
+    dx = F.transform("z", lambda z: 100 * F.abs(z["plus"] - z["minus"]) / (z["plus"] + z["minus"]))
+    d = d.select("instrument", F.explode(F.arrays_zip(F.col("z")["days"].alias("day"), F.col("z")["atr"].alias("atr"), wilder(dx, n).alias("adx"))).alias("r")).select("instrument", "r.day", "r.atr", "r.adx")
+    return d.filter("adx is not null")

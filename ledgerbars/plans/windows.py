@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,11 +126,7 @@ def rsi2_simple(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("instrument", "day", F.round(100 * F.try_divide(g, g + lo), 4).alias("rsi2"))
 
 
-def per_instrument(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A recursive indicator: one instrument's daily series at a time, a few thousand rows."""
-    return df.groupBy("instrument").applyInPandas(f, schema)
-
-
+# The recursive indicators of one instrument in plain pandas, to hold the queries against (plans/ledger.py folds them in the JVM).
 def wilder(s: pd.Series, n: int) -> pd.Series:
     """Wilder's smoothing: a mean of the first n, then (before * (n - 1) + now) / n."""
     out, avg = [], None
@@ -164,17 +158,6 @@ def adx_frame(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.dropna()
 
 
-@query()
-def rsi_wilder(spark: SparkSession, sf: str) -> DataFrame:
-    """RSI(2) with Wilder's smoothing, which is recursive."""
-    return per_instrument(daily(spark, sf).select("instrument", "day", "close"), rsi_frame, "instrument long, day date, rsi double")
-
-
-@query()
-def adx_atr_wilder(spark: SparkSession, sf: str) -> DataFrame:
-    return per_instrument(daily(spark, sf).select("instrument", "day", "high", "low", "close"), adx_frame, "instrument long, day date, atr double, adx double")
-
-
 @query(f"""WITH {TICKS}, {DAILY}, i AS (SELECT instrument, day, CAST(round(high * 10000) AS BIGINT) AS high, CAST(round(low * 10000) AS BIGINT) AS low, CAST(round(close * 10000) AS BIGINT) AS close FROM d),
 l AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY day) AS pre FROM i), t AS (SELECT instrument, day, close, greatest(high - low, coalesce(abs(high - pre), 0), coalesce(abs(low - pre), 0)) AS tr FROM l),
 w AS (SELECT *, CAST(sum(tr) OVER w AS BIGINT) AS s, count(*) OVER w AS n, max(close) OVER w AS top FROM t WINDOW w AS (PARTITION BY instrument ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW))

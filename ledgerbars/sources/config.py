@@ -173,3 +173,8 @@ def calendar(folder: str | Path = HERE / "calendar") -> dict[int, Year]:
             y = year_of(raw)
             out[y.year] = y
     return out
+
+
+def horizon_of(years: dict[int, Year]) -> datetime.date | None:
+    """The last verified day of any year."""
+    return max((y.verified_through for y in years.values() if y.verified and y.verified_through), default=None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -14,8 +15,11 @@ from .tables import load
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='files-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares; only a session of one machine may do without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors would write where nobody else can read")
+    return f"{shared or tempfile.mkdtemp(prefix='files-')}/{name}-{uuid.uuid4().hex}"
 
 
 def write_bars(bars: DataFrame, interval: str, path: str) -> None:
@@ -48,9 +52,4 @@ def append_audit(df: DataFrame, path: str) -> None:
     df.select("name", "diff", "actor", "at").write.mode("append").parquet(path)
 
 
-def snapshot(df: DataFrame, path: str) -> None:
-    """Replace a whole snapshot; the commit protocol shows the old files or the new ones."""
-    df.write.mode("overwrite").parquet(path)
-
-
-__all__ = ["append_audit", "append_json", "load", "read_bars", "read_csv", "scratch", "snapshot", "write_bars"]
+__all__ = ["append_audit", "append_json", "load", "read_bars", "read_csv", "scratch", "write_bars"]
