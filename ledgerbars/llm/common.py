@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
@@ -44,9 +45,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files and checkpoints that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the context cleaner drop the shuffle files and checkpoints that nothing refers to any more. What a first collection
+    finds is let go of by the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.2)
 
 
 #: Bytes of texts that go to a Python worker at a time; Spark's own 64 MB are held several times by the JVM and the worker.

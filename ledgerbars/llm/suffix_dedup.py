@@ -281,7 +281,8 @@ def solve(anchors: np.ndarray, texts: list[bytes], lows: np.ndarray, length: int
 
 
 def shard_arrays(length: int):
-    """mapInArrow over distinct contexts (anchor, digest, context, low) sorted by anchor: (anchor, digest, gone), where any window goes."""
+    """mapInArrow over distinct contexts (anchor, digest, context, low, places, rows) sorted by anchor: the answers for those of which any
+    window goes anywhere: (anchor, digest, rows, least document, windows, gone: ranges that go in that document too)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         todo: list[pa.RecordBatch] = []  # whole anchors, then the last one, which the next batch may continue
@@ -296,9 +297,13 @@ def shard_arrays(length: int):
             if (same & (digests[1:] == digests[:-1])).any():
                 raise ValueError("two contexts of an anchor have one digest")
             at = np.flatnonzero(several)
-            gone = solve(anchors[at], table.column("context").take(pa.array(at)).to_pylist(), lows[at], length) if len(at) else []
-            keep = [i for i, g in enumerate(gone) if g]
-            return pa.RecordBatch.from_arrays([pa.array(anchors[at[keep]]), pa.array(digests[at[keep]]), pa.array([gone[i] for i in keep], pa.list_(pa.int32()))], ["anchor", "digest", "gone"])
+            gone: list[list[int]] = [[]] * len(anchors)
+            for i, g in zip(at.tolist(), solve(anchors[at], table.column("context").take(pa.array(at)).to_pylist(), lows[at], length) if len(at) else (), strict=True):
+                gone[i] = g
+            keep = np.flatnonzero((table.column("places").to_numpy() > 1) | np.fromiter(map(bool, gone), bool, len(gone)))
+            windows = (pa.compute.binary_length(table.column("context")).to_numpy()[keep] - (length - 1)).astype(np.int32)
+            cols = [anchors[keep], digests[keep], table.column("rows").to_numpy()[keep], lows[keep], windows]
+            return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array([gone[i] for i in keep.tolist()], pa.list_(pa.int32()))], ["anchor", "digest", "rows", "least", "windows", "gone"])
 
         for b in batches:
             if not b.num_rows:
@@ -351,7 +356,7 @@ def cut_bytes(length: int):
             starts, ends = [at[whole]], [at[whole] + known.column("windows").to_numpy()[each[whole]]]
             ranges = known.column("gone").combine_chunks()
             ranges = ranges if isinstance(ranges, pa.Array) else pa.concat_arrays(ranges.chunks)
-            counts = pa.compute.fill_null(pa.compute.list_value_length(ranges), 0).to_numpy(zero_copy_only=False) // 2
+            counts = pa.compute.list_value_length(ranges).to_numpy(zero_copy_only=False) // 2
             flat = pa.compute.list_flatten(ranges).to_numpy(zero_copy_only=False).reshape(-1, 2)
             part = ~whole & (counts[each] > 0)
             times = counts[each[part]]
@@ -434,18 +439,19 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         only = texts.select("unit", "pid", "low", "bytes")
         sent = only.groupBy("unit").applyInArrow(send_anchors(length, buckets), "unit int, bucket int, once binary, twice binary")
         shared = cut(sent.groupBy("bucket").applyInArrow(match_anchors, "unit int, bucket int, blob binary"))
+        del sent
         release(spark)
         found = only.groupBy("unit").cogroup(shared.groupBy("unit")).applyInArrow(send_contexts(length, buckets), CONTEXT)
         found.write.option("compression", "zstd").saveAsTable(f"{name}_contexts")
-        del found, shared, sent
+        del found, shared
         release(spark)
         found = spark.table(f"{name}_contexts")
         # Equal contexts by their bytes; the rows of one are combined in each task before the shuffle.
         distinct = found.groupBy("anchor", "digest", "context").agg(F.min("low").alias("low"), F.sum("n").alias("places"), F.count("*").alias("rows"))
-        distinct = cut(distinct.repartition("anchor").sortWithinPartitions("anchor", "digest"))
-        solved = distinct.select("anchor", "digest", "context", "low").mapInArrow(shard_arrays(length), "anchor long, digest long, gone array<int>")
-        answers = distinct.select("anchor", "digest", "places", "rows", F.col("low").alias("least"), (F.octet_length("context") - (length - 1)).alias("windows")).join(solved, ["anchor", "digest"], "left")
-        answers = cut(answers.filter("places > 1 or gone is not null").drop("places"))
+        answers = distinct.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(shard_arrays(length), "anchor long, digest long, rows long, least long, windows int, gone array<int>")
+        answers = cut(answers)
+        del distinct
+        release(spark)
         rows_ = answers.agg(F.sum("rows")).first()[0] or 0
         told = join_back(found.select("unit", "anchor", "digest", "n", "places"), answers, ["anchor", "digest"], ["unit"], "rows", rows_).select("unit", "n", "places", "least", "windows", "gone")
         left = texts.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(cut_bytes(length), RESULT)
