@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.messages import KINDS, joined, report
 from ..functions.years import days, is_open, next_or_error, session, trade_window
+from ..operators.lifecycle import as_of, start
 from ..operators.state import latest
 from ..registry import query
 from ..sources import store
@@ -281,3 +282,27 @@ def read_views(spark: SparkSession, sf: str) -> DataFrame:
     for c in counts[1:]:
         out = out.union(c)
     return out
+
+
+@query("""SELECT place, stage, outcome, note FROM (VALUES (0, 'reconcile', 'done', (SELECT CAST(count(*) AS VARCHAR) FROM orders WHERE o_orderstatus = 'O')), (1, 'square_off', 'failed', 'RuntimeError'), (2, 'backfill', 'done', (SELECT CAST(count(DISTINCT user_id) AS VARCHAR) FROM events)), (3, 'warm_up', 'deferred', NULL), (4, 'resume', 'done', NULL)) t(place, stage, outcome, note)""")
+def startup_hooks(spark: SparkSession, sf: str) -> DataFrame:
+    """A start whose hooks reconcile open orders and count feeds to fill; one is absent, one fails, and the others run all the same."""
+
+    def square_off() -> None:
+        raise RuntimeError("no session")
+
+    hooks = {
+        "reconcile": lambda: load(spark, sf, "orders").filter("o_orderstatus = 'O'").count(), "square_off": square_off, "backfill": lambda: load(spark, sf, "events").select("user_id").distinct().count(), "resume": lambda: None,
+    }
+    return start(spark, hooks)
+
+
+@query("SELECT user_id, (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) AS age_us, (SELECT max(epoch_us(ts)) FROM events) - max(epoch_us(ts)) > 86400000000 AS stale FROM events GROUP BY 1")
+def ages_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """How old each feed's last word is, as of the time that a replay is given, else of the data's end."""
+    e = load(spark, sf, "events")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("last"))
+    end = e.agg(F.max("ts").alias("end"))
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = us(as_of(spark, F.col("end"))) - us(F.col("last"))
+    return last.join(F.broadcast(end)).select("user_id", age.alias("age_us"), (age > 86_400_000_000).alias("stale"))  # one row

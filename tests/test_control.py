@@ -180,3 +180,13 @@ def test_frames_wait_for_the_next_buffer(spark):
     got = decode_buffers(spark.createDataFrame(rows, "source string, at long, raw binary"), "source", "at", "raw").collect()
     for s in "xy":
         assert [(r.type, r.data, r.ok) for r in got if r.source == s] == [*(("tick", f'{{"i": {i}}}', True) for i in range(5)), (None, None, False), ("order", "{}", True)]
+
+
+def test_replay_runs_at_the_given_time(spark, sf):
+    before = {r.user_id: r.age_us for r in registry.queries()["ages_as_of"](spark, sf).collect()}
+    spark.conf.set("spark.ledgerbars.asOf", "2030-01-01 00:00:00")
+    try:
+        later = {r.user_id: r.age_us for r in registry.queries()["ages_as_of"](spark, sf).collect()}
+    finally:
+        spark.conf.unset("spark.ledgerbars.asOf")
+    assert len({later[k] - before[k] for k in before}) == 1 and min(later.values()) > 10**14
