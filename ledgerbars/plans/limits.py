@@ -250,13 +250,13 @@ def rule_margin_buffer(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,4)) AS n, l_returnflag = 'R' AS delivery, l_tax FROM lineitem),
 k AS (SELECT *, CASE WHEN delivery THEN 0 ELSE least(CAST(n * 0.0003 AS DECIMAL(24,8)), 20) END AS brokerage, CAST(n * 0.0000307 AS DECIMAL(24,8)) AS txn, CAST(n * 0.000001 AS DECIMAL(24,8)) AS sebi FROM c),
 t AS (SELECT *, CAST(2 * (brokerage + txn + sebi + CAST((brokerage + txn + sebi) * 0.18 AS DECIMAL(24,8))) + CASE WHEN delivery THEN 2 * CAST(n * 0.001 AS DECIMAL(24,8)) + CAST(n * 0.00015 AS DECIMAL(24,8)) + 15.34 ELSE CAST(n * 0.00025 AS DECIMAL(24,8)) + CAST(n * 0.00003 AS DECIMAL(24,8)) END AS DOUBLE) AS round_trip FROM k)
-SELECT l_orderkey, l_linenumber, round(round_trip, 4) AS breakeven, CAST(n AS DOUBLE) * l_tax / 20 >= 2.0 * round_trip AS passed, count(*) AS n FROM t GROUP BY ALL""")
+SELECT l_orderkey, l_linenumber, round_trip AS breakeven, CAST(n AS DOUBLE) * l_tax / 20 >= 2.0 * round_trip AS passed, count(*) AS n FROM t GROUP BY ALL""")
 def rule_min_viable_size(spark: SparkSession, sf: str) -> DataFrame:
     """The expected edge (a twentieth of the tax rate here) is twice the cost of buying and selling."""
     delivery, n = F.col("l_returnflag") == "R", money("l_extendedprice")
     trip = (total(cost_parts(n, delivery, F.lit(False))) + total(cost_parts(n, delivery, F.lit(True)))).cast("double")
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", trip.alias("trip"), (n.cast("double") * F.col("l_tax") / 20).alias("edge"))
-    return li.groupBy("l_orderkey", "l_linenumber", F.round("trip", 4).alias("breakeven"), (F.col("edge") >= L["min_viable_size"]["edge_multiple"] * F.col("trip")).alias("passed")).agg(F.count("*").alias("n"))
+    return li.groupBy("l_orderkey", "l_linenumber", F.col("trip").alias("breakeven"), (F.col("edge") >= L["min_viable_size"]["edge_multiple"] * F.col("trip")).alias("passed")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, CAST(length(text) % 101 AS DOUBLE) / 100 AS confidence FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, confidence, CASE WHEN confidence IS NOT NULL AND confidence >= 0.55 THEN 'proposal' ELSE 'no_action' END AS outcome FROM c""")
