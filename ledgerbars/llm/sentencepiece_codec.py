@@ -27,7 +27,7 @@ from .common import held, quoted, small_batches
 
 MARK = "▁"
 #: Words whose ids, and pairs of pieces whose merging, a worker keeps between batches; beyond that it forgets and computes again.
-CACHE_WORDS, CACHE_PAIRS = 1 << 18, 1 << 18
+CACHE_WORDS, CACHE_PAIRS = 1 << 19, 1 << 18
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
