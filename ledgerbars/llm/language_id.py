@@ -2,7 +2,7 @@
 
 One suffix automaton for each language holds a bounded sample of labelled text. A text is cut greedily
 into the longest phrases that occur in a language's sample; the language that needs the fewest phrases,
-times the logarithm of its sample's length and with unknown characters spelled out, wins. Texts are parsed whole: stretches of a long text are parsed
+times the logarithm of its sample's length, and with letters that it does not have paid for, wins. Texts are parsed whole: stretches of a long text are parsed
 side by side and then joined, so that the count is that of one parse from its beginning.
 """
 
@@ -27,8 +27,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGUAGES = 200, 40_000, 256
 ALPHABET = 96
 #: Long texts are parsed in stretches of this many characters side by side, before the stretches are joined.
 STRETCH = 2048
-#: What a character that a language's sample does not hold costs beyond its phrase: any of Unicode's may be meant.
-LITERAL_BITS = 21.0
+#: A sample that is shorter than the longest by more than so many halvings counts as if by so many: a few words are no language.
+SHORT_BITS = 3.0
 #: Places of marks, characters times languages, that are held at once.
 MARKS = 1 << 25
 
@@ -83,7 +83,8 @@ class Model:
         self.languages = sorted(samples)
         tables, self.roots, self.logs, base = [], [], [], 0
         keys, values, agains = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
-        self.lacks = np.ones((len(self.languages), len(chars) + 1), bool)
+        self.lacks = np.zeros((len(self.languages), len(chars) + 1), bool)
+        self.lacks[:, [self.codes[c] for c in chars if c.isalpha()]] = True
         for lang in self.languages:
             codes = [self.codes[c] for c in samples[lang]]
             self.lacks[len(self.roots), codes] = False
@@ -120,7 +121,7 @@ class Model:
         return self.parsed(texts)[0]
 
     def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """By (text, language): phrases, and how many of them are a character that the sample does not hold."""
+        """By (text, language): phrases, and letters that the language does not have."""
         sizes = np.array([len(t) for t in texts], np.int64)
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.minimum(np.searchsorted(self.points, points), max(0, len(self.points) - 1))
@@ -132,7 +133,8 @@ class Model:
         return out, self._strange(codes, sizes)
 
     def _strange(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """(text, language): the characters that the language's sample does not hold, each of which is a phrase."""
+        """(text, language): the letters that the language's sample does not hold, but another's does. Each is a phrase, which a
+        short sample would otherwise get cheaply; it costs one of the longest sample more. Signs and figures say nothing of a language."""
         out, some = np.zeros((len(sizes), len(self.languages)), np.int64), np.flatnonzero(sizes)
         if len(some):
             begins = (np.cumsum(sizes) - sizes)[some]
@@ -234,7 +236,8 @@ class Model:
 
     def _some(self, at: list[int], texts: list[str], langs: list[str], scores: np.ndarray) -> None:
         phrases, strange = self.parsed(texts)
-        bits = phrases * np.array(self.logs) + strange * LITERAL_BITS
+        logs = np.maximum(self.logs, max(self.logs) - SHORT_BITS)
+        bits = phrases * logs + strange * max(self.logs)
         best = bits.argmin(1)  # ties: the first language by code point
         for j, i in enumerate(at):
             langs[i] = self.languages[best[j]]
@@ -269,7 +272,17 @@ def train(labelled: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = S
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(plain(r["text"]))
-    return {lang: "\n".join(texts)[:chars_each] for lang, texts in samples.items()}
+    return {lang: "\n".join(t[: level(texts, chars_each)] for t in texts)[:chars_each] for lang, texts in samples.items()}
+
+
+def level(texts: list[str], whole: int) -> int:
+    """The share of each text with which all of them together come to ``whole`` characters, or as near as they can."""
+    rest, left = whole, len(texts)
+    for n in sorted(len(t) + 1 for t in texts):
+        if n * left > rest:
+            return max(1, rest // left)
+        rest, left = rest - n, left - 1
+    return whole
 
 
 def predictor(samples: dict[str, str]):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -407,6 +408,21 @@ def test_language_id_held_out(spark, sf):
     assert len(got) > 20 and sum(r.lang_pred == truth[r.doc_id] for r in got) / len(got) > 0.95
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="needs the larger test tables")
+def test_language_id_held_out_among_noise(spark):
+    from ledgerbars.llm.queries import op3_language_id
+
+    at = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    got = [r for r in op3_language_id(spark, at).collect() if r.held_out and truth[r.doc_id]]
+    assert len(got) > 200 and sum(r.lang_pred == truth[r.doc_id] for r in got) / len(got) > 0.98
+
+
+def test_samples_take_equal_shares():
+    assert language_id.level(["a" * 10] * 4, 1000) == 1000 and language_id.level(["a" * 100] * 4, 100) == 25
+    assert language_id.level(["a" * 9, "a" * 100, "a" * 100], 110) == 50
+
+
 def test_sentencepiece_equals_library(spark, docs, empty, rows):
     import sentencepiece
 
