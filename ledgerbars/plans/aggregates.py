@@ -9,9 +9,8 @@ from pyspark.sql.window import Window
 from ..registry import query
 from ..sources.tables import TICKS, load, money, ticks
 
-#: Prices by model tier, money a million tokens in and out; monthly allocations by agent.
+#: Prices by model tier, money a million tokens in and out.
 PRICES = {"1-URGENT": (10, 50), "2-HIGH": (5, 25), "3-MEDIUM": (3, 15), "4-NOT SPECIFIED": (1, 5), "5-LOW": (1, 5)}
-ALLOCATIONS = {"AUTOMOBILE": 42, "BUILDING": 20, "FURNITURE": 12, "HOUSEHOLD": 14, "MACHINERY": 5}
 
 
 @query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
@@ -69,21 +68,6 @@ def budget_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return o.rollup("yr", "tier").agg(F.grouping("yr").cast("int").alias("all_years"), F.grouping("tier").cast("int").alias("all_tiers"), F.count("*").alias("calls"), F.sum("v").cast("double").alias("spend"))
 
 
-@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, c_mktsegment AS agent, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS spend FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-a AS (SELECT *, CASE agent WHEN 'AUTOMOBILE' THEN 42 WHEN 'BUILDING' THEN 20 WHEN 'FURNITURE' THEN 12 WHEN 'HOUSEHOLD' THEN 14 ELSE 5 END * 200000 AS allocation, sum(spend) OVER (PARTITION BY month) AS whole FROM m)
-SELECT month, agent, CASE WHEN whole >= 0.95 * 18600000 THEN 'DG3' WHEN spend >= 1.25 * allocation OR whole >= 0.85 * 18600000 THEN 'DG2' WHEN spend >= 1.1 * allocation OR spend >= 0.85 * allocation THEN 'DG1' ELSE 'DG0' END AS tier FROM a""")
-def degrade_tier(spark: SparkSession, sf: str) -> DataFrame:
-    """The most restrictive step that either the agent's or the whole spending has reached. Allocations are scaled to the data."""
-    share = F.coalesce(*(F.when(F.col("agent") == k, F.lit(v)) for k, v in ALLOCATIONS.items()), F.lit(5)) * 200000
-    o = load(spark, sf, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), money("o_totalprice").alias("v"))
-    c = load(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("agent"))
-    m = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("month", "agent").agg(F.sum("v").cast("double").alias("spend"))
-    m = m.withColumns({"allocation": share, "whole": F.sum("spend").over(Window.partitionBy("month"))})
-    s, a, w, cap = F.col("spend"), F.col("allocation"), F.col("whole"), sum(ALLOCATIONS.values()) * 200000
-    tier = F.when(w >= 0.95 * cap, "DG3").when((s >= 1.25 * a) | (w >= 0.85 * cap), "DG2").when((s >= 1.1 * a) | (s >= 0.85 * a), "DG1").otherwise("DG0")
-    return m.select("month", "agent", tier.alias("tier"))
-
-
 @query("""WITH t AS (SELECT l_returnflag AS strategy, l_linestatus AS regime, CAST(l_extendedprice AS DECIMAL(18,4)) - 50000 AS pnl FROM lineitem)
 SELECT strategy, regime, count(*) AS n_trades, round(CAST(count_if(pnl > 0) AS DOUBLE) / count(*), 6) AS hit_rate, CAST(sum(pnl) AS DOUBLE) AS net, CAST(min(pnl) AS DOUBLE) AS worst, CAST(max(pnl) AS DOUBLE) AS best, round(median(CAST(pnl AS DOUBLE)), 4) AS median_pnl FROM t GROUP BY 1, 2""")
 def ledger_metrics(spark: SparkSession, sf: str) -> DataFrame:

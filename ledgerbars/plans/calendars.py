@@ -1,15 +1,14 @@
-"""Calendar queries: trading days, sessions, schedules, gaps. The date dimension has a row a day and is broadcast."""
+"""Calendar queries with the fixed holidays of any year: trading days, sessions, zones. Those from year files are in control.py and ledger.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import CALENDAR, clamp, date_dimension, end_less_buffer, is_trading_day, session_minutes, verified_trading_day
+from ..functions.calendar import clamp, end_less_buffer, is_trading_day, session_minutes, verified_trading_day
 from ..registry import query
 from ..sources.tables import load
 
-SPAN = ("1995-01-01", "2001-12-31")
 OPEN_SQL = "CASE WHEN isodow({0}) >= 6 THEN strftime({0}, '%Y-%m-%d') = '2026-11-08' WHEN strftime({0}, '%m-%d') IN ('01-26', '05-01', '10-02', '12-25') THEN false ELSE true END"
 
 
@@ -20,12 +19,6 @@ def trading_day_flags(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").select("o_orderkey", is_trading_day(d).alias("open"), verified_trading_day(d, F.lit("1999-12-31").cast("date")).alias("open_verified"))
 
 
-@query(f"WITH {CALENDAR.format(*SPAN)} SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, next_day, session_index FROM orders JOIN cal ON CAST(o_orderdate AS DATE) = day")
-def next_trading_day(spark: SparkSession, sf: str) -> DataFrame:
-    cal = F.broadcast(date_dimension(spark, *SPAN))  # 2,557 rows
-    return load(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).join(cal, "day").select("o_orderkey", "day", "next_day", "session_index")
-
-
 @query("""WITH w AS (SELECT event_id, CAST(event_id % 1440 AS INT) AS a, CAST((event_id * 7) % 1440 AS INT) AS b FROM events)
 SELECT event_id, greatest(a, 555) AS lo, least(b, 930) AS hi, greatest(a, 555) < least(b, 930) AS tradable, CAST((least(b, 930) - 5 + 1440) % 1440 AS INT) AS last_entry FROM w""")
 def session_clamp(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,37 +28,6 @@ def session_clamp(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", lo.alias("lo"), hi.alias("hi"), ok.alias("tradable"), end_less_buffer(hi, F.lit(5)).alias("last_entry"))
 
 
-@query(f"""WITH {CALENDAR.format("1995-01-01", "2002-12-31")} SELECT l_orderkey, l_linenumber, l_shipdate, b.session_index - a.session_index AS sessions, b.session_index - a.session_index > 20 AS over_swing, count(*) AS n
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cal a ON a.day = CAST(o_orderdate AS DATE) JOIN cal b ON b.day = CAST(l_shipdate AS DATE) GROUP BY ALL""")
-def holding_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Ages counted in trading sessions: the difference of two running indexes."""
-    cal = date_dimension(spark, "1995-01-01", "2002-12-31").select("day", "session_index")
-    a, b = (F.broadcast(cal.select(F.col("day").alias(f"{x}_day"), F.col("session_index").alias(x))) for x in "ab")
-    o = load(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a_day")).join(a, "a_day")
-    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.to_date("l_shipdate").alias("b_day")).join(b, "b_day")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("sessions", F.col("b") - F.col("a"))
-    return j.groupBy("l_orderkey", "l_linenumber", "l_shipdate", "sessions", (F.col("sessions") > 20).alias("over_swing")).agg(F.count("*").alias("n"))
-
-
-@query(f"""WITH {CALENDAR.format("2024-01-01", "2024-01-31")}, j(job, minute) AS (VALUES ('bars', 960), ('plan', 530), ('review', 1260)) SELECT job, CAST(day AS TIMESTAMP) + to_minutes(minute) AS run_at FROM cal, j WHERE open""")
-def scheduled_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Job times on trading days only; a fixed job list unfolded from each day."""
-    jobs = F.array(*(F.struct(F.lit(n).alias("job"), F.lit(m).alias("minute")) for n, m in (("bars", 960), ("plan", 530), ("review", 1260))))
-    d = date_dimension(spark, "2024-01-01", "2024-01-31").filter("open").select("day", F.explode(jobs).alias("j"))
-    return d.select("j.job", (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("j.minute"))).alias("run_at"))
-
-
-@query(f"""WITH {CALENDAR.format("2024-01-01", "2024-01-30")}, p AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), u AS (SELECT user_id, max(day) AS through_date FROM p GROUP BY 1)
-SELECT u.user_id, through_date, count(cal.day) - count(p.day) AS n_missing, min(CASE WHEN p.day IS NULL THEN cal.day END) AS first_missing
-FROM u JOIN cal ON cal.open AND cal.day <= through_date LEFT JOIN p ON p.user_id = u.user_id AND p.day = cal.day GROUP BY 1, 2""")
-def backfill_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Checkpoint by symbol and the sessions missing before it. Expected sessions are one sorted array of days."""
-    have = load(spark, sf, "events").select("user_id", F.to_date("ts").alias("day")).groupBy("user_id").agg(F.collect_set("day").alias("have"), F.max("day").alias("through_date"))
-    days = date_dimension(spark, "2024-01-01", "2024-01-30").filter("open").agg(F.array_sort(F.collect_list("day")).alias("days"))
-    j = have.join(F.broadcast(days)).withColumn("missing", F.array_except(F.filter("days", lambda d: d <= F.col("through_date")), "have"))
-    return j.select("user_id", "through_date", F.size("missing").alias("n_missing"), F.array_min("missing").alias("first_missing"))
-
-
 @query("""SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%H:%M') AS ist, date_diff('day', DATE '2024-01-01', CAST(ts + INTERVAL 330 MINUTE AS DATE)) AS ist_day, hour(ts + INTERVAL 330 MINUTE) * 60 + minute(ts + INTERVAL 330 MINUTE) AS minute_of_day FROM events""")
 def zone_conversion(spark: SparkSession, sf: str) -> DataFrame:
     t = F.convert_timezone(F.lit("UTC"), F.lit("Asia/Kolkata"), F.col("ts"))

@@ -17,7 +17,7 @@ from ..sources.files import scratch
 from ..sources.tables import load
 
 #: What the shipped year files say, written out for DuckDB: years, special and shortened sessions, holidays of any year.
-KNOWN = "(1995, 1996, 1997, 1998, 1999, 2000, 2001, 2024, 2026)"
+KNOWN = "(1995, 1996, 1997, 1998, 1999, 2000, 2001, 2002, 2024, 2026)"
 OPEN = f"""CASE WHEN year({{0}}) NOT IN {KNOWN} THEN false WHEN isodow({{0}}) >= 6 THEN {{0}} IN (DATE '1996-11-10', DATE '2024-01-20', DATE '2026-11-08') WHEN strftime({{0}}, '%m-%d') IN ('01-26', '05-01', '10-02', '12-25') THEN false ELSE true END"""
 STRICT = OPEN.replace("ELSE true END", "ELSE {0} <= DATE '1996-06-30' END")
 SPECIAL, SHORT = "{0} IN (DATE '1996-11-10', DATE '2024-01-20', DATE '2026-11-08')", "{0} IN (DATE '1996-12-24', DATE '2024-01-25')"
@@ -60,10 +60,10 @@ def calendar_trade_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH c AS (SELECT CAST(g AS DATE) AS day FROM generate_series((SELECT min(o_orderdate)::DATE::TIMESTAMP FROM orders), (SELECT max(o_orderdate)::DATE::TIMESTAMP + INTERVAL 370 DAY FROM orders), INTERVAL 1 DAY) t(g)), o AS (SELECT day FROM c WHERE {OPEN.format('day')})
-SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o.day AS next_day FROM orders ASOF LEFT JOIN o ON o.day > CAST(o_orderdate AS DATE) WHERE CAST(o_orderdate AS DATE) < DATE '2001-12-31'""")
-def calendar_next_trading_day(spark: SparkSession, sf: str) -> DataFrame:
-    """The next trading day within 370 days, over the data's own span; a day without one is an error, so the calendar's very end is left out."""
-    o = load(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).filter("day < date '2001-12-31'")
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o.day AS next_day FROM orders ASOF LEFT JOIN o ON o.day > CAST(o_orderdate AS DATE)""")
+def next_trading_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The next trading day within 370 days, over the data's own span; a day without one is an error."""
+    o = load(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     lo, hi = o.agg(F.min("day"), F.max("day")).first()
     if lo is None:
         return o.withColumn("next_day", F.col("day"))

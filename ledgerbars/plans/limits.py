@@ -198,7 +198,7 @@ def rule_circuit_proximity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH h AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS position, CAST(l_shipdate AS DATE) AS opened, CAST(l_shipdate AS DATE) + CAST(CAST(l_quantity AS INTEGER) * 4 AS INTEGER) AS seen FROM lineitem),
-c AS (SELECT CAST(g AS DATE) AS day, CASE WHEN year(g) NOT BETWEEN 1995 AND 2001 THEN false WHEN isodow(g) >= 6 THEN CAST(g AS DATE) = DATE '1996-11-10' ELSE strftime(g, '%m-%d') NOT IN ('01-26', '05-01', '10-02', '12-25') END AS open FROM generate_series((SELECT min(opened) FROM h)::TIMESTAMP, (SELECT max(seen) FROM h)::TIMESTAMP, INTERVAL 1 DAY) t(g)),
+c AS (SELECT CAST(g AS DATE) AS day, CASE WHEN year(g) NOT BETWEEN 1995 AND 2002 THEN false WHEN isodow(g) >= 6 THEN CAST(g AS DATE) = DATE '1996-11-10' ELSE strftime(g, '%m-%d') NOT IN ('01-26', '05-01', '10-02', '12-25') END AS open FROM generate_series((SELECT min(opened) FROM h)::TIMESTAMP, (SELECT max(seen) FROM h)::TIMESTAMP, INTERVAL 1 DAY) t(g)),
 x AS (SELECT day, CAST(sum(CASE WHEN open THEN 1 ELSE 0 END) OVER (ORDER BY day) AS BIGINT) AS k FROM c)
 SELECT l_orderkey, l_linenumber, b.k - a.k AS held, b.k - a.k > CASE WHEN position THEN 120 ELSE 20 END AS over, count(*) AS n FROM h JOIN x a ON a.day = opened JOIN x b ON b.day = seen GROUP BY ALL""")
 def rule_max_holding(spark: SparkSession, sf: str) -> DataFrame:

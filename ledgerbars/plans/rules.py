@@ -5,33 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rules import RULES, check_rows
+from ..operators.rules import check_rows
 from ..registry import query
 from ..sources.tables import load
 
-#: Facts of each order that the rules judge, as whole-number arithmetic on its key: (column, modulus, divisor, shift).
-FACTS = {
-    "deployed": (400, 1, 19800), "risk_pct": (20, 10, 0), "day_pct": (100, 10, -9), "drawdown_pct": (100, 10, 0), "equity_pct": (200, 10, -18), "losses": (5, 1, 0), "trades_day": (8, 1, 0), "open_total": (5, 1, 0), "symbol_notional": (900, 1, 7500),
-    "sector_positions": (4, 1, 0), "corr": (100, 100, 0), "leverage": (40, 10, 0), "minute_from_open": (60, 1, 0), "domains": (4, 1, 0), "window_minutes": (30, 1, -10), "tick_age_s": (9, 1, 0), "bars": (60, 1, 0), "regime_days": (40, 1, 0), "skew_s": (5, 1, 0),
-    "band_pct": (20, 10, 0), "circuit_pct": (50, 10, 0), "held_sessions": (30, 1, 0), "residual_min": (40, 1, 0), "entry_calls": (90, 1, 0), "modifications": (25, 1, 0), "margin_ratio": (20, 10, 0), "edge_multiple": (50, 10, 0), "confidence": (100, 100, 0),
-}
-
-
-def _oracle() -> str:
-    op = {(True, False): "<=", (True, True): "<", (False, False): ">=", (False, True): ">"}
-    fact = lambda c: "CAST(o_orderkey % {} AS DOUBLE) / {} + {}".format(*FACTS[c])
-    one = lambda r: f"SELECT '{r.rule_id}' AS rule_id, count(*) AS n, count_if({fact(r.value)} {op[r.most, r.strict]} {float(r.limit)}) AS n_passed FROM orders"
-    return " UNION ALL ".join(one(r) for r in RULES if r.value in FACTS)
-
-
-@query(_oracle())
-def rule_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules over all orders, by rule: the long form is combined in each task and never shuffled."""
-    facts = {c: (F.col("o_orderkey") % m).cast("double") / d + s for c, (m, d, s) in FACTS.items()}
-    rows = check_rows(load(spark, sf, "orders").select("o_orderkey", *(v.alias(c) for c, v in facts.items())), ["o_orderkey"])
-    return rows.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
-
-
 @query("""SELECT c_custkey, unnest(['capital_cap', 'equity_floor_rung', 'cumulative_floor']) AS rule_id, unnest([v <= 20000, p > -10, p >= -15]) AS passed, unnest([v, p, p]) AS value, unnest([CAST(20000 AS DOUBLE), -10, -15]) AS "limit", unnest([20000 - v, p + 10, p + 15]) AS headroom
 FROM (SELECT c_custkey, c_acctbal AS v, round(c_acctbal) - 5000 AS p FROM customer)""")
 def rule_checks_long(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.calendar import CALENDAR, date_dimension
 from ..registry import query
 from ..sources.tables import TICKS, load, money, ticks
 
@@ -180,20 +179,6 @@ def momentum_top_n(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("instrument", "day", F.round("momentum", 6).alias("momentum"), "place")
 
 
-@query(f"""WITH {CALENDAR.format("2024-01-01", "2024-02-15")}, {TICKS}, {DAILY}, l AS (SELECT *, lag(close) OVER w AS pre, avg(volume) OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS usual, lag(day) OVER w AS pre_day FROM d WINDOW w AS (PARTITION BY instrument ORDER BY day))
-SELECT instrument, l.day, round(100 * (close - pre) / pre, 4) AS move_pct, round(volume / usual, 4) AS volume_mult, a.session_index - b.session_index AS age_sessions
-FROM l JOIN cal a ON a.day = l.day JOIN cal b ON b.day = l.pre_day WHERE pre > 0 AND usual > 0 AND 100 * abs(close - pre) / pre >= 1.0 AND volume >= 1.5 * usual AND a.session_index - b.session_index <= 2""")
-def catalyst_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """Moves of one per cent on 1.5 times the usual volume, whose last bar is at most two trading sessions old."""
-    cal = F.broadcast(date_dimension(spark, "2024-01-01", "2024-02-15").select("day", "session_index"))  # one row a day
-    d = daily(spark, sf).withColumns({"pre": F.lag("close").over(by_day()), "pre_day": F.lag("day").over(by_day()), "usual": F.avg("volume").over(by_day().rowsBetween(-5, -1))})
-    b = cal.select(F.col("day").alias("pre_day"), F.col("session_index").alias("pre_index"))
-    move = F.col("close") - F.col("pre")
-    j = d.join(cal, "day").join(b, "pre_day").withColumn("age_sessions", F.col("session_index") - F.col("pre_index"))
-    j = j.filter((F.col("pre") > 0) & (F.col("usual") > 0) & (F.col("age_sessions") <= 2)).filter((100 * F.abs(move) / F.col("pre") >= 1.0) & (F.col("volume") >= 1.5 * F.col("usual")))
-    return j.select("instrument", "day", F.round(100 * move / F.col("pre"), 4).alias("move_pct"), F.round(F.col("volume") / F.col("usual"), 4).alias("volume_mult"), "age_sessions")
-
-
 @query("""WITH g AS (SELECT user_id, event_id, event_id - lag(event_id) OVER w AS step, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS silence FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, count(*) FILTER (step > 1) AS n_gaps, max(step) AS longest_step, count(*) FILTER (silence > 86400000000) AS n_silent FROM g GROUP BY 1""")
 def heartbeat_gaps(spark: SparkSession, sf: str) -> DataFrame:

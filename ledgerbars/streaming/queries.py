@@ -45,12 +45,19 @@ def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{at}/out")
 
 
-@query()
+@query("SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS bar_start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS n_ticks FROM events GROUP BY 1, 2")
 def stream_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly bars; the watermark closes a window, so the last ones stay open."""
-    e = stream(spark, sf).withWatermark("ts", LATE)
-    b = e.groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").alias("n_ticks"))
-    return drain(b.select("user_id", F.col("w.start").alias("bar_start"), "open", "high", "low", "close", "n_ticks"))
+    """Hourly bars, the open ones too: each batch says what it knows of a bar, the last word counts."""
+    return live_bars(spark, sf, "1 hour")
+
+
+def live_bars(spark: SparkSession, sf: str, width: str) -> DataFrame:
+    at, first = scratch(spark, "bars"), F.struct("ts", "event_id")
+    b = stream(spark, sf).withWatermark("ts", LATE).groupBy("user_id", F.window("ts", width).alias("w"))
+    b = b.agg(F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", first).alias("close"), F.count("*").alias("n_ticks"))
+    b = b.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("bar_start"), "open", "high", "low", "close", "n_ticks")
+    run(b, f"{at}/state", upserts(f"{at}/out"), "update")
+    return last_words(spark, f"{at}/out", ["user_id", "bar_start"], b.schema)
 
 
 @query()
@@ -96,7 +103,9 @@ def feed_states(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -
     yield pd.DataFrame(rows, columns=["user_id", "event_id", "from_state", "to_state"])
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), n AS (SELECT a.*, b.us AS pre FROM b a LEFT JOIN b ON b.user_id = a.user_id AND b.k = a.k - 1),
+r AS (SELECT user_id, event_id, k, 'STOPPED' AS a, 'STOPPED' AS f, 'WARMING' AS s FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.event_id, n.k, r.s, CASE WHEN r.s = 'HEALTHY' AND n.us - n.pre > 86400000000 THEN 'STALE' ELSE r.s END, CASE WHEN r.s = 'HEALTHY' AND n.us - n.pre > 86400000000 THEN 'WARMING' ELSE 'HEALTHY' END FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+SELECT user_id, event_id, f AS from_state, s AS to_state FROM r WHERE f <> s UNION ALL SELECT user_id, event_id, a, f FROM r WHERE a = 'HEALTHY' AND f = 'STALE'""")
 def stream_feed_state(spark: SparkSession, sf: str) -> DataFrame:
     e = stream(spark, sf).select("user_id", "event_id", F.unix_micros("ts").alias("us"))
     return drain(e.groupBy("user_id").applyInPandasWithState(feed_states, "user_id long, event_id long, from_state string, to_state string", "now string, last long, beats int", "append", GroupStateTimeout.NoTimeout))
@@ -120,7 +129,9 @@ def take_tokens(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, r
     yield pd.DataFrame(rows, columns=["endpoint", "event_id", "wait_s"])
 
 
-@query()
+@query("""WITH RECURSIVE k AS (SELECT event_type || '/' || user_id AS endpoint, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT endpoint, event_id, us, k, 2.0::DOUBLE AS before FROM k WHERE k = 1 UNION ALL SELECT k.endpoint, k.event_id, k.us, k.k, least(2.0::DOUBLE, r.before - 1 + (k.us - r.us) / 1000000.0::DOUBLE * (1.0::DOUBLE / 3600)) FROM r JOIN k ON k.endpoint = r.endpoint AND k.k = r.k + 1)
+SELECT endpoint, event_id, round(greatest(0, (1 - before) / (1.0::DOUBLE / 3600)), 3) AS wait_s FROM r""")
 def stream_token_bucket(spark: SparkSession, sf: str) -> DataFrame:
     """One bucket for each account and endpoint; calls an hour apart on average here."""
     e = stream(spark, sf).select(F.concat_ws("/", "event_type", "user_id").alias("endpoint"), "event_id", F.unix_micros("ts").alias("us"))
@@ -147,13 +158,8 @@ MINUTE = "SELECT user_id, time_bucket(INTERVAL 1 MINUTE, ts, TIMESTAMP '1970-01-
 
 @query(MINUTE)
 def stream_minute_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Minute bars, those that the watermark has not closed too: each batch says what it knows of a bar, the last word counts."""
-    at = scratch(spark, "minutes")
-    first = F.struct("ts", "event_id")
-    b = stream(spark, sf).withWatermark("ts", LATE).groupBy("user_id", F.window("ts", "1 minute").alias("w")).agg(F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", first).alias("close"), F.count("*").alias("n_ticks"))
-    b = b.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("bar_start"), "open", "high", "low", "close", "n_ticks")
-    run(b, f"{at}/state", upserts(f"{at}/out"), "update")
-    return last_words(spark, f"{at}/out", ["user_id", "bar_start"], b.schema)
+    """Minute bars, those that the watermark has not closed too."""
+    return live_bars(spark, sf, "1 minute")
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS first_at FROM events WHERE event_type = 'error' GROUP BY 1, 2")

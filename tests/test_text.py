@@ -15,11 +15,11 @@ from tests.llm import brute
 def test_themes_in_every_language(spark, sf, tmp_path):
     odd = [(1, "Les amis", "fr"), (2, "élles", "fr"), (3, "lesé", None), (4, "les\u0301", "fr"), (5, "x_les les2", "en"), (6, "UND\nder", "de"), (7, None, "de"), (8, "that", None), (9, "the,", "es"), (10, "«des»", "fr"), (11, "", "en"), (12, "étheé the\n", "en")]
     spark.createDataFrame(odd, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    run = registry.queries()["theme_tagging_all"]
+    run = registry.queries()["theme_tagging"]
     assert {r.theme: r.n_docs for r in run(spark, str(tmp_path)).collect()} == {"plural": 2, "german": 1, "definite": 3}
     c = connect(sf)
     c.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert spark_rows(run(spark, str(tmp_path))) == sql_rows(c, registry.oracle_sql()["theme_tagging_all"])
+    assert spark_rows(run(spark, str(tmp_path))) == sql_rows(c, registry.oracle_sql()["theme_tagging"])
     texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     want = {t: sum(bool(re.search(rf"\b({'|'.join(k)})\b", x, re.I)) for x in texts) for t, k in THEMES.items()}
     assert {r.theme: r.n_docs for r in run(spark, sf).collect()} == {t: n for t, n in want.items() if n}
