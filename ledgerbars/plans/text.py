@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from importlib.util import find_spec
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.similarity import similar
 from ..registry import query
 from ..sources.tables import load
 
@@ -65,16 +64,16 @@ def cluster_centroid_075(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("vec_id", "label", F.round(cos, 4).alias("cos"), (F.round(cos, 4) >= 0.75).alias("in_cluster"))
 
 
-if find_spec("ledgerbars.llm"):  # the folder may be left out
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id, count(b.vec_id) AS n_links FROM e a LEFT JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.75 GROUP BY 1""")
+def cluster_links_075(spark: SparkSession, sf: str) -> DataFrame:
+    """How many other vectors are at cosine 0.75 or more, of any label or none."""
+    return similar(load(spark, sf, "embeddings"), "vec_id", "embedding", 0.75).select(F.col("id").alias("vec_id"), "n_links")
 
-    @query()
-    def cluster_pairs_075(spark: SparkSession, sf: str) -> DataFrame:
-        """(vec_id, n_links, cluster_id): links are all pairs of vectors at cosine 0.75 or more, of any label or none;
-        a cluster is what links join, named by its smallest vec_id. Exact; the work grows with the square of the vectors."""
-        from ..llm.embedding_dedup import embedding_dedup
 
-        e = load(spark, sf, "embeddings").select("vec_id", "embedding", F.lit(0).alias("label"))
-        return embedding_dedup(e, least=0.75).select("vec_id", "n_links", F.col("component_id").alias("cluster_id"))
+@query()
+def cluster_pairs_075(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, n_links, cluster_id): a cluster is what links at cosine 0.75 join, named by its smallest vec_id."""
+    return similar(load(spark, sf, "embeddings"), "vec_id", "embedding", 0.75).select(F.col("id").alias("vec_id"), "n_links", "cluster_id")
 
 
 @query("""SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(replace(p_name, ' ', ',,') || ', 7, ' || p_size, ','), lambda x: try_cast(trim(x) AS INT) IS NOT NULL), lambda x: CAST(trim(x) AS INT)), ',') AS numbers FROM part""")

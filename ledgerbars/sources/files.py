@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from functools import reduce
 
@@ -11,15 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StringType, StructType
 
+from ..operators.scale import shared_folder
 from .tables import load
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares; only a session of one machine may do without that setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir is not set: executors would write where nobody else can read")
-    return f"{shared or tempfile.mkdtemp(prefix='files-')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_bars(bars: DataFrame, interval: str, path: str) -> None:
