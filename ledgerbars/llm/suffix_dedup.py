@@ -422,10 +422,12 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     front = F.least(lo, F.lit(reach)).cast("int")
     own = F.least(F.lit(piece_bytes), F.col("size") - lo).cast("int")
     part = F.when(F.col("pieces") == 1, F.col("bytes")).otherwise(F.substring("bytes", (lo - front + 1).cast("int"), front + own + reach))
-    # Units are parts of the write's tasks, so that a unit's rows are in one file.
+    # Units are parts of the write's tasks, so that a unit's rows are in one file. A task gets an even share of all bytes, or what adaptive
+    # execution puts together, which text outgrows about threefold.
     units = max(1, -(-total // unit_bytes))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, -(-units // tasks))
+    merged = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    parts = min(units, max(-(-units // tasks), -(-3 * merged // unit_bytes)))
     of_ = lambda pid: (F.shiftright(pid, 33) * parts + F.pmod(F.xxhash64(pid), F.lit(parts))).cast("int")
     dealt = split.select("digest", "low", "copies", "pieces", "piece", front.alias("front"), own.alias("own"), part.alias("bytes")).withColumn("pid", F.monotonically_increasing_id())
     dealt = dealt.withColumn("unit", of_(F.col("pid")))
