@@ -39,7 +39,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(1.2)
+        time.sleep(0.3)
 
 
 def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:

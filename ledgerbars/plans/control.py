@@ -89,12 +89,13 @@ def scheduled_runs_misfire(spark: SparkSession, sf: str) -> DataFrame:
     return k.select("job", "due", F.when(F.col("woke").isNull(), "misfired").when(nth > 1, "coalesced").otherwise("ran").alias("outcome"))
 
 
-@query("""SELECT rule, name, CAST(value AS DOUBLE) AS value FROM (VALUES ('capital_cap', 'max_deployed', 20000), ('per_trade_risk', 'intraday_pct', 1), ('per_trade_risk', 'overnight_pct', 2), ('per_trade_risk', 'overnight_gap', 2.5), ('daily_loss_soft', 'day_pct', -5), ('daily_loss_hard', 'day_pct', -7),
-('weekly_drawdown', 'sessions', 5), ('weekly_drawdown', 'drawdown_pct', 8), ('equity_floor_rung', 'equity_pct', -10), ('cumulative_floor', 'equity_pct', -15), ('consecutive_losses', 'max_per_session', 3), ('max_new_trades_day', 'count', 5), ('max_open_positions', 'total', 3), ('max_open_positions', 'intraday', 2),
-('max_open_positions', 'delivery', 2), ('per_stock_exposure', 'positions', 1), ('per_stock_exposure', 'delivery_notional', 8000), ('per_sector_exposure', 'positions', 2), ('per_sector_exposure', 'unclassified', 1), ('co_movement_cap', 'corr_max', 0.7), ('co_movement_cap', 'sessions', 20), ('max_leverage', 'times', 3),
-('catalyst_guard', 'domains', 2), ('catalyst_guard', 'sentiment', 0.3), ('catalyst_guard', 'entries_day', 2), ('catalyst_guard', 'digest_age_h', 20), ('stale_data_guard', 'tick_age_s', 5), ('stale_data_guard', 'silence_s', 10), ('warmup_ready', 'bars', 30), ('regime_data_ready', 'days', 20), ('clock_skew', 'skew_s', 2),
-('entry_sanity_band', 'intraday_pct', 1), ('entry_sanity_band', 'delivery_pct', 2), ('circuit_proximity', 'band_pct', 2), ('max_holding', 'swing_days', 20), ('max_holding', 'position_days', 120), ('min_residual_window', 'minutes', 10), ('order_rate', 'per_s', 1), ('order_rate', 'burst', 2), ('order_rate', 'entries_day', 70),
-('order_rate', 'alert_pct', 80), ('order_modifications', 'cap', 20), ('order_modifications', 'replace_after', 18), ('margin_buffer', 'ratio', 1.1), ('min_viable_size', 'edge_multiple', 2), ('analyst_confidence_min', 'confidence', 0.55)) t(rule, name, value)""")
+@query("""SELECT rule, name, CAST(value AS DOUBLE) AS value FROM (VALUES ('capital_cap', 'max_deployed_capital_inr', 20000), ('per_trade_risk', 'intraday_pct', 1), ('per_trade_risk', 'swing_position_pct', 2), ('per_trade_risk', 'overnight_gap_mult', 2.5), ('daily_loss_soft', 'day_mtm_pct', -5), ('daily_loss_hard', 'day_mtm_pct', -7),
+('weekly_drawdown', 'rolling_sessions', 5), ('weekly_drawdown', 'drawdown_pct', 8), ('equity_floor_rung', 'equity_pct_of_base', -10), ('cumulative_floor', 'equity_pct_of_base', -15), ('consecutive_losses', 'max_per_session', 3), ('max_new_trades_day', 'count', 5), ('max_open_positions', 'total', 3),
+('max_open_positions', 'max_mis', 2), ('max_open_positions', 'max_cnc', 2), ('per_stock_exposure', 'max_positions_per_symbol', 1), ('per_stock_exposure', 'cnc_notional_inr', 8000), ('per_sector_exposure', 'max_positions_per_sector', 2), ('per_sector_exposure', 'unclassified_cap', 1),
+('co_movement_cap', 'corr_max', 0.7), ('max_leverage', 'platform_cap_x', 3), ('catalyst_guard', 'min_source_domains', 2), ('catalyst_guard', 'sentiment_min_long', 0.3), ('catalyst_guard', 'max_catalyst_entries_day', 2), ('catalyst_guard', 'digest_stale_max_h', 20), ('stale_data_guard', 'max_tick_age_s', 5),
+('stale_data_guard', 'feed_heartbeat_silence_s', 10), ('clock_skew', 'max_skew_s', 2), ('entry_sanity_band', 'mis_pct', 1), ('entry_sanity_band', 'cnc_pct', 2), ('circuit_proximity', 'band_proximity_pct', 2), ('max_holding', 'swing_trading_days', 20), ('max_holding', 'position_trading_days', 120),
+('min_residual_window', 'min_hold_min', 10), ('order_rate', 'sustained_per_s', 1), ('order_rate', 'burst', 2), ('order_rate', 'entry_calls_per_day', 70), ('order_modifications', 'self_cap', 20), ('margin_buffer', 'min_ratio', 1.1), ('min_viable_size', 'edge_multiple_min_default', 2),
+('choices', 'warmup_bars', 30), ('choices', 'regime_days', 20), ('choices', 'replace_after', 18)) t(rule, name, value)""")
 def config_limits(spark: SparkSession, sf: str) -> DataFrame:
     """The numbers of the limits file as rows."""
     rows = [(rule, k, float(v)) for rule, body in limits().items() if isinstance(body, dict) for k, v in body.items() if isinstance(v, (int, float)) and not isinstance(v, bool)]

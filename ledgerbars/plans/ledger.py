@@ -26,7 +26,7 @@ SELECT seg, day, spend, CASE WHEN whole >= 20000000 THEN 'DG4' WHEN whole >= 190
 def degrade_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """Spending by agent and day of a month against its allocation pro rata of the days gone, and all spending against the whole with its
     reserve: the most restrictive step that is reached. A day has at most one row an agent, so the windows are small."""
-    ladder, parts = AGENTS["degrade_ladder"], AGENTS["allocations"]
+    ladder, parts = AGENTS["degrade_ladder"], AGENTS["budget_allocations_usd"]
     whole = sum(parts.values()) * UNIT
     share = F.coalesce(*(F.when(F.col("seg") == k, F.lit(parts[a] * UNIT)) for k, a in SEGMENTS.items()))
     o = load(spark, sf, "orders").select("o_custkey", F.to_date("o_orderdate").alias("day"), money("o_totalprice").alias("v"))
@@ -38,8 +38,8 @@ def degrade_ladder(spark: SparkSession, sf: str) -> DataFrame:
     a = r.join(x, "day").withColumns({"alloc": share, "part": F.day("day").cast("double") / F.day(F.last_day("day"))})
     s, w, pro = F.col("spend"), F.col("whole"), F.col("alloc") * F.col("part")
     pct = lambda step, key: ladder[step][key] / 100
-    tier = F.when(w >= pct("DG4", "whole_pct") * whole, "DG4").when(w >= pct("DG3", "whole_pct") * whole, "DG3").when((s >= pct("DG2", "pro_rata_pct") * pro) | (w >= pct("DG2", "whole_pct") * whole), "DG2")
-    tier = tier.when((s >= pct("DG1", "pro_rata_pct") * pro) | (s >= pct("DG1", "agent_pct") * F.col("alloc")), "DG1").otherwise("DG0")
+    tier = F.when(w >= pct("DG4", "global_alloc_pct") * whole, "DG4").when(w >= pct("DG3", "global_alloc_pct") * whole, "DG3").when((s >= pct("DG2", "pro_rata_pct") * pro) | (w >= pct("DG2", "global_alloc_pct") * whole), "DG2")
+    tier = tier.when((s >= pct("DG1", "pro_rata_pct") * pro) | (s >= pct("DG1", "agent_alloc_pct") * F.col("alloc")), "DG1").otherwise("DG0")
     return a.select("seg", "day", "spend", tier.alias("tier"))
 
 

@@ -16,7 +16,7 @@ from ..sources.config import limits, minutes
 from ..sources.tables import TICKS, load, money, ticks
 
 L = limits()
-BASE = L["capital_base"]
+BASE = L["capital_base_inr"]
 
 
 def signed(c: str = "o_totalprice") -> Column:
@@ -37,7 +37,7 @@ DAYS = f"d AS (SELECT o_custkey AS account, CAST(o_orderdate AS DATE) AS day, su
 @query(f"""WITH {DAYS} SELECT account, day, CAST(result AS DOUBLE) AS result, CASE WHEN result <= -1400 THEN 'forced_downgrade' WHEN result <= -1000 THEN 'frozen' ELSE 'none' END AS action FROM d""")
 def rule_daily_loss(spark: SparkSession, sf: str) -> DataFrame:
     """A day's result against the base: at the soft limit entries freeze, at the hard one the mode steps down."""
-    at = lambda rule: F.lit(BASE * L[rule]["day_pct"] / 100)
+    at = lambda rule: F.lit(BASE * L[rule]["day_mtm_pct"] / 100)
     r = F.col("result").cast("double")
     return day_results(spark, sf).select("account", "day", r.alias("result"), F.when(r <= at("daily_loss_hard"), "forced_downgrade").when(r <= at("daily_loss_soft"), "frozen").otherwise("none").alias("action"))
 
@@ -48,7 +48,7 @@ def rule_equity_floors(spark: SparkSession, sf: str) -> DataFrame:
     """Equity so far against the base: at the rung all positions close, below the floor the kill sequence runs (strictly below)."""
     e = day_results(spark, sf).withColumn("pnl", F.sum("result").over(Window.partitionBy("account").orderBy("day")).cast("double"))
     p = F.col("pnl")
-    rung, floor = BASE * L["equity_floor_rung"]["equity_pct"] / 100, BASE * L["cumulative_floor"]["equity_pct"] / 100
+    rung, floor = BASE * L["equity_floor_rung"]["equity_pct_of_base"] / 100, BASE * L["cumulative_floor"]["equity_pct_of_base"] / 100
     return e.select("account", "day", p.alias("pnl"), F.when(p < floor, "kill").when(p <= rung, "go_flat").otherwise("none").alias("action"))
 
 
@@ -59,8 +59,8 @@ def rule_per_trade_risk(spark: SparkSession, sf: str) -> DataFrame:
     """Risk at the stop within one per cent of the base, two overnight, where the distance counts 2.5 times; too many units shrink, none is a refusal."""
     r = L["per_trade_risk"]
     night = F.col("l_returnflag") == "R"
-    t = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("qty"), F.when(night, BASE * r["overnight_pct"] / 100).otherwise(BASE * r["intraday_pct"] / 100).alias("budget"),
-                                           (F.when(night, r["overnight_gap"]).otherwise(1.0) * (F.col("l_discount") * 1000).cast("long")).alias("risk"))
+    t = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("qty"), F.when(night, BASE * r["swing_position_pct"] / 100).otherwise(BASE * r["intraday_pct"] / 100).alias("budget"),
+                                           (F.when(night, r["overnight_gap_mult"]).otherwise(1.0) * (F.col("l_discount") * 1000).cast("long")).alias("risk"))
     q, b, k = F.col("qty"), F.col("budget"), F.col("risk")
     allowed = F.when(k == 0, q).otherwise(F.least(q, F.floor(F.try_divide(b, k)).cast("long")))
     verdict = F.when((k == 0) | (q * k <= b), "pass").when(b < k, "reject").otherwise("shrink")
@@ -88,7 +88,7 @@ def rule_max_open_positions(spark: SparkSession, sf: str) -> DataFrame:
     c = f.select("account", "delivery", F.inline(steps)).groupBy("account", "day").agg(F.sum("step").alias("a"), F.sum(F.when(~F.col("delivery"), F.col("step")).otherwise(0)).alias("i"), F.sum(F.when(F.col("delivery"), F.col("step")).otherwise(0)).alias("d"))
     w = Window.partitionBy("account").orderBy("day")
     r = c.select("account", "day", F.sum("a").over(w).alias("total"), F.sum("i").over(w).alias("intraday"), F.sum("d").over(w).alias("delivery"))
-    return r.withColumn("passed", (F.col("total") <= x["total"]) & (F.col("intraday") <= x["intraday"]) & (F.col("delivery") <= x["delivery"]))
+    return r.withColumn("passed", (F.col("total") <= x["total"]) & (F.col("intraday") <= x["max_mis"]) & (F.col("delivery") <= x["max_cnc"]))
 
 
 @query("""WITH s AS (SELECT l_suppkey AS account, l_partkey AS symbol, count(DISTINCT l_orderkey) AS positions, CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,4))) FILTER (l_returnflag = 'R'), 0) / 10 AS DOUBLE) AS notional FROM lineitem GROUP BY 1, 2)
@@ -99,7 +99,7 @@ def rule_per_stock_exposure(spark: SparkSession, sf: str) -> DataFrame:
     li = load(spark, sf, "lineitem")
     one = li.groupBy(F.col("l_suppkey").alias("account"), F.col("l_partkey").alias("symbol"), "l_orderkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", money("l_extendedprice"))).alias("v"))
     s = one.groupBy("account", "symbol").agg(F.count("*").alias("positions"), (F.coalesce(F.sum("v"), F.lit(0)) / 10).cast("double").alias("notional"))
-    return s.select("account", "symbol", "positions", F.round("notional", 4).alias("notional"), (F.col("positions") <= x["positions"]).alias("one_position"), (F.col("notional") <= x["delivery_notional"]).alias("within_notional"))
+    return s.select("account", "symbol", "positions", F.round("notional", 4).alias("notional"), (F.col("positions") <= x["max_positions_per_symbol"]).alias("one_position"), (F.col("notional") <= x["cnc_notional_inr"]).alias("within_notional"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END AS sector FROM part), c AS (SELECT l_suppkey AS account, sector, count(DISTINCT l_partkey) AS positions FROM lineitem LEFT JOIN p ON l_partkey = p_partkey GROUP BY 1, 2)
@@ -110,14 +110,14 @@ def rule_per_sector_exposure(spark: SparkSession, sf: str) -> DataFrame:
     pairs = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("account"), "l_partkey").distinct()
     p = load(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 5 != 0, F.col("p_brand")).alias("sector"))
     c = pairs.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").groupBy("account", "sector").agg(F.count("*").alias("positions"))
-    return c.select("account", F.coalesce("sector", F.lit("UNCLASSIFIED")).alias("sector"), "positions", (F.col("positions") <= F.when(F.col("sector").isNull(), x["unclassified"]).otherwise(x["positions"])).alias("passed"))
+    return c.select("account", F.coalesce("sector", F.lit("UNCLASSIFIED")).alias("sector"), "positions", (F.col("positions") <= F.when(F.col("sector").isNull(), x["unclassified_cap"]).otherwise(x["max_positions_per_sector"])).alias("passed"))
 
 
 @query("""WITH e AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS exposure FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT c_custkey, round(exposure / c_acctbal, 6) AS leverage, c_acctbal > 0 AND exposure / c_acctbal <= 3.0 AS passed, CASE WHEN c_acctbal > 0 THEN round(least(exposure, 3.0 * c_acctbal), 4) ELSE 0 END AS allowed FROM customer JOIN e ON c_custkey = o_custkey""")
 def rule_max_leverage(spark: SparkSession, sf: str) -> DataFrame:
     """Exposure over equity at most three; above it the exposure shrinks to the cap, without equity there is none."""
-    cap = L["max_leverage"]["times"]
+    cap = L["max_leverage"]["platform_cap_x"]
     e = load(spark, sf, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.sum(money("o_totalprice")).cast("double").alias("exposure"))
     c = load(spark, sf, "customer").select("c_custkey", "c_acctbal").join(e, F.col("c_custkey") == F.col("o_custkey"))
     x, b = F.col("exposure"), F.col("c_acctbal")
@@ -133,9 +133,9 @@ def rule_no_trade_windows(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events")
     t = e.filter(F.col("event_type").isin("view", "click", "purchase")).select("event_id", "user_id", (F.col("event_type") == "view").alias("delivery"), (F.hour("ts") * 60 + F.minute("ts")).alias("m"), F.to_date("ts").alias("day"))
     r = e.filter("event_type = 'signup'").select("user_id", F.to_date("ts").alias("day"), F.lit(True).alias("results")).distinct()
-    band = F.when(F.col("delivery"), F.col("m").between(*map(minutes, x["delivery"]))).otherwise(F.col("m").between(*map(minutes, x["intraday"])))
-    late = ~F.col("delivery") & (F.weekday("day") == 3) & (F.col("m") >= minutes(x["expiry_after"]))
-    why = F.when(F.col("results") & F.lit(x["results_day"]), "results day").when(~band, "outside band").when(late, "expiry")
+    band = F.when(F.col("delivery"), F.col("m").between(minutes(x["cnc_entry_start"]), minutes(x["cnc_entry_end"]))).otherwise(F.col("m").between(minutes(x["mis_entry_start"]), minutes(x["mis_entry_end"])))
+    late = ~F.col("delivery") & (F.weekday("day") == 3) & (F.col("m") >= minutes(x["nifty50_no_new_mis_after_on_expiry"]))
+    why = F.when(F.col("results") & F.lit(x["no_entry_on_results_day"]), "results day").when(~band, "outside band").when(late, "expiry")
     return t.join(r, ["user_id", "day"], "left").select("event_id", why.alias("reason"))
 
 
@@ -151,12 +151,12 @@ def rule_catalyst_guard(spark: SparkSession, sf: str) -> DataFrame:
     the closed list of types shows whether all its items are of a kind that may."""
     x = L["catalyst_guard"]
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 5).cast("int") + 1)
-    d = load(spark, sf, "documents").filter("lang is not null").select("lang", "source", ((F.col("doc_id") % 97).cast("double") / 97).alias("sentiment"), (F.col("doc_id") % 31).cast("int").alias("age_h"), kind.isin(*x["types"]).alias("ok"), (F.col("doc_id") % 11).alias("topic"))
-    d = d.filter(F.col("age_h") <= x["digest_age_h"])
+    d = load(spark, sf, "documents").filter("lang is not null").select("lang", "source", ((F.col("doc_id") % 97).cast("double") / 97).alias("sentiment"), (F.col("doc_id") % 31).cast("int").alias("age_h"), kind.isin(*x["originating_event_types"]).alias("ok"), (F.col("doc_id") % 11).alias("topic"))
+    d = d.filter(F.col("age_h") <= x["digest_stale_max_h"])
     t = d.groupBy("lang", "topic").agg(F.count_distinct("source").alias("domains"), F.avg("sentiment").alias("s"), F.max("age_h").alias("age_h"), F.bool_and("ok").alias("listed"))
-    o = t.withColumn("grade", (F.col("domains") >= x["domains"]) & (F.col("s") >= x["sentiment"]) & (F.col("age_h") <= x["digest_age_h"]))
+    o = t.withColumn("grade", (F.col("domains") >= x["min_source_domains"]) & (F.col("s") >= x["sentiment_min_long"]) & (F.col("age_h") <= x["digest_stale_max_h"]))
     n = o.withColumn("nth", F.when(F.col("grade"), F.row_number().over(Window.partitionBy("lang", "grade").orderBy("topic"))))
-    return n.select("lang", "topic", "domains", F.round("s", 6).alias("sentiment"), "listed", "grade", "nth", F.coalesce(F.col("grade") & (F.col("nth") <= x["entries_day"]), F.lit(False)).alias("entry"))
+    return n.select("lang", "topic", "domains", F.round("s", 6).alias("sentiment"), "listed", "grade", "nth", F.coalesce(F.col("grade") & (F.col("nth") <= x["max_catalyst_entries_day"]), F.lit(False)).alias("entry"))
 
 
 @query(f"""WITH {TICKS}, h AS (SELECT DISTINCT instrument, CAST(epoch(date_trunc('hour', ts)) / 3600 AS BIGINT) AS k FROM ticks), i AS (SELECT instrument, k, k - row_number() OVER (PARTITION BY instrument ORDER BY k) AS island FROM h),
@@ -166,7 +166,7 @@ def rule_warmup_ready(spark: SparkSession, sf: str) -> DataFrame:
     h = ticks(spark, sf).select("instrument", F.expr("unix_seconds(cast(date_trunc('hour', ts) as timestamp)) div 3600").alias("k")).distinct()
     i = h.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy("instrument").orderBy("k")))
     r = i.groupBy("instrument", "island").agg(F.max("k").alias("last"), F.count("*").alias("n")).groupBy("instrument").agg(F.max_by("n", "last").alias("bars"))
-    return r.withColumn("ready", F.col("bars") >= L["warmup_ready"]["bars"])
+    return r.withColumn("ready", F.col("bars") >= L["choices"]["warmup_bars"])
 
 
 @query(f"""WITH {TICKS} SELECT instrument, count(DISTINCT day) FILTER (kind = 'view') AS index_days, count(DISTINCT day) FILTER (kind = 'click') AS volatility_days, least(count(DISTINCT day) FILTER (kind = 'view'), count(DISTINCT day) FILTER (kind = 'click')) >= 20 AS ready FROM ticks GROUP BY 1""")
@@ -174,14 +174,14 @@ def rule_regime_data_ready(spark: SparkSession, sf: str) -> DataFrame:
     """Both histories, the index's and the volatility's, cover enough days."""
     days = lambda kind: F.count_distinct(F.when(F.col("kind") == kind, F.col("day")))
     t = ticks(spark, sf).groupBy("instrument").agg(days("view").alias("index_days"), days("click").alias("volatility_days"))
-    return t.withColumn("ready", F.least("index_days", "volatility_days") >= L["regime_data_ready"]["days"])
+    return t.withColumn("ready", F.least("index_days", "volatility_days") >= L["choices"]["regime_days"])
 
 
 @query("""WITH s AS (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE value / 20 - 1 END AS skew FROM events) SELECT event_id, skew IS NOT NULL AND abs(skew) <= 2 AS passed, CASE WHEN skew IS NULL THEN 'unmeasured' WHEN abs(skew) > 2 THEN 'skewed' END AS reason FROM s""")
 def rule_clock_skew(spark: SparkSession, sf: str) -> DataFrame:
     """A skew of over two seconds freezes entries, and so does one that can't be measured."""
     skew = F.abs(F.when(F.col("event_type") != "error", F.col("value") / 20 - 1))
-    cap = L["clock_skew"]["skew_s"]
+    cap = L["clock_skew"]["max_skew_s"]
     return load(spark, sf, "events").select("event_id", F.coalesce(skew <= cap, F.lit(False)).alias("passed"), F.when(skew.isNull(), "unmeasured").when(skew > cap, "skewed").alias("reason"))
 
 
@@ -193,7 +193,7 @@ def rule_circuit_proximity(spark: SparkSession, sf: str) -> DataFrame:
 
     b = daily(spark, sf).select("instrument", "day", "close", F.lag("close").over(by_day()).alias("base")).filter("base > 0 and close > 0")
     room = 100 * F.least(F.col("base") * 1.5 - F.col("close"), F.col("close") - F.col("base") * 0.5) / F.col("close")
-    ok = room > L["circuit_proximity"]["band_pct"]
+    ok = room > L["circuit_proximity"]["band_proximity_pct"]
     return b.select("instrument", "day", F.round(room, 6).alias("room_pct"), (ok & (F.col("instrument") % 3 != 0)).alias("intraday_ok"), ok.alias("delivery_ok"))
 
 
@@ -214,7 +214,7 @@ def rule_max_holding(spark: SparkSession, sf: str) -> DataFrame:
     cal = days(spark, calendar(), lo, hi).select("day", "session_index")
     a, b = (F.broadcast(cal.select(F.col("day").alias(d), F.col("session_index").alias(f"{d}_k"))) for d in ("opened", "seen"))  # one row a day
     j = h.join(a, "opened").join(b, "seen").withColumn("held", F.col("seen_k") - F.col("opened_k"))
-    return j.groupBy("l_orderkey", "l_linenumber", "held", (F.col("held") > F.when(F.col("position"), x["position_days"]).otherwise(x["swing_days"])).alias("over")).agg(F.count("*").alias("n"))
+    return j.groupBy("l_orderkey", "l_linenumber", "held", (F.col("held") > F.when(F.col("position"), x["position_trading_days"]).otherwise(x["swing_trading_days"])).alias("over")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH e AS (SELECT event_id, hour(ts) * 60 + minute(ts) AS m, event_type <> 'view' AS intraday FROM events) SELECT event_id, 625 - m AS minutes_left, NOT intraday OR 625 - m >= 10 AS passed FROM e""")
@@ -224,7 +224,7 @@ def rule_min_residual_window(spark: SparkSession, sf: str) -> DataFrame:
 
     w = settings().trade_window
     left = F.lit(w.end - w.buffer_min) - (F.hour("ts") * 60 + F.minute("ts"))
-    return load(spark, sf, "events").select("event_id", left.alias("minutes_left"), ((F.col("event_type") == "view") | (left >= L["min_residual_window"]["minutes"])).alias("passed"))
+    return load(spark, sf, "events").select("event_id", left.alias("minutes_left"), ((F.col("event_type") == "view") | (left >= L["min_residual_window"]["min_hold_min"])).alias("passed"))
 
 
 @query("""WITH m AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1, 2) SELECT user_id, day, n, n <= 20 AS passed, n > 18 AS replace FROM m""")
@@ -232,7 +232,7 @@ def rule_order_modifications(spark: SparkSession, sf: str) -> DataFrame:
     """At most 20 changes of an order (an account's day here); past 18 it is cancelled and placed anew."""
     x = L["order_modifications"]
     m = load(spark, sf, "events").filter("event_type = 'click'").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return m.select("user_id", "day", "n", (F.col("n") <= x["cap"]).alias("passed"), (F.col("n") > x["replace_after"]).alias("replace"))
+    return m.select("user_id", "day", "n", (F.col("n") <= x["self_cap"]).alias("passed"), (F.col("n") > L["choices"]["replace_after"]).alias("replace"))
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,4)) / 50 AS need, sum(CAST(o_totalprice AS DECIMAL(18,4)) / 50) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS used FROM orders WHERE o_orderstatus = 'O')
@@ -244,7 +244,7 @@ def rule_margin_buffer(spark: SparkSession, sf: str) -> DataFrame:
     o = load(spark, sf, "orders").filter("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", need.cast("double").alias("need"), F.sum(need).over(w).cast("double").alias("used"))
     j = o.join(load(spark, sf, "customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
     ratio = (F.col("c_acctbal") - F.coalesce("used", F.lit(0.0))) / F.col("need")
-    return j.select("o_orderkey", F.round(ratio, 4).alias("ratio"), (ratio >= L["margin_buffer"]["ratio"]).alias("passed"))
+    return j.select("o_orderkey", F.round(ratio, 4).alias("ratio"), (ratio >= L["margin_buffer"]["min_ratio"]).alias("passed"))
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DECIMAL(18,4)) AS n, l_returnflag = 'R' AS delivery, l_tax FROM lineitem),
@@ -256,11 +256,11 @@ def rule_min_viable_size(spark: SparkSession, sf: str) -> DataFrame:
     delivery, n = F.col("l_returnflag") == "R", money("l_extendedprice")
     trip = (total(cost_parts(n, delivery, F.lit(False))) + total(cost_parts(n, delivery, F.lit(True)))).cast("double")
     li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", trip.alias("trip"), (n.cast("double") * F.col("l_tax") / 20).alias("edge"))
-    return li.groupBy("l_orderkey", "l_linenumber", F.col("trip").alias("breakeven"), (F.col("edge") >= L["min_viable_size"]["edge_multiple"] * F.col("trip")).alias("passed")).agg(F.count("*").alias("n"))
+    return li.groupBy("l_orderkey", "l_linenumber", F.col("trip").alias("breakeven"), (F.col("edge") >= L["min_viable_size"]["edge_multiple_min_default"] * F.col("trip")).alias("passed")).agg(F.count("*").alias("n"))
 
 
 @query("""WITH c AS (SELECT conv_id, turn, CAST(length(text) % 101 AS DOUBLE) / 100 AS confidence FROM conversations WHERE role = 'assistant') SELECT conv_id, turn, confidence, CASE WHEN confidence IS NOT NULL AND confidence >= 0.55 THEN 'proposal' ELSE 'no_action' END AS outcome FROM c""")
 def rule_analyst_confidence(spark: SparkSession, sf: str) -> DataFrame:
     """Proposals below the least confidence, or without one, become no action."""
     c = (F.length("text") % 101).cast("double") / 100
-    return load(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", c.alias("confidence"), F.when(c >= L["analyst_confidence_min"]["confidence"], "proposal").otherwise("no_action").alias("outcome"))
+    return load(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", c.alias("confidence"), F.when(c >= L["analyst_confidence_min"], "proposal").otherwise("no_action").alias("outcome"))

@@ -120,6 +120,11 @@ class Settings:
     trade_window: Window = field(default_factory=Window)
 
 
+#: Groups of a settings file, and which field each of their keys is.
+GROUPS = ("paths", "ticker", "clock", "data", "log")
+NAMES = {"data_dir": "data", "logs_dir": "logs", "heartbeat_silence_kill_s": "silence_s", "max_instruments_per_conn": "instruments_per_connection", "universe_max_watchlist": "watchlist", "max_skew_s": "max_skew_s", "keep_days": "keep_days"}
+
+
 def minutes(hhmm: str) -> int:
     h, m = hhmm.split(":")[:2]
     return int(h) * 60 + int(m)
@@ -127,18 +132,24 @@ def minutes(hhmm: str) -> int:
 
 def settings(path: str | Path = HERE / "settings.yaml", environ: dict[str, str] | None = None) -> Settings:
     raw, env = load_yaml(path), os.environ if environ is None else environ
-    known = {"env", "timezone", "paths", "feed", "universe", "trade_window", "clock", "log"}
+    known = {"env", "timezone", *GROUPS, "trade_window"}
     if extra := set(raw) - known:
         raise ValueError(f"unknown settings: {sorted(extra)}")
     w = raw.get("trade_window") or {}
-    flat = {"env": raw.get("env"), "timezone": raw.get("timezone")} | (raw.get("paths") or {}) | (raw.get("feed") or {}) | (raw.get("universe") or {}) | (raw.get("clock") or {}) | (raw.get("log") or {})
+    flat = {"env": raw.get("env"), "timezone": raw.get("timezone")}
+    for group in GROUPS:
+        if extra := set(raw.get(group) or {}) - set(NAMES):
+            raise ValueError(f"unknown settings in {group}: {sorted(extra)}")
+        flat |= {NAMES[k]: v for k, v in (raw.get(group) or {}).items()}
     flat |= {k: v for k, v in (("data", env.get("LEDGERBARS_DATA")), ("logs", env.get("LEDGERBARS_LOGS"))) if v}
-    window = Window(minutes(w["start"]), minutes(w["end"]), int(w.get("buffer_min") or 0)) if w else Window()
+    window = Window(minutes(w["start_ist"]), minutes(w["end_ist"]), int(w.get("squareoff_buffer_min") or 0)) if w else Window()
     return Settings(**{k: v for k, v in flat.items() if v is not None}, trade_window=window)
 
 
 def limits(path: str | Path = HERE / "limits.yaml") -> dict[str, Any]:
-    return load_yaml(path)
+    """The limits by rule, with the base, the least confidence and our own choices beside them."""
+    raw = load_yaml(path)
+    return raw["limits"] | {k: v for k, v in raw.items() if k != "limits"}
 
 
 @dataclass(frozen=True)
