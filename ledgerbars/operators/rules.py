@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import OPEN
+from ..sources.config import limits, minutes
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -21,16 +24,19 @@ class Rule:
     strict: bool = False
 
 
-# The limits of the 29 rules and of the proposal's confidence.
+L = limits()
+#: The rules whose answer is one value against one limit, and the value's column. Rules with more than one limit have a query of their own each.
 RULES = (
-    Rule("capital_cap", "deployed", 20000), Rule("per_trade_risk", "risk_pct", 1.0), Rule("daily_loss_soft", "day_pct", -5.0, False, True), Rule("daily_loss_hard", "day_pct", -7.0, False, True),
-    Rule("weekly_drawdown", "drawdown_pct", 8.0, True, True), Rule("equity_floor_rung", "equity_pct", -10.0, False, True), Rule("cumulative_floor", "equity_pct", -15.0, False), Rule("consecutive_losses", "losses", 3, True, True),
-    Rule("max_new_trades_day", "trades_day", 5), Rule("max_open_positions", "open_total", 3), Rule("per_stock_exposure", "symbol_notional", 8000), Rule("per_sector_exposure", "sector_positions", 2),
-    Rule("co_movement_cap", "corr", 0.7), Rule("max_leverage", "leverage", 3.0), Rule("no_trade_windows", "minute_from_open", 15, False), Rule("catalyst_guard", "domains", 2, False),
-    Rule("trade_window", "window_minutes", 0, False, True), Rule("stale_data_guard", "tick_age_s", 5), Rule("warmup_ready", "bars", 30, False), Rule("regime_data_ready", "regime_days", 20, False),
-    Rule("clock_skew", "skew_s", 2), Rule("entry_sanity_band", "band_pct", 1.0), Rule("circuit_proximity", "circuit_pct", 2.0, False, True), Rule("max_holding", "held_sessions", 20),
-    Rule("min_residual_window", "residual_min", 10, False), Rule("order_rate", "entry_calls", 70), Rule("order_modifications", "modifications", 20), Rule("margin_buffer", "margin_ratio", 1.1, False),
-    Rule("min_viable_size", "edge_multiple", 2.0, False), Rule("analyst_confidence", "confidence", 0.55, False),
+    Rule("capital_cap", "deployed", L["capital_cap"]["max_deployed_capital_inr"]), Rule("per_trade_risk", "risk_pct", L["per_trade_risk"]["intraday_pct"]), Rule("daily_loss_soft", "day_pct", L["daily_loss_soft"]["day_mtm_pct"], False, True),
+    Rule("daily_loss_hard", "day_pct", L["daily_loss_hard"]["day_mtm_pct"], False, True), Rule("weekly_drawdown", "drawdown_pct", L["weekly_drawdown"]["drawdown_pct"], True, True), Rule("equity_floor_rung", "equity_pct", L["equity_floor_rung"]["equity_pct_of_base"], False, True),
+    Rule("cumulative_floor", "equity_pct", L["cumulative_floor"]["equity_pct_of_base"], False), Rule("consecutive_losses", "losses", L["consecutive_losses"]["max_per_session"], True, True), Rule("max_new_trades_day", "trades_day", L["max_new_trades_day"]["count"]),
+    Rule("max_open_positions", "open_total", L["max_open_positions"]["total"]), Rule("per_stock_exposure", "symbol_notional", L["per_stock_exposure"]["cnc_notional_inr"]), Rule("per_sector_exposure", "sector_positions", L["per_sector_exposure"]["max_positions_per_sector"]),
+    Rule("co_movement_cap", "corr", L["co_movement_cap"]["corr_max"]), Rule("max_leverage", "leverage", L["max_leverage"]["platform_cap_x"]), Rule("no_trade_windows", "minute_from_open", minutes(L["no_trade_windows"]["mis_entry_start"]) - OPEN, False),
+    Rule("catalyst_guard", "domains", L["catalyst_guard"]["min_source_domains"], False), Rule("trade_window", "window_minutes", 0, False, True), Rule("stale_data_guard", "tick_age_s", L["stale_data_guard"]["max_tick_age_s"]), Rule("warmup_ready", "bars", L["choices"]["warmup_bars"], False),
+    Rule("regime_data_ready", "regime_days", L["choices"]["regime_days"], False), Rule("clock_skew", "skew_s", L["clock_skew"]["max_skew_s"]), Rule("entry_sanity_band", "band_pct", L["entry_sanity_band"]["mis_pct"]), Rule("circuit_proximity", "circuit_pct", L["circuit_proximity"]["band_proximity_pct"], False, True),
+    Rule("max_holding", "held_sessions", L["max_holding"]["swing_trading_days"]), Rule("min_residual_window", "residual_min", L["min_residual_window"]["min_hold_min"], False), Rule("order_rate", "entry_calls", L["order_rate"]["entry_calls_per_day"]),
+    Rule("order_modifications", "modifications", L["order_modifications"]["self_cap"]), Rule("margin_buffer", "margin_ratio", L["margin_buffer"]["min_ratio"], False), Rule("min_viable_size", "edge_multiple", L["min_viable_size"]["edge_multiple_min_default"], False),
+    Rule("analyst_confidence", "confidence", L["analyst_confidence_min"], False),
 )
 
 
