@@ -33,13 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner drop the shuffle files and checkpoints that nothing refers to any more. What a first collection
-    finds is let go of by the second."""
+def release(spark: SparkSession, pause: float = 0.3) -> None:
+    """Let the context cleaner drop the shuffle files and checkpoints that nothing refers to any more. What ran last is held for a second or
+    two more: ``pause`` is waited twice, before the second collection and after it."""
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(pause)
 
 
 def same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
