@@ -413,6 +413,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), key.alias("key"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     name = f"suffix_dedup_{uuid.uuid4().hex}"
+    pause = min(1.5, total / 2e8)  # a spent shuffle of a few megabytes may stay for a while
     # One text of each digest, by its whole bytes; each task combines its rows before the only shuffle of texts.
     whole = rows.groupBy("digest", "text").agg(F.min("key").alias("low"), F.count("*").alias("copies"))
     n, reach = F.octet_length("text"), length - 1
@@ -435,25 +436,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     try:
         write(dealt, name)
         del dealt, split, whole
-        release(spark)
+        release(spark, pause)
         texts = spark.table(name)
         buckets = max(4, int(units))
         only = texts.select("unit", "pid", "low", "bytes")
         sent = only.groupBy("unit").applyInArrow(send_anchors(length, buckets), "unit int, bucket int, once binary, twice binary")
         shared = cut(sent.groupBy("bucket").applyInArrow(match_anchors, "unit int, bucket int, blob binary"))
         del sent
-        release(spark)
+        release(spark, pause)
         found = only.groupBy("unit").cogroup(shared.groupBy("unit")).applyInArrow(send_contexts(length, buckets), CONTEXT)
         found.write.option("compression", "zstd").saveAsTable(f"{name}_contexts")
         del found, shared
-        release(spark)
+        release(spark, pause)
         found = spark.table(f"{name}_contexts")
         # Equal contexts by their bytes; the rows of one are combined in each task before the shuffle.
         distinct = found.groupBy("anchor", "digest", "context").agg(F.min("low").alias("low"), F.sum("n").alias("places"), F.count("*").alias("rows"))
         answers = distinct.repartition("anchor").sortWithinPartitions("anchor", "digest").mapInArrow(shard_arrays(length), "anchor long, digest long, rows long, least long, windows int, gone array<int>")
         answers = cut(answers)
         del distinct
-        release(spark)
+        release(spark, pause)
         rows_ = answers.agg(F.sum("rows")).first()[0] or 0
         told = join_back(found.select("unit", "anchor", "digest", "n", "places"), answers, ["anchor", "digest"], ["unit"], "rows", rows_).select("unit", "n", "places", "least", "windows", "gone")
         left = texts.groupBy("unit").cogroup(told.groupBy("unit")).applyInArrow(cut_bytes(length), RESULT)
