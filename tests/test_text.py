@@ -9,7 +9,6 @@ import numpy as np
 from ledgerbars import registry
 from ledgerbars.plans.text import THEMES
 from tests.compare import connect, spark_rows, sql_rows
-from tests.llm import brute
 
 
 def test_themes_in_every_language(spark, sf, tmp_path):
@@ -25,6 +24,14 @@ def test_themes_in_every_language(spark, sf, tmp_path):
     assert {r.theme: r.n_docs for r in run(spark, sf).collect()} == {t: n for t, n in want.items() if n}
 
 
+def reach(ids, linked):
+    """The smallest id that each can reach; ``linked`` is a symmetric matrix with a true diagonal."""
+    low = list(ids)
+    while (now := [min(low[j] for j in np.flatnonzero(row)) for row in linked]) != low:
+        low = now
+    return low
+
+
 def test_cluster_pairs(spark, sf, tmp_path):
     r = np.random.default_rng(3)
     x = np.repeat(r.normal(size=(20, 16)), 10, axis=0) + r.normal(size=(200, 16)) * 0.6
@@ -35,6 +42,6 @@ def test_cluster_pairs(spark, sf, tmp_path):
         x = np.array([row.embedding for row in e], float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         near = x @ x.T >= 0.75
-        want = {row.vec_id: (int(n), c) for row, n, c in zip(e, near.sum(1) - 1, brute.reach([row.vec_id for row in e], near), strict=True)}
+        want = {row.vec_id: (int(n), c) for row, n, c in zip(e, near.sum(1) - 1, reach([row.vec_id for row in e], near), strict=True)}
         got = {row.vec_id: (row.n_links, row.cluster_id) for row in registry.queries()["cluster_pairs_075"](spark, at).collect()}
         assert got == want and (at == sf or sum(n for n, _ in want.values()) > 0)
