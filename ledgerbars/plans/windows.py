@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.floats import quotient, rounded
 from ..registry import query
 from ..sources.tables import TICKS, load, money, ticks
 
@@ -36,20 +37,22 @@ SELECT instrument, round((post_close - pre) / pre, 6) AS daily_gap, round((post_
 CASE WHEN pre IS NULL OR post_close IS NULL OR pre = 0 THEN 'error' WHEN abs((post_close - pre) / pre) >= 0.08 THEN 'inconclusive' WHEN abs((post_open - pre) / pre) >= 0.08 THEN 'unadjusted' ELSE 'adjusted' END AS verdict FROM a""")
 def exdate_gap_verdict(spark: SparkSession, sf: str) -> DataFrame:
     """Is the series adjusted for the ex-date? Last bar before against first on or after: close to close for the
-    daily series, close to open for the minute series."""
+    daily series, close to open for the minute series. Prices that are null are passed over; a close of zero gives infinite gaps or NaN."""
     ex = F.lit("2024-01-15").cast("date")
     before, after = F.col("day") < ex, F.col("day") >= ex
-    pick = lambda f, v, c: f(F.when(c, F.col(v)), F.when(c, F.col("day")))
-    a = daily(spark, sf).groupBy("instrument").agg(pick(F.max_by, "close", before).alias("pre"), pick(F.min_by, "close", after).alias("post_close"), pick(F.min_by, "open", after).alias("post_open"))
-    return verdict(a)
+    at = F.when(F.col("price").isNotNull(), F.struct("ts", "id"))
+    d = ticks(spark, sf).filter("instrument is not null").groupBy("instrument", "day").agg(F.min_by("price", at).alias("open"), F.max_by("price", at).alias("close"))
+    pick = lambda f, v, c: f(v, F.when(c & F.col(v).isNotNull(), F.col("day")))
+    a = d.groupBy("instrument").agg(pick(F.max_by, "close", before).alias("pre"), pick(F.min_by, "close", after).alias("post_close"), pick(F.min_by, "open", after).alias("post_open"))
+    return verdict(a.withColumn("pre", F.col("pre") + 0.0))  # the SQL's arg_max has no negative zero
 
 
 def verdict(a: DataFrame) -> DataFrame:
     """(pre, post_close, post_open) -> gaps and the tri-state decision at eight per cent."""
-    gap = lambda post: F.try_divide(F.col(post) - F.col("pre"), F.col("pre"))
+    gap = lambda post: quotient(F.col(post) - F.col("pre"), F.col("pre"))
     d, m = gap("post_close"), gap("post_open")
     v = F.when(F.col("pre").isNull() | F.col("post_close").isNull() | (F.col("pre") == 0), "error").when(F.abs(d) >= 0.08, "inconclusive").when(F.abs(m) >= 0.08, "unadjusted").otherwise("adjusted")
-    return a.select("instrument", F.round(d, 6).alias("daily_gap"), F.round(m, 6).alias("minute_gap"), v.alias("verdict"))
+    return a.select("instrument", rounded(d, 6).alias("daily_gap"), rounded(m, 6).alias("minute_gap"), v.alias("verdict"))
 
 
 @query("""WITH l AS (SELECT user_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
