@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.floats import quotient, rounded
 from ..functions.money import cost_parts, total
 from ..registry import query
 from ..sources.config import limits, minutes
@@ -116,12 +117,12 @@ def rule_per_sector_exposure(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH e AS (SELECT o_custkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS exposure FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
 SELECT c_custkey, round(exposure / c_acctbal, 6) AS leverage, c_acctbal > 0 AND exposure / c_acctbal <= 3.0 AS passed, CASE WHEN c_acctbal > 0 THEN round(least(exposure, 3.0 * c_acctbal), 4) ELSE 0 END AS allowed FROM customer JOIN e ON c_custkey = o_custkey""")
 def rule_max_leverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Exposure over equity at most three; above it the exposure shrinks to the cap, without equity there is none."""
+    """Exposure over equity at most three; above it the exposure shrinks to the cap, without equity there is none. Over no equity leverage is infinite; over an unknown one it is unknown."""
     cap = L["max_leverage"]["platform_cap_x"]
     e = load(spark, sf, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.sum(money("o_totalprice")).cast("double").alias("exposure"))
     c = load(spark, sf, "customer").select("c_custkey", "c_acctbal").join(e, F.col("c_custkey") == F.col("o_custkey"))
     x, b = F.col("exposure"), F.col("c_acctbal")
-    return c.select("c_custkey", F.round(F.try_divide(x, b), 6).alias("leverage"), ((b > 0) & F.coalesce(F.try_divide(x, b) <= cap, F.lit(False))).alias("passed"), F.when(b > 0, F.round(F.least(x, cap * b), 4)).otherwise(0.0).alias("allowed"))
+    return c.select("c_custkey", rounded(quotient(x, b), 6).alias("leverage"), ((b > 0) & (quotient(x, b) <= cap)).alias("passed"), F.when(b > 0, rounded(F.least(x, cap * b), 4)).otherwise(0.0).alias("allowed"))
 
 
 @query("""WITH t AS (SELECT event_id, user_id, event_type = 'view' AS delivery, event_type IN ('view', 'click') AS listed, hour(ts) * 60 + minute(ts) AS m, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('view', 'click', 'purchase')),
